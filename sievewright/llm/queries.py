@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm import chunking, leakage, mixing, sampling, splits
+from sievewright.llm import chunking, leakage, markup, mixing, sampling, splits
 from sievewright.session import table
 
 
@@ -57,6 +57,15 @@ def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("split").agg(F.sum("n").alias("n_rows"), F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.coalesce("taxon", F.lit("")), "n")))).alias("by_taxon"))
 
 
+def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct section as clean text, with the constructs found in it by family."""
+    return markup.clean_markup(table(spark, sf_dir, "text_corpus").select("id", "contents").distinct(), ["id"], "contents")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_clean(spark, sf_dir).where("n_html + n_markdown + n_wiki + n_latex > 0").select("id").where("id is not null").distinct()
+
+
 def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every question or passage found in a document, with how it was found."""
     return leakage.leaked_items(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", ["question", "passage"])
@@ -83,7 +92,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_report(spark, sf_dir).where("short").select("source")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_sample, p3_report, p4_found, p4_splits, p4_shares, p6_found, p6_leaks, p7_found, p7_mix, p7_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_sample, p3_report, p4_found, p4_splits, p4_shares, p5_found, p5_clean, p6_found, p6_leaks, p7_found, p7_mix, p7_report)}
 
 SQL = {
     "p1_found": "SELECT DISTINCT id FROM text_corpus WHERE length(contents) > 1800",
