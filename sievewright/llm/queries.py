@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm import chunking, leakage, markup, mixing, sampling, splits
-from sievewright.session import table
+from sievewright.llm import chunking, language, leakage, markup, mixing, sampling, splits
+from sievewright.functions.text import clean_text
+from sievewright.session import cut_lineage, table
 
 
 def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +93,32 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_report(spark, sf_dir).where("short").select("source")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_sample, p3_report, p4_found, p4_splits, p4_shares, p5_found, p5_clean, p6_found, p6_leaks, p7_found, p7_mix, p7_report)}
+def _p8(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents with text, and their language segments; blank and nan texts are missing."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").where(clean_text("text") != "")
+    return docs, language.language_segments(docs, "doc_id", "text", language.fit_on(docs, "text", "lang", "doc_id"))
+
+
+def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p8(spark, sf_dir)[1]
+
+
+def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with text: its languages, the main one with its confidence, and the label it came with."""
+    docs, found = _p8(spark, sf_dir)
+    return language.document_languages(found, "doc_id").join(docs.select("doc_id", "lang").withColumnRenamed("lang", "label"), "doc_id")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, found = _p8(spark, sf_dir)
+    # documents' labels are small rows; the texts stay out of this join
+    labels = docs.select("doc_id", language.label_code(F.col("lang")).alias("code"))
+    judged = language.document_languages(cut_lineage(found), "doc_id").join(labels, "doc_id")
+    cases = judged.where((F.col("lang") != "und") & (F.col("mixed") | F.col("code").isNull() | (F.col("code") != F.col("lang"))))
+    return cases.select("doc_id", F.explode("langs").alias("lang_found"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_sample, p3_report, p4_found, p4_splits, p4_shares, p5_found, p5_clean, p6_found, p6_leaks, p7_found, p7_mix, p7_report, p8_found, p8_languages, p8_segments)}
 
 SQL = {
     "p1_found": "SELECT DISTINCT id FROM text_corpus WHERE length(contents) > 1800",
