@@ -170,7 +170,7 @@ def batch_split_sized(spark, sf):
 
 
 @query("""WITH n AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS i, count(*) OVER () AS n FROM supplier)
-    SELECT s_suppkey, false AS is_padding FROM n UNION ALL SELECT s_suppkey, true FROM n WHERE i < (64 - n % 64) % 64""")
+    SELECT s_suppkey, false AS is_padding FROM n UNION ALL SELECT s_suppkey, true FROM n JOIN (SELECT unnest(range(0, CAST((SELECT (64 - count(*) % 64) % 64 FROM supplier) AS BIGINT))) AS r) ON i = r % n""")
 def batch_pad(spark, sf):
     return B.pad_to_divisor(table(spark, sf, "supplier").select("s_suppkey"), "s_suppkey", 64)
 

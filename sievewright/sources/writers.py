@@ -43,7 +43,12 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
 
 
 def read_text(spark: SparkSession, path: str) -> str:
-    return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+    fs, p = _fs(spark, path)  # not spark.read: it takes names with an underscore for hidden
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 def require_empty(violations: DataFrame, what: str) -> None:
