@@ -56,6 +56,10 @@ def cut_points(text: str, limit: int, overlap: int, sizes: Callable[[str], int]
     for m in TOKEN.finditer(text):
         word = m.group()
         step = max(1, limit // 2)
+        if parts and _joins(word[0]) and parts[-1] + sizes(word) <= step:  # marks stay with what they stand on
+            parts[-1] += sizes(word)
+            offsets[-1] = m.end()
+            continue
         if sizes(word) <= step:
             parts.append(sizes(word))
             offsets.append(m.end())

@@ -103,7 +103,7 @@ _CELL_LATEX = re.compile(r"[ \t]*(?<!\\)&[ \t]*(?=[^\n]*\\\\[ \t]*$)", re.M)
 _ROW_LATEX = re.compile(r"[ \t]*\\\\(?:\[[^\]\n]*\])?[ \t]*$", re.M)
 
 _ATX = re.compile(r"(?:^|(?<=\s))(#{2,6})[ \t]+(?=\S)|^(#)[ \t]+(?=[^\W\d])", re.M)
-_SETEXT = re.compile(r"^[ \t]*(?=[^\s|])([^\n]+)\n[ \t]{0,3}(={3,}|-{3,})(?=[ \t]*$|[ \t]*<|[ \t]+\S)", re.M)
+_SETEXT = re.compile(r"^[ \t]*(?=[^\s|])([^\n]+)\n[ \t]{0,3}(={3,}(?=[ \t]*$|[ \t]*<|[ \t]+\S)|-{3,}(?=[ \t]*$))", re.M)
 _IMAGE = re.compile(r"!\[([^\]\n]*)\]\([^()\s]+(?:\s+\"[^\"\n]*\")?\)")
 _LINK = re.compile(r"(?<!!)\[([^\[\]\n]+)\]\((?:[^()\s]|\([^()\s]*\))+(?:\s+\"[^\"\n]*\")?\)")
 _LINK_REF = re.compile(r"(?<![\w\]])\[([^\[\]\n]+)\]\[([^\[\]\n]{0,40})\]")
@@ -115,7 +115,7 @@ _STRONG = re.compile(r"(?<![\w*_\\])(\*{1,3}|_{1,3})(?![\s*_])((?:(?!\1)[^\n]|(?
 _STRIKE = re.compile(r"~~(?=\S)([^~\n]*?\S)~~")
 _TASK = re.compile(r"^([ \t]*[-*+][ \t]+)\[[ xX]\][ \t]+", re.M)
 _QUOTE = re.compile(r"(?:^|(?<=[^\w\s] ))>[ \t]?(?=[^\W\d]|[*_\"“])", re.M)
-_RULE_ROW = re.compile(r"^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)+\|?[ \t]*$\n?", re.M)
+_RULE_ROW = re.compile(r"^[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)+\|?[ \t]*$\n?", re.M)
 _PIPE_ROW = re.compile(r"^[ \t]*\|[ \t]*([^\n|]*(?:\|[^\n|]*)+?)[ \t]*\|[ \t]*$", re.M)
 _BULLETS = re.compile(r"(?:^[ \t]*[-*+][ \t]+\S[^\n]*(?:\n|\Z)){2,}", re.M)
 _NUMBERS = re.compile(r"(?:^[ \t]*\d{1,3}[.)][ \t]+\S[^\n]*(?:\n|\Z)){2,}", re.M)
