@@ -51,11 +51,11 @@ SAMPLE_DOCS, LEAST_DOCS, SAMPLE_WORDS = 2500, 150, 200
 SURE = 0.9
 #: Scripts a sentence must hold a word of, where its language isn't written in Latin script.
 SCRIPTS, LATIN = {"ru": {"cyrillic"}, "ja": {"kana", "han"}}, {"latin", "other"}
-#: Size of the hashed feature space, rounds over the sample, words per training sequence, and the step size.
-FEATURES, ROUNDS, SEQUENCE, STEP = 1 << 16, 3, 48, 0.5
+#: Size of the hashed feature space, rounds over the sample, words per training sentence, sequences per step, and the step size.
+FEATURES, ROUNDS, SEQUENCE, SEQUENCES, STEP = 1 << 16, 3, 48, 160, 0.6
 #: Words (Latin or Cyrillic script) or characters (scripts without spaces) of a whole sentence, the posterior its words must
 #: have on average, and the words in a row that make one where punctuation is missing.
-SENTENCE_WORDS, SENTENCE_CHARS, SENTENCE_SURE, RUN_WORDS = 4, 8, 0.8, 9
+SENTENCE_WORDS, SENTENCE_CHARS, SENTENCE_SURE, RUN_WORDS = 4, 8, 0.85, 9
 #: Words whose scores a worker keeps, and documents per batch of the forward-backward pass.
 CACHE_WORDS, BATCH = 200_000, 48
 
@@ -202,49 +202,48 @@ def fit_field(samples: Sequence[tuple[str, list[str]]], seed: int = 0, rounds: i
     languages = sorted({code for code, _ in samples})
     if not languages:
         return None
-    sentences: dict[int, list[list[str]]] = {i: [] for i in range(len(languages))}
-    for code, words in samples:
-        sentences[languages.index(code)].append(words)
+    number: dict[str, int] = {}
+    sentences = [(languages.index(code), np.array([number.setdefault(w, len(number)) for w in words])) for code, words in samples]
+    each = [features(w) for w in number]
+    width = np.array([len(f) for f in each])
+    every, begins = np.concatenate(each), np.concatenate(([0], np.cumsum(width)[:-1]))
     field = Field(languages)
     n = len(languages)
-    cache: dict[str, np.ndarray] = {}
     gw, gi, ga = np.full((FEATURES, n), 1e-3), np.full((n, n), 1.0), np.full((n, n), 1.0)
     total, inside, across, batches = np.zeros((FEATURES, n)), np.zeros((n, n)), np.zeros((n, n)), 0
     for lap in range(rounds):
         # natural proportions: where labels are wrong, a balanced sample would be wrong more often
-        pool = [(i, s) for i, own in sentences.items() for s in own]
-        rng.shuffle(pool)  # type: ignore[arg-type]
-        sequences: list[list[tuple[int, list[str]]]] = []
+        pool = [sentences[i] for i in rng.permutation(len(sentences))]
+        sequences: list[list[tuple[int, np.ndarray]]] = []
         while pool:
-            i, s = pool.pop()
-            sequence = [(i, s)]
+            sequence = [pool.pop()]
             if pool and rng.random() < 0.3:
                 sequence.append(pool.pop())
             sequences.append(sequence)
-        for at in range(0, len(sequences), 64):
-            chunk = sequences[at : at + 64]
-            flat = [[(i, w, k > 0 and j == 0) for k, (i, s) in enumerate(seq) for j, w in enumerate(s)] for seq in chunk]
-            lengths = np.array([len(f) for f in flat])
+        for at in range(0, len(sequences), SEQUENCES):
+            chunk = sequences[at : at + SEQUENCES]
+            lengths = np.array([sum(len(s) for _, s in seq) for seq in chunk])
             steps = int(lengths.max())
-            number: dict[str, int] = {}
-            ids = np.zeros((len(flat), steps), dtype=np.int64)
-            gold = np.zeros((len(flat), steps), dtype=np.int64)
-            crossing = np.zeros((len(flat), steps), dtype=bool)
-            for b, f in enumerate(flat):
-                for t, (i, w, c) in enumerate(f):
-                    ids[b, t], gold[b, t], crossing[b, t] = number.setdefault(w, len(number)), i, c
-            each = [cache[w] if w in cache else cache.setdefault(w, features(w)) for w in number]
-            sizes = np.array([len(f) for f in each])
-            index = np.concatenate(each)
+            ids = np.zeros((len(chunk), steps), dtype=np.int64)
+            gold = np.zeros((len(chunk), steps), dtype=np.int64)
+            crossing = np.zeros((len(chunk), steps), dtype=bool)
+            for b, seq in enumerate(chunk):
+                t = 0
+                for i, s in seq:
+                    ids[b, t : t + len(s)], gold[b, t : t + len(s)], crossing[b, t] = s, i, t > 0
+                    t += len(s)
+            alive = np.arange(steps)[None, :] < lengths[:, None]
+            used, of_word = np.unique(ids[alive], return_inverse=True)
+            sizes = width[used]
             starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+            index = every[np.repeat(begins[used] - starts, sizes) + np.arange(int(sizes.sum()))]
             root = np.sqrt(sizes)[:, None]
-            scores = np.add.reduceat(field.weights[index], starts, axis=0) / root
-            alive = np.arange(steps)[None, :] < lengths[:, None]
-            post, _, seen_in, seen_across = field.posteriors(scores[ids].astype(np.float64), crossing, lengths, pairs=True)
-            delta = -post
-            delta[np.arange(len(flat))[:, None], np.arange(steps)[None, :], gold] += 1.0
-            delta[~alive] = 0.0
-            by_word = np.stack([np.bincount(ids.ravel(), delta[:, :, i].ravel(), len(number)) for i in range(n)], axis=1) / root
+            emissions = np.zeros((len(chunk), steps, n))
+            emissions[alive] = (np.add.reduceat(field.weights[index], starts, axis=0) / root)[of_word]
+            post, _, seen_in, seen_across = field.posteriors(emissions, crossing, lengths, pairs=True)
+            delta = -post[alive]
+            delta[np.arange(len(delta)), gold[alive]] += 1.0
+            by_word = np.stack([np.bincount(of_word, delta[:, i], len(used)) for i in range(n)], axis=1) / root
             touched, slot = np.unique(index, return_inverse=True)
             spread = np.repeat(by_word, sizes, axis=0)
             grad = np.stack([np.bincount(slot, spread[:, i], len(touched)) for i in range(n)], axis=1)
