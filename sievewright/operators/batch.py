@@ -5,30 +5,16 @@ Rows have no order in Spark, so every operator that depends on one takes a uniqu
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.operators.ranks import BUCKET_ROWS, bucket_count
+from sievewright.operators.ranks import ranged_row_number
 
 
 def number_rows(df: DataFrame, order: str, out: str = "row_no") -> DataFrame:
-    """Adds a row number from 0 in the order of a unique numeric column, without a one-task sort.
-
-    Rows are range-partitioned; a partition's offset is the rows of those before it.
-    """
-    rows = df.count()
-    parts = bucket_count(rows, BUCKET_ROWS)
-    if parts == 1:
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order)).cast("bigint") - 1)
-    bounds = df.stat.approxQuantile(order, [i / parts for i in range(1, parts)], 0.001)
-    bucket = reduce(lambda c, b: c + F.when(F.col(order) > b, 1).otherwise(0), bounds, F.lit(0))
-    d = df.withColumn("__b", bucket)
-    counts = d.groupBy("__b").agg(F.count("*").alias("__n"))
-    offsets = counts.select("__b", F.coalesce(F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__o"))
-    inside = F.row_number().over(Window.partitionBy("__b").orderBy(order))
-    return d.join(F.broadcast(offsets), "__b").withColumn(out, F.col("__o") + inside - 1).drop("__b", "__o")
+    """Adds a row number from 0 in the order of a unique column, by ranges: no task sorts more than a bucket."""
+    d = ranged_row_number(df.withColumn("__all", F.lit("")), ["__all"], order, [], out)
+    return d.withColumn(out, F.col(out) - 1).drop("__all")
 
 
 def repeat(df: DataFrame, times: Column | int, out: str = "repeat_no") -> DataFrame:

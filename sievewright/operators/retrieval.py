@@ -8,6 +8,7 @@ nothing that grows with the corpus is broadcast.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Constant of reciprocal-rank fusion.
 FUSION = 60
 #: Rows scored at once.
-SCORE_ROWS = 4096
+SCORE_ROWS = 2048
 
 
 def tokens(c: Column | str) -> Column:
@@ -49,9 +50,9 @@ def _ranked(found: DataFrame, k: int, digits: int) -> DataFrame:
     return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _blocks(rows: list, size: int = QUERY_BLOCK) -> Iterator[list]:
-    for at in range(0, len(rows), size):
-        yield rows[at : at + size]
+def _blocks(rows: Iterator, size: int = QUERY_BLOCK) -> Iterator[tuple]:
+    """Queries in blocks; only one block is on the driver at a time."""
+    return batched(rows, size)
 
 
 def dense_topk(queries: DataFrame, corpus: DataFrame, query_id: str, doc_id: str, vector: str, k: int, digits: int = 6) -> DataFrame:
@@ -61,7 +62,7 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, query_id: str, doc_id: str
     rows = corpus.where(F.col(vector).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(vector).alias("v"))
     schema = f"query_id {queries.schema[query_id].dataType.simpleString()}, doc_id {corpus.schema[doc_id].dataType.simpleString()}, score double"
     out = None
-    for block in _blocks(list(wanted.toLocalIterator())):
+    for block in _blocks(wanted.toLocalIterator()):
         shared = spark.sparkContext.broadcast(([r[0] for r in block], np.array([r[1] for r in block], dtype=np.float64)))
 
         def score(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
@@ -97,7 +98,7 @@ def lexical_scores(docs: DataFrame, doc_id: str, text: str, queries: DataFrame,
     spark = docs.sparkSession
     rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), tokens(text).alias("toks"))
     n, mean_length, df = bm25_statistics(rows)
-    asked = [(r[0], r[1]) for r in queries.select(query_id, tokens(query)).orderBy(query_id).toLocalIterator() if r[1]]
+    asked = ((r[0], r[1]) for r in queries.select(query_id, tokens(query)).orderBy(query_id).toLocalIterator() if r[1])
     schema = f"query_id {queries.schema[query_id].dataType.simpleString()}, doc_id {docs.schema[doc_id].dataType.simpleString()}, score double"
     idf = idf_table(df, n)
     out = None
@@ -121,11 +122,10 @@ def lexical_scores(docs: DataFrame, doc_id: str, text: str, queries: DataFrame,
                 for at in range(0, len(frame), SCORE_ROWS):
                     part = frame.iloc[at : at + SCORE_ROWS]
                     ids, lengths = part["doc_id"].to_numpy(), part["n"].to_numpy(dtype=np.float64)
-                    tf = np.zeros((len(part), len(place)))
-                    for i, ts in enumerate(part["toks"]):
-                        at_terms = [place[t] for t in ts if t in place]
-                        if at_terms:
-                            np.add.at(tf[i], at_terms, 1.0)
+                    slots = [[place[t] for t in ts if t in place] for ts in part["toks"]]
+                    row = np.repeat(np.arange(len(slots)), [len(x) for x in slots])
+                    cell = row * len(place) + np.fromiter((p for x in slots for p in x), dtype=np.int64, count=len(row))
+                    tf = np.bincount(cell, minlength=len(part) * len(place)).reshape(len(part), len(place)).astype(np.float64)
                     tf *= (K1 + 1) / (tf + K1 * (1 - B + B * lengths / max(mean, 1e-9))[:, None])
                     s = tf @ weighted
                     for j, keep in _best(s, ids, k, 0.0):
@@ -192,7 +192,7 @@ def index_topk(index: DataFrame, queries: DataFrame, query_id: str, vector: str,
     spark = index.sparkSession
     schema = f"query_id {queries.schema[query_id].dataType.simpleString()}, doc_id {index.schema['doc_id'].dataType.simpleString()}, score double"
     out = None
-    for block in _blocks(list(queries.where(F.col(vector).isNotNull()).select(query_id, vector).toLocalIterator())):
+    for block in _blocks(queries.where(F.col(vector).isNotNull()).select(query_id, vector).toLocalIterator()):
         q = np.array([r[1] for r in block], dtype=np.float64)
         near = np.argsort(-(q @ centroids.T), axis=1)[:, :probes]
         asking = {int(j): np.flatnonzero((near == j).any(axis=1)) for j in np.unique(near)}

@@ -9,6 +9,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievewright.operators.ranks import ranged_row_number
 from sievewright.session import broadcast_if_small
 
 
@@ -101,9 +102,9 @@ def sample_target(n: Column, fraction: float) -> Column:
 
 
 def replace_in_cell(failed: DataFrame, reserve: DataFrame, cell: Sequence[str], failed_order: Sequence[str], reserve_order: Sequence[str], failed_id: str, reserve_id: str) -> DataFrame:
-    """The k-th failed row of a cell with the cell's k-th reserve row; NULL where the reserve is used up."""
-    f = failed.select(*cell, failed_id, F.row_number().over(Window.partitionBy(*cell).orderBy(*failed_order)).alias("k"))
-    r = reserve.select(*cell, reserve_id, F.row_number().over(Window.partitionBy(*cell).orderBy(*reserve_order)).alias("k"))
+    """The k-th failed row of a cell with the cell's k-th reserve row; NULL where the reserve is used up. Cells may be hot."""
+    f = ranged_row_number(failed, cell, failed_order[0], failed_order[1:], "k").select(*cell, failed_id, "k")
+    r = ranged_row_number(reserve, cell, reserve_order[0], reserve_order[1:], "k").select(*cell, reserve_id, "k")
     return f.join(r, [*cell, "k"], "left")
 
 

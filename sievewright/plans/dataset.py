@@ -10,6 +10,7 @@ from sievewright.functions import text as T
 from sievewright.operators import schedules as SC
 from sievewright.operators.advantage import with_group
 from sievewright.operators.batch import number_rows
+from sievewright.operators.ranks import ranged_row_number
 from sievewright.plans.analytics import _T, _tokens
 from sievewright.session import table
 
@@ -89,7 +90,7 @@ def dedup_rejections(spark, sf):
 @query("SELECT category_key, image_key, CAST((row_number() OVER (PARTITION BY category_key ORDER BY image_key) - 1) // 10 AS BIGINT) AS page FROM (SELECT DISTINCT category_key, image_key FROM images WHERE category_key IS NOT NULL)")
 def keyset_pages(spark, sf):
     d = table(spark, sf, "images").where("category_key is not null").select("category_key", "image_key").distinct()
-    return d.withColumn("page", F.floor((F.row_number().over(Window.partitionBy("category_key").orderBy("image_key")) - 1) / 10))
+    return ranged_row_number(d, ["category_key"], "image_key", [], "n").withColumn("page", F.floor((F.col("n") - 1) / 10)).drop("n")
 
 
 @query("SELECT sample_id, built_at, array_to_string(list_transform(images[1:2], lambda x: x.image), ';') AS prefix, len(images) AS n FROM sft_rows WHERE images IS NOT NULL")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sievewright.operators import balance as BAL
 from sievewright.operators import retrieval as R
-from sievewright.session import ensure_checkpoint_dir, table
+from sievewright.session import cut_lineage, ensure_checkpoint_dir, table
 from sievewright.streaming import windows as W
 
 QUERIES: dict = {}
@@ -97,12 +97,12 @@ def dense_index_topk(spark, sf):
     return R.index_topk(R.index_vectors(e, "vec_id", "embedding", centroids), q, "query_id", "embedding", centroids, k=10, probes=16)
 
 
-def _overlap(spark, sf, k=50):
+def _newest(lexical, k=50):
     """Second ranked list: the newest documents among the lexical hits, by id."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("query_id").orderBy(F.desc("doc_id"))
-    return _bm25(spark, sf, 50).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return lexical.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 @query(f"""WITH {_BM25}, nw AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id DESC) AS rank FROM bm),
@@ -111,7 +111,8 @@ def _overlap(spark, sf, k=50):
     SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first.l, first.r) AS INTEGER) AS rank FROM f QUALIFY rank <= 3""")
 def hybrid_rrf_top3(spark, sf):
     """The flagship: BM25 over all documents for every held-out question, fused with a second ranking, best three."""
-    return R.fuse([_bm25(spark, sf), _overlap(spark, sf)], 3)
+    lexical = cut_lineage(_bm25(spark, sf))  # both lists come from it
+    return R.fuse([lexical, _newest(lexical)], 3)
 
 
 @query(None)

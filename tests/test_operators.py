@@ -278,3 +278,17 @@ def test_entry_without_llm():
 
     names, sql = e.queries(), e.oracle_sql()
     assert set(sql) <= set(names) and "hybrid_rrf_top3" in names and "p2_found" in names
+
+
+@pytest.mark.parametrize("kind", ["string", "long", "ties"])
+def test_ranged_row_numbers_equal_the_window(spark, kind):
+    from pyspark.sql import Window
+
+    from sievewright.operators.ranks import ranged_row_number
+
+    rng = random.Random(9)
+    value = {"string": lambda: rng.choice("xyz") * rng.randint(0, 4) + str(rng.randint(0, 50)), "long": lambda: rng.randint(-1000, 1000), "ties": lambda: rng.choice([None, 1, 1, 1, 2])}[kind]
+    df = spark.createDataFrame([(i, rng.choice(["a", "a", "b", None]), value()) for i in range(900)], f"id int, g string, o {'string' if kind == 'string' else 'long'}").cache()
+    want = {r["id"]: r["n"] for r in df.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("o", "id"))).collect()}
+    for buckets in (1, 7, 40):
+        assert {r["id"]: r["n"] for r in ranged_row_number(df, ["g"], "o", ["id"], "n", buckets).collect()} == want
