@@ -91,4 +91,4 @@ def protocol_scores(spark, sf):
     """Answers scored by the scorer registered for their data source."""
     rows = table(spark, sf, "sft_rows").where("extra_info.answers is not null and size(extra_info.answers) > 0")
     solution = F.concat(F.lit("\\boxed{"), F.get("extra_info.answers", F.lit(0)), F.lit("}"))
-    return rows.select("sample_id", P.score_by_source(F.col("data_source"), solution, F.get("extra_info.answers", F.lit(0)), {"dual_search": "boxed"}).alias("score"))
+    return rows.select("sample_id", P.score_by_source(F.col("data_source"), solution, F.get("extra_info.answers", F.lit(0)), {"tool_calls": "tool_match"}).alias("score"))
