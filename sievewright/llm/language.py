@@ -90,13 +90,14 @@ class Words:
 
 
 def read_words(text: str) -> Words:
-    found = [(m.start(), m.end()) for m in _WORD.finditer(text)] if _HIDDEN.search(text) is None else _seen_through(text)
+    hidden = _HIDDEN.search(text) is not None
+    found = _seen_through(text) if hidden else [m.span() for m in _WORD.finditer(text)]
     ends = np.array([m.end() for m in _END.finditer(text)], dtype=np.int64)
     starts = np.array([a for a, _ in found], dtype=np.int64)
     quoted = np.zeros(len(found), dtype=bool)
     for m in _QUOTED.finditer(text):
         quoted[np.searchsorted(starts, m.start()) : np.searchsorted(starts, m.end())] = True
-    words = [_HIDDEN.sub("", text[a:b]) for a, b in found]
+    words = [_HIDDEN.sub("", text[a:b]) if hidden else text[a:b] for a, b in found]
     return Words(words, found, np.searchsorted(ends, starts, side="right"), quoted)
 
 
@@ -289,37 +290,41 @@ def segments(field: Field, doc: Words, post: np.ndarray) -> list[tuple[int, int,
     """(start, end, language, confidence, words, holds a whole sentence) of the document's segments, in order."""
     if not len(post):
         return []
-    edges = np.flatnonzero(np.concatenate(([True], doc.sentence[1:] != doc.sentence[:-1])))
-    units: list[tuple[int, int]] = []
+    best = post.argmax(axis=1)
+    edges = np.flatnonzero(np.concatenate(([True], doc.sentence[1:] != doc.sentence[:-1]))).tolist()
+    starts: list[int] = []
     for a, b in zip(edges, [*edges[1:], len(post)], strict=True):
-        best = post[a:b].argmax(axis=1)
-        cuts = np.flatnonzero(np.concatenate(([True], best[1:] != best[:-1])))
-        runs = list(zip(cuts, [*cuts[1:], b - a], strict=True))
-        long = [r for r in runs if r[1] - r[0] >= RUN_WORDS and not doc.quoted[a + r[0] : a + r[1]].all()]
-        if len({best[r[0]] for r in long}) < 2:
-            units.append((int(a), int(b)))
-            continue
-        # sentences run together without punctuation: cut where one long run gives way to another
-        at = int(a)
-        for one, other in zip(long, long[1:], strict=False):
-            if best[one[0]] != best[other[0]]:
-                units.append((at, int(a + other[0])))
-                at = int(a + other[0])
-        units.append((at, int(b)))
+        starts.append(a)
+        if b - a >= 2 * RUN_WORDS and (best[a:b] != best[a]).any():
+            # sentences run together without punctuation: cut where one long run gives way to another
+            cuts = [a, *(np.flatnonzero(best[a + 1 : b] != best[a : b - 1]) + a + 1).tolist(), b]
+            long = [(x, y) for x, y in zip(cuts, cuts[1:], strict=False) if y - x >= RUN_WORDS and not doc.quoted[x:y].all()]
+            starts += [y[0] for x, y in zip(long, long[1:], strict=False) if best[x[0]] != best[y[0]]]
+    weigh = (~doc.quoted).astype(np.float64)
+    free = np.add.reduceat(weigh, starts) > 0  # units that aren't one quotation
+    stops = [*starts[1:], len(post)]
+    if not free.all():
+        for a, b, ok in zip(starts, stops, free, strict=True):
+            if not ok:
+                weigh[a:b] = 1.0
+    counts = np.add.reduceat(weigh, starts)
+    means = np.add.reduceat(post * weigh[:, None], starts, axis=0) / counts[:, None]
+    scripts = [_script(w[0]) for w in doc.words]
+    fitting = {}
     found: list[list] = []
-    for a, b in units:
-        own = ~doc.quoted[a:b] if not doc.quoted[a:b].all() else np.ones(b - a, dtype=bool)
-        mean = post[a:b][own].mean(axis=0)
-        written = {_script(w[0]) for w in doc.words[a:b]}
-        fits = np.array([bool(SCRIPTS.get(x, LATIN) & written) for x in field.languages])
+    for u, (a, b) in enumerate(zip(starts, stops, strict=True)):
+        written = frozenset(scripts[a:b])
+        fits = fitting.get(written)
+        if fits is None:
+            fits = fitting[written] = np.array([bool(SCRIPTS.get(x, LATIN) & written) for x in field.languages])
+        mean = means[u]
         if fits.any():
             mean = np.where(fits, mean, 0.0) / max(1e-9, float(mean[fits].sum()))
         i = int(mean.argmax())
-        words = int(own.sum())
-        chars = sum(len(w) for w in doc.words[a:b] if re.match(f"[{_NO_SPACE}]", w))
-        free = not doc.quoted[a:b].all()
-        whole = free and float(mean[i]) >= SENTENCE_SURE and (words >= SENTENCE_WORDS or chars >= SENTENCE_CHARS)
-        found.append([doc.spans[a][0], doc.spans[b - 1][1], i, float(mean[i]) * words, words, whole])
+        words, sure = int(counts[u]), float(mean[i])
+        chars = sum(len(w) for w, s in zip(doc.words[a:b], scripts[a:b], strict=True) if s in ("kana", "han")) if {"kana", "han"} & written else 0
+        whole = bool(free[u]) and sure >= SENTENCE_SURE and (words >= SENTENCE_WORDS or chars >= SENTENCE_CHARS)
+        found.append([doc.spans[a][0], doc.spans[b - 1][1], i, sure * words, words, whole])
     # what is too short to stand for itself goes with its neighbour
     merged: list[list] = []
     for f in found:

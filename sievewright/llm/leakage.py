@@ -27,6 +27,7 @@ import re
 import unicodedata
 from collections.abc import Iterator, Sequence
 from functools import reduce
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -255,22 +256,22 @@ def leaked_items(
 ) -> DataFrame:
     """doc_id, item_id, part, equal_run, containment, edits (-1: only a run leaked): every item text found in a document."""
     spark = docs.sparkSession
-    # the query set is a stated, small table; it comes in blocks so that no block outgrows a worker
-    queries = [r for r in items.select(item_id, *parts).toLocalIterator() if r[0] is not None]
+    # the query set is a stated, small table; it comes in blocks so that no block outgrows the driver or a worker
+    queries = (r for r in items.select(item_id, *parts).where(F.col(item_id).isNotNull()).toLocalIterator())
     doc_type, item_type = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     schema = f"doc {doc_type}, item {item_type}, part string, equal_run boolean, containment double, edits int"
     source = docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text")).where("text <> ''")
-    results = []
-    for at in range(0, max(1, len(queries)), QUERY_BLOCK):
+    results: list[DataFrame] = []
+    for block in batched(queries, QUERY_BLOCK):
         owners: dict[str, list[tuple]] = {}
-        for r in queries[at : at + QUERY_BLOCK]:
+        for r in block:
             for part in parts:
                 if r[part]:
                     owners.setdefault(r[part], []).append((r[item_id], part))
         texts = sorted(owners)
         shared = spark.sparkContext.broadcast((texts, [owners[t] for t in texts]))
         results.append(source.mapInArrow(_searcher(shared, run, max_edits), schema))
-    found = reduce(DataFrame.unionAll, results)
+    found = reduce(DataFrame.unionAll, results) if results else spark.createDataFrame([], schema)
     return found.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), "part", "equal_run", "containment", "edits")
 
 

@@ -90,7 +90,7 @@ def mix_sources(
     """(mix, report). The mix's total is the tokens of all documents.
 
     mix: doc_id, source, tokens, repeat_no (from 1), shard, shuffle_key. report: source, target_share, max_repeats,
-    documents, tokens, target_tokens, drawn_tokens, drawn_share (of the mix), short.
+    documents, tokens, target_tokens, drawn_tokens, drawn_share (of the mix), share_of_total (of the wanted total), short.
     """
     spark = df.sparkSession
     docs = cut_lineage(df.select(F.col(doc_id).alias("doc"), key_text(source).alias("source"), tokens.alias("tokens")))
@@ -141,9 +141,9 @@ def mix_sources(
     for i, r in enumerate(goals):
         n_docs, n_tokens = have.get(i, (0, 0))
         share, most, got = r["share"] or Decimal(0), r["most"] or 0, reached.get(r["source"], 0)
-        lines.append((r["source"], float(share), most, n_docs, n_tokens, float(share * total), got, got / all_reached, n_tokens * most < share * total))
+        lines.append((r["source"], float(share), most, n_docs, n_tokens, float(share * total), got, got / all_reached, got / total if total else 0.0, n_tokens * most < share * total))
     report = spark.createDataFrame(
-        lines, "source string, target_share double, max_repeats bigint, documents bigint, tokens bigint, target_tokens double, drawn_tokens bigint, drawn_share double, short boolean"
+        lines, "source string, target_share double, max_repeats bigint, documents bigint, tokens bigint, target_tokens double, drawn_tokens bigint, drawn_share double, share_of_total double, short boolean"
     )
     return mix.withColumnRenamed("doc", doc_id), report
 
