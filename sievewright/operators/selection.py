@@ -9,7 +9,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievewright.operators.ranks import ranged_row_number
+from sievewright.operators.ranks import bucket_count, hash_order, ranged_row_number, running_sum
 from sievewright.session import broadcast_if_small
 
 
@@ -116,3 +116,19 @@ def resample_weights(df: DataFrame, weight: str, kind: str = "pow", power: float
         ends = df.agg(F.min(weight).alias("__lo"), F.max(weight).alias("__hi"))
         return df.crossJoin(F.broadcast(ends)).withColumn(out, (F.col(weight) - F.col("__lo")) / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0))).drop("__lo", "__hi")
     raise ValueError(f"unknown kind {kind}")
+
+
+def resample(df: DataFrame, weight: str, n: int, key: str, seed: int = 0, out: str = "copies") -> DataFrame:
+    """Draws n rows in proportion to their weights, with replacement, by systematic resampling: each row with its copies.
+
+    A row's copies differ from n times its share by less than one. Weights below zero count as zero.
+    """
+    w = F.greatest(F.lit(0.0), F.coalesce(F.col(weight).cast("double"), F.lit(0.0)))
+    rows, total = df.agg(F.count("*"), F.coalesce(F.sum(w), F.lit(0.0))).first()
+    if not total:
+        return df.withColumn(out, F.lit(0).cast("bigint")).where("false")
+    d = df.withColumn("__all", F.lit("")).withColumn("__draw", hash_order(key, seed=seed)).withColumn("__w", w)
+    d = running_sum(d, ["__all"], "__draw", [key], F.col("__w"), "__upto", bucket_count(rows), dtype="double")
+    scale, start = n / total, (seed * 0.6180339887498949 + 0.5) % 1.0
+    copies = F.floor(F.col("__upto") * scale + start) - F.floor((F.col("__upto") - F.col("__w")) * scale + start)
+    return d.withColumn(out, copies).where(F.col(out) > 0).drop("__all", "__draw", "__w", "__upto")

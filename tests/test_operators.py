@@ -292,3 +292,43 @@ def test_ranged_row_numbers_equal_the_window(spark, kind):
     want = {r["id"]: r["n"] for r in df.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("o", "id"))).collect()}
     for buckets in (1, 7, 40):
         assert {r["id"]: r["n"] for r in ranged_row_number(df, ["g"], "o", ["id"], "n", buckets).collect()} == want
+
+
+def test_injected_models(spark):
+    from sievewright.operators import serving as V
+
+    df = spark.createDataFrame([(1, "aa b"), (2, None), (3, "ccc")], "id int, t string")
+    vectors = {r["id"]: r["embedding"] for r in V.encode_corpus(df, "id", "t", lambda: lambda ts: [[len(t), 1] for t in ts]).collect()}
+    assert vectors == {1: [4.0, 1.0], 2: [0.0, 1.0], 3: [3.0, 1.0]}
+    found = spark.createDataFrame([(7, 1, 1), (7, 3, 2), (7, 2, 3)], "query_id int, doc_id int, rank int")
+    best = V.rerank(found, spark.createDataFrame([(7, "c")], "q int, s string"), df, "q", "s", "id", "t", lambda q, t: t.count(q), 2).orderBy("rank").collect()
+    assert [(r["doc_id"], r["score"]) for r in best] == [(3, 3.0), (1, 0.0)]
+
+    def call(p):
+        if p != "ccc":
+            raise ValueError("no")
+        return "ok"
+
+    replies = {r["id"]: (r["reply"], r["error"], r["tries"]) for r in V.call_limited(df, "id", "t", call, 1000.0, 4, retries=1).collect()}
+    assert replies[3] == ("ok", None, 1) and replies[1] == (None, "ValueError: no", 2)
+    assert V.prefix_within("one two three", 2, lambda t: len(t.split())) == "one two "
+    assert [r["p"] for r in df.select("id", V.token_prefix(df["t"], 2, lambda: len).alias("p")).orderBy("id").collect()] == ["aa", None, "cc"]
+    js = spark.createDataFrame([('{"a": [{"k": "x"}, {"k": ["y", "x", 1]}], "b": {"k": " z "}}',), ("{",), (None,)], "j string")
+    assert [r["h"] for r in js.select(V.harvest_keys(js["j"], "k").alias("h")).collect()] == [["x", "y", "z"], [], []]
+
+    def add(a: int, b: int = 1) -> int:
+        """Adds numbers."""
+        return a + b
+
+    schema = V.tool_schema(add)["function"]
+    assert schema["parameters"]["required"] == ["a"] and schema["parameters"]["properties"]["b"] == {"type": "integer"} and schema["description"] == "Adds numbers."
+    args = spark.createDataFrame([('{"a": 2}',), ("[]",)], "j string")
+    assert [r["o"][:9] for r in args.select(V.tool_column(add, args["j"]).alias("o")).collect()] == ["3", '{"error":']
+
+
+def test_resample(spark):
+    df = spark.createDataFrame([(i, float(i % 5)) for i in range(500)], "id int, w double")
+    out = S.resample(df, "w", 800, "id", seed=3).collect()
+    assert sum(r["copies"] for r in out) == 800
+    assert all(abs(r["copies"] - 800 * r["w"] / 1000) < 1 for r in out) and all(r["w"] > 0 for r in out)
+    assert S.resample(df.limit(0), "w", 5, "id").count() == 0
