@@ -48,6 +48,7 @@ BATCH_DOCS, WORD_CACHE = 256, 400_000
 
 #: What is taken out without leaving a gap: tags, link targets, marks, combining and invisible characters.
 _TAGS = re.compile(r"<!--.*?-->|</?[a-zA-Z][^<>]*>|\]\([^()\s]*\)", re.S)
+_BREAKS = re.compile(r"<(?:br|hr)\b[^<>]*>|</?(?:p|div|li|ul|ol|tr|td|th|table|h[1-6]|blockquote)\b[^<>]*>", re.I)
 _CITATION = re.compile(r"\[\^?[0-9]{1,4}\]")
 _HIDDEN = re.compile("[\u0300-\u036f\u0483-\u0489\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe00-\ufe0f\ufe20-\ufe2f\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2069\ufeff]")
 #: Dashes and slashes part words; other signs are dropped where they stand.
@@ -59,7 +60,7 @@ _BROKEN_WORD = re.compile(r"(?<=\w)[-\u2010\u2011]\s*\n\s*(?=[a-z\u00df-\u00ff])
 def words(text: str) -> list[str]:
     """The words of a text, whatever its case, accents, punctuation, marks, invisible characters and layout."""
     if "<" in text or "](" in text:
-        text = _TAGS.sub("", text)
+        text = _TAGS.sub("", _BREAKS.sub(" ", text))
     if "[" in text:
         text = _CITATION.sub(" ", text)
     if "&" in text:
