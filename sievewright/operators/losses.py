@@ -90,17 +90,20 @@ def gspo(new: Column, old: Column, mask: Column, adv: Column, low: float = 0.2,
     return F.greatest(-adv * r, -adv * clamp(r, 1 - low, 1 + high))
 
 
-def aggregate_loss(df: DataFrame, loss: str, mask: str, mode: str, out: str = "loss", norm: float = 1.0) -> DataFrame:
-    """One row with the loss: token-mean, seq-mean-token-sum, seq-mean-token-sum-norm or seq-mean-token-mean."""
+def loss_value(loss: str, mask: str, mode: str, norm: float = 1.0) -> Column:
+    """The aggregate of one mode: token-mean, seq-mean-token-sum, seq-mean-token-sum-norm or seq-mean-token-mean."""
     total, count = masked_sum(F.col(loss), F.col(mask)), array_sum(F.transform(F.col(mask), lambda m: m.cast("double")))
     if mode == "token-mean":
-        value = F.sum(total) / (F.sum(count) + EPSILON)
-    elif mode == "seq-mean-token-sum":
-        value = F.sum(F.when(count > 0, total)) / F.count_if(count > 0)
-    elif mode == "seq-mean-token-sum-norm":
-        value = F.sum(total) / norm
-    elif mode == "seq-mean-token-mean":
-        value = F.sum(F.when(count > 0, total / (count + EPSILON))) / F.count_if(count > 0)
-    else:
-        raise ValueError(f"unknown aggregation {mode}")
-    return df.agg(value.alias(out))
+        return F.sum(total) / (F.sum(count) + EPSILON)
+    if mode == "seq-mean-token-sum":
+        return F.sum(F.when(count > 0, total)) / F.count_if(count > 0)
+    if mode == "seq-mean-token-sum-norm":
+        return F.sum(total) / norm
+    if mode == "seq-mean-token-mean":
+        return F.sum(F.when(count > 0, total / (count + EPSILON))) / F.count_if(count > 0)
+    raise ValueError(f"unknown aggregation {mode}")
+
+
+def aggregate_loss(df: DataFrame, loss: str, mask: str, mode: str, out: str = "loss", norm: float = 1.0) -> DataFrame:
+    """One row with the loss under one mode; several modes share a pass through loss_value."""
+    return df.agg(loss_value(loss, mask, mode, norm).alias(out))

@@ -224,10 +224,8 @@ def loss_value_clip(spark, sf):
     SELECT round(sum(l) / (sum(n) + 1e-8), 6) AS token_mean, round(avg(l) FILTER (WHERE n > 0), 6) AS seq_sum, round(sum(l) / 1000, 6) AS seq_sum_norm, round(avg(l / (n + 1e-8)) FILTER (WHERE n > 0), 6) AS seq_mean FROM s""")
 def loss_aggregation_modes(spark, sf):
     rows = _loss(spark, sf, "reinforce")
-    parts = [L.aggregate_loss(rows, "loss", "mask", m, o, 1000.0) for m, o in (("token-mean", "token_mean"), ("seq-mean-token-sum", "seq_sum"), ("seq-mean-token-sum-norm", "seq_sum_norm"), ("seq-mean-token-mean", "seq_mean"))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.crossJoin(p)  # one row each
+    modes = (("token-mean", "token_mean"), ("seq-mean-token-sum", "seq_sum"), ("seq-mean-token-sum-norm", "seq_sum_norm"), ("seq-mean-token-mean", "seq_mean"))
+    out = rows.agg(*[L.loss_value("loss", "mask", mode, 1000.0).alias(name) for mode, name in modes])
     return rounded(out)
 
 
