@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievewright.session import cut_lineage
+
 #: Queries scored in one pass over the corpus.
 QUERY_BLOCK = 2048
 #: Conventional constants of Okapi BM25.
@@ -187,30 +189,61 @@ def index_vectors(vectors: DataFrame, doc_id: str, vector: str, centroids: np.nd
     return rows.mapInPandas(assign, f"doc_id {vectors.schema[doc_id].dataType.simpleString()}, v array<float>, list int")
 
 
+def list_radii(index: DataFrame, centroids: np.ndarray) -> np.ndarray:
+    """Per list the largest distance of its rows from its centroid; -1 for a list without rows."""
+    shared = index.sparkSession.sparkContext.broadcast(centroids)
+
+    def farthest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            own = frame["list"].to_numpy()
+            away = np.linalg.norm(np.stack(frame["v"].to_list()).astype(np.float64) - shared.value[own], axis=1) if len(frame) else []
+            yield pd.DataFrame({"list": own, "away": away}).groupby("list", as_index=False).max()
+
+    out = np.full(len(centroids), -1.0)
+    for j, away in index.mapInPandas(farthest, "list int, away double").groupBy("list").agg(F.max("away")).collect():
+        out[j] = away
+    return out
+
+
 def index_topk(index: DataFrame, queries: DataFrame, query_id: str, vector: str, centroids: np.ndarray, k: int, probes: int, digits: int = 6) -> DataFrame:
-    """As dense_topk, but a query is scored only against the lists of its `probes` nearest centroids."""
+    """As dense_topk, and with the same rows: a query is scored against the lists of its `probes` nearest centroids, then
+    against every other list that may hold a row as good as its k-th, since q.v <= q.c + |q| |v - c|."""
     spark = index.sparkSession
     schema = f"query_id {queries.schema[query_id].dataType.simpleString()}, doc_id {index.schema['doc_id'].dataType.simpleString()}, score double"
-    out = None
+    radii, out = None, None
     for block in _blocks(queries.where(F.col(vector).isNotNull()).select(query_id, vector).toLocalIterator()):
-        q = np.array([r[1] for r in block], dtype=np.float64)
-        near = np.argsort(-(q @ centroids.T), axis=1)[:, :probes]
-        asking = {int(j): np.flatnonzero((near == j).any(axis=1)) for j in np.unique(near)}
-        shared = spark.sparkContext.broadcast(([r[0] for r in block], q, asking))
-
-        def score(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            names, q, asking = shared.value
-            for frame in frames:
-                for j, part in frame.groupby("list"):
-                    who = asking.get(int(j))
-                    if who is None:
-                        continue
-                    ids, s = part["doc_id"].to_numpy(), np.stack(part["v"].to_list()).astype(np.float64) @ q[who].T
-                    for i, keep in _best(s, ids, k, None):
-                        yield pd.DataFrame({"query_id": names[who[i]], "doc_id": ids[keep], "score": s[keep, i]})
-
-        # a list may hold any share of the rows: it is read by as many tasks as it has partitions
-        found = index.where(F.col("list").isin([int(j) for j in asking])).mapInPandas(score, schema)
+        names, q = [r[0] for r in block], np.array([r[1] for r in block], dtype=np.float64)
+
+        def scored(asked: np.ndarray, names=names, q=q) -> DataFrame:
+            asking = {int(j): np.flatnonzero(asked[:, j]) for j in np.flatnonzero(asked.any(axis=0))}
+            shared = spark.sparkContext.broadcast((names, q, asking))
+
+            def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                names, q, asking = shared.value
+                for frame in frames:
+                    for j, part in frame.groupby("list"):
+                        who = asking.get(int(j))
+                        if who is None:
+                            continue
+                        ids, s = part["doc_id"].to_numpy(), np.stack(part["v"].to_list()).astype(np.float64) @ q[who].T
+                        for i, keep in _best(s, ids, k, None):
+                            yield pd.DataFrame({"query_id": names[who[i]], "doc_id": ids[keep], "score": s[keep, i]})
+
+            # a list may hold any share of the rows: it is read by as many tasks as it has partitions
+            return index.where(F.col("list").isin(list(asking))).mapInPandas(score, schema)
+
+        radii = list_radii(index, centroids) if radii is None else radii
+        near = np.zeros((len(q), len(centroids)), dtype=bool)
+        np.put_along_axis(near, np.argsort(-(q @ centroids.T), axis=1)[:, :probes], True, axis=1)
+        found = cut_lineage(_ranked(scored(near), k, digits))
+        kth = {r["query_id"]: r["score"] for r in found.where(F.col("rank") == k).select("query_id", "score").collect()}
+        edge = np.array([kth.get(n, -np.inf) for n in names])
+        # rounded scores tie, so the edge is lowered by one unit of the last digit
+        most = q @ centroids.T + np.linalg.norm(q, axis=1)[:, None] * radii[None, :]
+        rest = ~near & (radii >= 0)[None, :] & (most >= (edge - 10.0**-digits)[:, None])
+        found = found.drop("rank")
+        if rest.any():
+            found = found.unionByName(scored(rest))
         out = found if out is None else out.unionByName(found)
     return _ranked(out if out is not None else spark.createDataFrame([], schema), k, digits)
 
