@@ -139,6 +139,39 @@ def lexical_scores(docs: DataFrame, doc_id: str, text: str, queries: DataFrame,
     return _ranked(out if out is not None else spark.createDataFrame([], schema), k, digits)
 
 
+def overlap_scores(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, query_id: str, query: str, k: int, digits: int = 9) -> DataFrame:
+    """query_id, doc_id, score, rank: distinct query words a document holds, divided by its characters; all documents are scored."""
+    spark = docs.sparkSession
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.char_length(text).alias("n"), F.array_distinct(tokens(text)).alias("toks"))
+    asked = ((r[0], r[1]) for r in queries.select(query_id, F.array_distinct(tokens(query))).orderBy(query_id).toLocalIterator() if r[1])
+    schema = f"query_id {queries.schema[query_id].dataType.simpleString()}, doc_id {docs.schema[doc_id].dataType.simpleString()}, score double"
+    out = None
+    for block in _blocks(asked):
+        place = {t: i for i, t in enumerate(sorted({t for _, ts in block for t in ts}))}
+        wanted = np.zeros((len(place), len(block)))
+        for j, (_, ts) in enumerate(block):
+            wanted[[place[t] for t in ts], j] = 1
+        shared = spark.sparkContext.broadcast(([q for q, _ in block], place, wanted))
+
+        def score(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            names, place, wanted = shared.value
+            for frame in frames:
+                for at in range(0, len(frame), SCORE_ROWS):
+                    part = frame.iloc[at : at + SCORE_ROWS]
+                    ids, lengths = part["doc_id"].to_numpy(), part["n"].to_numpy(dtype=np.float64)
+                    held = np.zeros((len(part), len(place)))
+                    for i, ts in enumerate(part["toks"]):
+                        held[i, [place[t] for t in ts if t in place]] = 1
+                    s = (held @ wanted) / np.maximum(lengths, 1)[:, None]
+                    for j, keep in _best(s, ids, k, 0.0):
+                        if len(keep):
+                            yield pd.DataFrame({"query_id": names[j], "doc_id": ids[keep], "score": s[keep, j]})
+
+        found = rows.mapInPandas(score, schema)
+        out = found if out is None else out.unionByName(found)
+    return _ranked(out if out is not None else spark.createDataFrame([], schema), k, digits)
+
+
 def fuse(lists: Sequence[DataFrame], k: int, constant: int = FUSION, digits: int = 9) -> DataFrame:
     """Reciprocal-rank fusion of (query_id, doc_id, rank) lists; ties go to the earlier list, then the better rank."""
     every = None

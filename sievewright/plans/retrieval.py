@@ -111,11 +111,22 @@ def _newest(lexical, k=50):
     f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(struct_pack(l := l, r := rank)) AS first FROM u GROUP BY 1, 2)
     SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first.l, first.r) AS INTEGER) AS rank FROM f QUALIFY rank <= 3""")
 def hybrid_rrf_top3(spark, sf):
-    """The flagship: BM25 over all documents for every held-out question, fused with a second ranking, best three."""
+    """BM25 over all documents for every held-out question, fused with its own hits by id, as the SQL has it; no second search."""
     lexical = cut_lineage(_bm25(spark, sf))  # both lists come from it
     return R.fuse([lexical, _newest(lexical)], 3)
 
 
+@query(f"""WITH {_BM25}, o AS (SELECT qt.item_id AS query_id, doc_id, round(count(*)::DOUBLE / min(length(text)), 9) AS score FROM qt JOIN tf USING (term) JOIN documents USING (doc_id) GROUP BY 1, 2),
+    ov AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM o QUALIFY rank <= 50),
+    u AS (SELECT query_id, doc_id, rank, 0 AS l FROM bm UNION ALL SELECT query_id, doc_id, rank, 1 FROM ov),
+    f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(struct_pack(l := l, r := rank)) AS first FROM u GROUP BY 1, 2)
+    SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first.l, first.r) AS INTEGER) AS rank FROM f QUALIFY rank <= 3""")
+def hybrid_rrf_two_searches(spark, sf):
+    """The flagship: two searches of all documents for every held-out question, BM25 and length-normalised overlap, fused, best three."""
+    overlap = R.overlap_scores(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "question", 50)
+    return R.fuse([_bm25(spark, sf), overlap], 3)
+
+
 @query(None)
 def balance_parts(spark, sf):
     docs = table(spark, sf, "documents").withColumn("batch", F.floor(F.col("doc_id") / 512).cast("int"))

@@ -27,3 +27,22 @@ def test_index_skips_lists_that_hold_nothing_better(spark):
     for k in (3, 30):
         want = sorted(tuple(r) for r in R.dense_topk(q, df, "q", "id", "v", k).select("query_id", "rank", "doc_id", "score").collect())
         assert sorted(tuple(r) for r in R.index_topk(index, q, "q", "v", centroids, k, 1).select("query_id", "rank", "doc_id", "score").collect()) == want
+
+
+def test_hybrid_finds_what_bm25_does_not(spark, tmp_path):
+    texts = ["fox " * 30 + "bog " * 30] * 60 + ["fox"] * 60 + ["bog " * 40] * 300
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "fox")], "item_id long, question string").write.parquet(str(tmp_path / "eval_items.parquet"))
+    assert {r["doc_id"] for r in retrieval._bm25(spark, str(tmp_path)).collect()} == set(range(50))
+    best = retrieval.QUERIES["hybrid_rrf_two_searches"](spark, str(tmp_path)).orderBy("rank").collect()
+    assert [r["doc_id"] for r in best] == [0, 60, 1]
+
+
+def test_overlap_scores_every_document(spark):
+    texts = [(i, ("red fox " if i % 3 else "Fox ") + "x" * i) for i in range(80)] + [(80, None), (81, "")]
+    docs = spark.createDataFrame(texts, "id int, t string")
+    asked = spark.createDataFrame([(1, "Red fox, red"), (2, "none")], "q int, s string")
+    held = lambda t: len({"red", "fox"} & set(t.lower().split())) / max(len(t), 1)
+    want = sorted(((1, i, round(held(t), 9)) for i, t in texts if t), key=lambda r: (-r[2], r[1]))[:50]
+    found = R.overlap_scores(docs, "id", "t", asked, "q", "s", 50).orderBy("rank").collect()
+    assert [(r["query_id"], r["doc_id"], r["score"]) for r in found] == want
