@@ -112,29 +112,53 @@ def drop_null_members(spark, sf):
     return table(spark, sf, "sft_rows").where("messages is not null").select("sample_id", "built_at", F.size(kept).cast("bigint").alias("kept"))
 
 
+def _once(spark, sf):
+    s = table(spark, sf, "sft_rows")
+    return s.join(s.groupBy("sample_id").agg(F.count("*").alias("c")).where("c = 1").select("sample_id"), "sample_id", "left_semi")
+
+
+def _rendered(s):
+    lines = F.transform(F.filter("messages", lambda m: m["role"].isNotNull()), lambda m: F.concat(F.lit("<|"), m["role"], F.lit("|>"), F.coalesce(m["content"], F.lit(""))))
+    return s.where(F.size(lines) > 0).select("sample_id", "built_at", F.array_join(lines, "\n").alias("rendered"))
+
+
+def _mask_ranges(s):
+    n = F.transform("messages", lambda m: F.char_length(F.coalesce(m["content"], F.lit(""))).cast("bigint"))
+    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("ends"))
+    ends = F.aggregate(n, zero, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["ends"], F.array(acc["at"] + x)).alias("ends")))["ends"]
+    d = s.where("messages is not null").withColumn("x", F.arrays_zip("messages", ends.alias("e"), n.alias("n")))
+    d = d.select("sample_id", "built_at", F.posexplode("x").alias("turn", "y")).where("y.messages.role = 'assistant'")
+    return d.select("sample_id", "built_at", (F.col("turn") + 1).cast("bigint").alias("turn"), (F.col("y.e") - F.col("y.n")).alias("mask_start"), F.col("y.e").alias("mask_end"))
+
+
 @query("""SELECT sample_id, built_at, string_agg('<|' || m.role || '|>' || coalesce(m.content, ''), chr(10) ORDER BY i) AS rendered FROM (
     SELECT sample_id, built_at, unnest(messages) AS m, generate_subscripts(messages, 1) AS i FROM sft_rows WHERE sample_id IN (SELECT sample_id FROM sft_rows GROUP BY 1 HAVING count(*) = 1)) WHERE m.role IS NOT NULL GROUP BY 1, 2""")
 def chat_template(spark, sf):
     """Chats rendered by a fixed template; samples built once."""
-    s = table(spark, sf, "sft_rows")
-    once = s.groupBy("sample_id").agg(F.count("*").alias("c")).where("c = 1").select("sample_id")
-    lines = F.transform(F.filter("messages", lambda m: m["role"].isNotNull()), lambda m: F.concat(F.lit("<|"), m["role"], F.lit("|>"), F.coalesce(m["content"], F.lit(""))))
-    return s.join(once, "sample_id", "left_semi").where(F.size(lines) > 0).select("sample_id", "built_at", F.array_join(lines, "\n").alias("rendered"))
+    return _rendered(_once(spark, sf))
+
+
+@query("""SELECT sample_id, built_at, string_agg('<|' || m.role || '|>' || coalesce(m.content, ''), chr(10) ORDER BY i) AS rendered FROM (
+    SELECT sample_id, built_at, unnest(messages) AS m, generate_subscripts(messages, 1) AS i FROM sft_rows) WHERE m.role IS NOT NULL GROUP BY 1, 2""")
+def chat_template_all(spark, sf):
+    """The same for every delivery of every sample."""
+    return _rendered(table(spark, sf, "sft_rows"))
 
 
 @query("""WITH m AS (SELECT sample_id, built_at, unnest(messages) AS m, generate_subscripts(messages, 1) AS i FROM sft_rows WHERE sample_id IN (SELECT sample_id FROM sft_rows GROUP BY 1 HAVING count(*) = 1)),
     l AS (SELECT *, length(coalesce(m.content, '')) AS n FROM m) SELECT sample_id, built_at, i AS turn, CAST(sum(n) OVER (PARTITION BY sample_id ORDER BY i) - n AS BIGINT) AS mask_start, CAST(sum(n) OVER (PARTITION BY sample_id ORDER BY i) AS BIGINT) AS mask_end
     FROM l QUALIFY m.role = 'assistant'""")
 def assistant_mask_ranges(spark, sf):
-    """Character ranges of assistant turns, in which a loss would count."""
-    s = table(spark, sf, "sft_rows")
-    once = s.groupBy("sample_id").agg(F.count("*").alias("c")).where("c = 1").select("sample_id")
-    n = F.transform("messages", lambda m: F.char_length(F.coalesce(m["content"], F.lit(""))).cast("bigint"))
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("ends"))
-    ends = F.aggregate(n, zero, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["ends"], F.array(acc["at"] + x)).alias("ends")))["ends"]
-    d = s.join(once, "sample_id", "left_semi").where("messages is not null").withColumn("x", F.arrays_zip("messages", ends.alias("e"), n.alias("n")))
-    d = d.select("sample_id", "built_at", F.posexplode("x").alias("turn", "y")).where("y.messages.role = 'assistant'")
-    return d.select("sample_id", "built_at", (F.col("turn") + 1).cast("bigint").alias("turn"), (F.col("y.e") - F.col("y.n")).alias("mask_start"), F.col("y.e").alias("mask_end"))
+    """Character ranges of assistant turns, in which a loss would count; samples built once."""
+    return _mask_ranges(_once(spark, sf))
+
+
+@query("""WITH m AS (SELECT sample_id, built_at, unnest(messages) AS m, generate_subscripts(messages, 1) AS i FROM sft_rows),
+    l AS (SELECT *, length(coalesce(m.content, '')) AS n FROM m) SELECT sample_id, built_at, i AS turn, CAST(sum(n) OVER (PARTITION BY sample_id, built_at ORDER BY i) - n AS BIGINT) AS mask_start, CAST(sum(n) OVER (PARTITION BY sample_id, built_at ORDER BY i) AS BIGINT) AS mask_end
+    FROM l QUALIFY m.role = 'assistant'""")
+def assistant_mask_ranges_all(spark, sf):
+    """The same for every delivery of every sample."""
+    return _mask_ranges(table(spark, sf, "sft_rows"))
 
 
 @query("""WITH r AS (SELECT sample_id, built_at, m.content AS c FROM (SELECT sample_id, built_at, unnest(messages) AS m FROM sft_rows) WHERE m.role = 'tool' AND m.content LIKE 'Doc 1%')

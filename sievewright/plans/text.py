@@ -204,6 +204,12 @@ def text_phrase_norm(spark, sf):
     return table(spark, sf, "documents").where("lang = 'en' and text is not null").select("doc_id", T.normalize_phrase("text").alias("phrase"))
 
 
+@query(None)
+def text_phrase_norm_all(spark, sf):
+    """All texts in all languages; no SQL, since engines differ in lower case and word characters beyond English."""
+    return table(spark, sf, "documents").where("text is not null").select("doc_id", T.normalize_phrase("text").alias("phrase"))
+
+
 @query(r"SELECT item_id, regexp_extract_all(right(passage, 300), '(-?[0-9.,]+)', 1)[-1] IS NOT NULL AS has_number FROM eval_items")
 def text_gsm8k(spark, sf):
     return table(spark, sf, "eval_items").select("item_id", F.coalesce(T.gsm8k_flexible("passage").isNotNull(), F.lit(False)).alias("has_number"))
@@ -224,6 +230,12 @@ def text_utf8_prefix(spark, sf):
     return table(spark, sf, "documents").where("octet_length(text) = char_length(text)").select("doc_id", T.utf8_prefix("text", 200).alias("prefix"))
 
 
+@query(None)
+def text_utf8_prefix_all(spark, sf):
+    """All texts, those with characters of more than one byte included."""
+    return table(spark, sf, "documents").where("text is not null").select("doc_id", T.utf8_prefix("text", 200).alias("prefix"))
+
+
 @query("""
     SELECT c.category_key, c.name, list_sort(list_distinct(list_filter([lower(trim(c.name)), lower(trim(c.common_name)), lower(trim(c.genus || ' ' || c.specific_epithet))], lambda x: x IS NOT NULL AND x <> ''))) AS aliases
     FROM categories c""")

@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 
 from sievewright.operators import retrieval as R
-from sievewright.plans import retrieval
+from sievewright.plans import dataset, retrieval, text
 
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
@@ -46,3 +46,27 @@ def test_overlap_scores_every_document(spark):
     want = sorted(((1, i, round(held(t), 9)) for i, t in texts if t), key=lambda r: (-r[2], r[1]))[:50]
     found = R.overlap_scores(docs, "id", "t", asked, "q", "s", 50).orderBy("rank").collect()
     assert [(r["query_id"], r["doc_id"], r["score"]) for r in found] == want
+
+
+TEXTS = ["a" * 300, "é" * 150, "x" * 199 + "é", "x" * 198 + "日本", "x" * 197 + "🦊🦊", "Été — DAS\u00a0Größte, снег_1!", "", None]
+
+
+def test_texts_of_all_scripts(spark, tmp_path):
+    import re
+    import unicodedata
+
+    word = lambda ch: ch == "_" or unicodedata.category(ch)[0] in "LM" or unicodedata.category(ch) in ("Nd", "Pc")
+    langs = ["en", "fr", "eng", "ja", None, "EN", "en-GB", "en"]
+    spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(zip(TEXTS, langs, strict=True))], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {n: {r[0]: r[1] for r in text.QUERIES[n](spark, str(tmp_path)).collect()} for n in ("text_utf8_prefix_all", "text_phrase_norm_all")}
+    texts = {i: t for i, t in enumerate(TEXTS) if t is not None}
+    assert got["text_utf8_prefix_all"] == {i: t.encode()[:200].decode(errors="ignore") for i, t in texts.items()}
+    assert got["text_phrase_norm_all"] == {i: re.sub(" +", " ", "".join(c if word(c) else " " for c in t.lower())).strip() for i, t in texts.items()}
+
+
+def test_every_delivery_of_a_sample(spark, tmp_path):
+    turns = [("user", "añ"), ("assistant", None), ("assistant", "xyz")]
+    spark.createDataFrame([("s", 1, turns), ("s", 2, turns[:2]), ("t", 1, turns[2:])], "sample_id string, built_at int, messages array<struct<role string, content string>>").write.parquet(str(tmp_path / "sft_rows.parquet"))
+    rows = lambda n: sorted(tuple(r) for r in dataset.QUERIES[n](spark, str(tmp_path)).collect())
+    assert rows("chat_template_all") == [("s", 1, "<|user|>añ\n<|assistant|>\n<|assistant|>xyz"), ("s", 2, "<|user|>añ\n<|assistant|>"), ("t", 1, "<|assistant|>xyz")]
+    assert rows("assistant_mask_ranges_all") == [("s", 1, 2, 2, 2), ("s", 1, 3, 2, 5), ("s", 2, 2, 2, 2), ("t", 1, 1, 0, 3)]
