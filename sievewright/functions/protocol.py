@@ -174,6 +174,18 @@ def boxed_reward(solution: str, truth: str) -> float:
     return 1.0 if found is not None and equal_answers(found, truth) else -1.0
 
 
+def _plain_answer(text: str) -> str:
+    t = re.sub(r"[!-/:-@\[-`{-~]", "", text.lower())
+    return " ".join(re.sub(r"\b(a|an|the)\b", " ", t).split())
+
+
+@REWARDS.register("answer_match")
+def answer_match(solution: str, truth: str) -> float:
+    """1 where the last <answer> equals the truth without case, punctuation and articles, else 0."""
+    found = _ANSWER.findall(solution)
+    return float(bool(found and found[-1].strip()) and _plain_answer(found[-1]) == _plain_answer(truth))
+
+
 @REWARDS.register("tool_match")
 def tool_match(solution: str, truth: str) -> float:
     """Greedy best match of predicted calls to true ones, by name and by shared argument items; in 0..1."""
@@ -199,14 +211,15 @@ def tool_match(solution: str, truth: str) -> float:
 
 
 def score_by_source(source: Column, solution: Column, truth: Column, scorers: dict[str, str], default: str = "boxed") -> Column:
-    """A registered reward per data source; every scorer sees only its own rows."""
+    """A registered reward per data source; every scorer sees only its own rows. Of several truths (an array) the best counts."""
 
     def scorer(name: str) -> Column:
         f = REWARDS.get(name)
 
         @F.pandas_udf("double")
         def run(solutions: pd.Series, truths: pd.Series) -> pd.Series:
-            return pd.Series([f(s, t) if isinstance(s, str) and isinstance(t, str) else None for s, t in zip(solutions, truths, strict=True)], dtype="float64")
+            every = ([t] if isinstance(t, str) else [] if t is None else [x for x in t if isinstance(x, str)] for t in truths)
+            return pd.Series([max((f(s, t) for t in ts), default=None) if isinstance(s, str) else None for s, ts in zip(solutions, every, strict=True)], dtype="float64")
 
         return run(solution, truth)
 

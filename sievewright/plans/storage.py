@@ -88,7 +88,13 @@ def protocol_turns(spark, sf):
 
 @query(None)
 def protocol_scores(spark, sf):
-    """Answers scored by the scorer registered for their data source."""
-    rows = table(spark, sf, "sft_rows").where("extra_info.answers is not null and size(extra_info.answers) > 0")
-    solution = F.concat(F.lit("\\boxed{"), F.get("extra_info.answers", F.lit(0)), F.lit("}"))
-    return rows.select("sample_id", P.score_by_source(F.col("data_source"), solution, F.get("extra_info.answers", F.lit(0)), {"tool_calls": "tool_match"}).alias("score"))
+    """Every sample's assistant turns scored against all its gold answers, by the scorer of its data source: its last <answer>, or
+    its tool calls where the source's truths are calls. NULL without a gold answer."""
+    turns = F.filter("messages", lambda m: m["role"] == "assistant")
+    said = F.transform(turns, lambda m: F.coalesce(m["content"], F.lit("")))
+    name = lambda c: F.regexp_replace(F.to_json(F.struct(c["function"]["name"].alias("name"))), r"\}$", "")
+    call = lambda c: F.concat(F.lit("<tool_call>"), name(c), F.lit(',"arguments":'), F.coalesce(c["function"]["arguments"], F.lit("{}")), F.lit("}</tool_call>"))
+    calls = F.transform(F.flatten(F.filter(F.transform(turns, lambda m: m["tool_calls"]), lambda x: x.isNotNull())), call)
+    solution = F.when(F.col("data_source") == "tool_calls", F.concat_ws("\n", said, calls)).otherwise(F.concat_ws("\n", said))
+    score = P.score_by_source(F.col("data_source"), solution, F.col("extra_info.answers"), {"tool_calls": "tool_match"}, default="answer_match")
+    return table(spark, sf, "sft_rows").select("sample_id", "built_at", score.alias("score"))

@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 
 from sievewright.operators import retrieval as R
-from sievewright.plans import dataset, retrieval, text
+from sievewright.plans import dataset, retrieval, storage, text
 
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
@@ -70,3 +70,25 @@ def test_every_delivery_of_a_sample(spark, tmp_path):
     rows = lambda n: sorted(tuple(r) for r in dataset.QUERIES[n](spark, str(tmp_path)).collect())
     assert rows("chat_template_all") == [("s", 1, "<|user|>añ\n<|assistant|>\n<|assistant|>xyz"), ("s", 2, "<|user|>añ\n<|assistant|>"), ("t", 1, "<|assistant|>xyz")]
     assert rows("assistant_mask_ranges_all") == [("s", 1, 2, 2, 2), ("s", 1, 3, 2, 5), ("s", 2, 2, 2, 2), ("t", 1, 1, 0, 3)]
+
+
+def test_scores_read_the_predictions(spark, tmp_path):
+    def row(sample, source, contents, golds, calls=None):
+        messages = [("user", "<answer>red</answer>", None)] + [("assistant", c, None) for c in contents]
+        return (sample, 1, source, [*messages, ("assistant", None, [(("search", a),) for a in calls])] if calls else messages, (golds,))
+
+    gold = ['<tool_call>{"name": "search", "arguments": {"query": "fox"}}</tool_call>']
+    rows = [
+        row("right", "dual_search", ["<answer>blue</answer>", "<answer>The Red.</answer>"], ["green", "red"]),
+        row("wrong", "dual_search", ["<answer>red</answer>", "<answer>blue</answer>"], ["red"]),
+        row("silent", "dual_search", ["red"], ["red"]),
+        row("unknown", None, ["<answer>red</answer>"], []),
+        row("same call", "tool_calls", [], gold, ['{"query": "fox"}']),
+        row("other call", "tool_calls", [], gold, ['{"query": "bog"}']),
+        row("no call", "tool_calls", ["<answer>fox</answer>"], gold),
+        row("braces", "dual_search", ["<answer>x}{y</answer>"], ["x", "{x"]),
+    ]
+    schema = "sample_id string, built_at int, data_source string, messages array<struct<role string, content string, tool_calls array<struct<function struct<name string, arguments string>>>>>, extra_info struct<answers array<string>>"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "sft_rows.parquet"))
+    found = {r["sample_id"]: r["score"] for r in storage.QUERIES["protocol_scores"](spark, str(tmp_path)).collect()}
+    assert found == {"right": 1.0, "wrong": 0.0, "silent": 0.0, "unknown": None, "same call": 1.0, "other call": 0.5, "no call": 0.0, "braces": 0.0}
