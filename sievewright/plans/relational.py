@@ -70,6 +70,15 @@ def join_full_outer(spark, sf):
     return c.join(s, c["c_nationkey"] == s["s_nationkey"], "full").select("c_custkey", "s_suppkey", F.coalesce("c_nationkey", "s_nationkey").alias("nation"))
 
 
+@query("""WITH c AS (SELECT c_nationkey AS k, count(*) AS customers, round(sum(c_acctbal), 2) AS customer_total FROM customer GROUP BY 1), s AS (SELECT s_nationkey AS k, count(*) AS suppliers, round(sum(s_acctbal), 2) AS supplier_total FROM supplier GROUP BY 1)
+    SELECT coalesce(c.k, s.k) AS nation, customers, customer_total, suppliers, supplier_total FROM c FULL JOIN s ON c.k = s.k""")
+def join_full_outer_all(spark, sf):
+    """All customers against all suppliers, each side summed up by nation, so that no nation multiplies its rows."""
+    side = lambda n, p, one: table(spark, sf, n).groupBy(F.col(f"{p}_nationkey").alias("k")).agg(F.count("*").alias(f"{one}s"), F.round(F.sum(f"{p}_acctbal"), 2).alias(f"{one}_total"))
+    c, s = side("customer", "c", "customer"), side("supplier", "s", "supplier")
+    return c.join(s, c["k"] == s["k"], "full").select(F.coalesce(c["k"], s["k"]).alias("nation"), "customers", "customer_total", "suppliers", "supplier_total")
+
+
 @query("""SELECT e.event_id, p.value AS last_purchase FROM events e ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) p ON e.user_id = p.user_id AND e.ts >= p.ts""")
 def join_asof(spark, sf):
     """As-of join in one pass: the last purchase at or before each event, by a window over both."""
@@ -159,6 +168,16 @@ def batch_repeat_by_row(spark, sf):
     return B.repeat(table(spark, sf, "part").where("p_size > 45").select("p_partkey", "p_size"), F.col("p_size")).drop("p_size")
 
 
+@query("SELECT o_orderkey, unnest(range(0, 3)) AS repeat_no FROM orders")
+def batch_repeat_all(spark, sf):
+    return B.repeat(table(spark, sf, "orders").select("o_orderkey"), 3)
+
+
+@query("SELECT p_partkey, unnest(range(0, p_size)) AS repeat_no FROM part")
+def batch_repeat_by_row_all(spark, sf):
+    return B.repeat(table(spark, sf, "part").select("p_partkey", "p_size"), F.col("p_size")).drop("p_size")
+
+
 @query("SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders) WHERE i >= 10 AND i < 5000 AND (i - 10) % 7 = 0")
 def batch_slice(spark, sf):
     return B.slice_rows(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 10, 5000, 7)

@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 
 from sievewright.operators import retrieval as R
-from sievewright.plans import dataset, retrieval, storage, text
+from sievewright.plans import dataset, relational, retrieval, storage, text
 
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
@@ -92,3 +92,12 @@ def test_scores_read_the_predictions(spark, tmp_path):
     spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "sft_rows.parquet"))
     found = {r["sample_id"]: r["score"] for r in storage.QUERIES["protocol_scores"](spark, str(tmp_path)).collect()}
     assert found == {"right": 1.0, "wrong": 0.0, "silent": 0.0, "unknown": None, "same call": 1.0, "other call": 0.5, "no call": 0.0, "braces": 0.0}
+
+
+def test_joins_and_repeats_over_whole_tables(spark, data):
+    n = lambda t: spark.read.parquet(f"{data}/{t}.parquet")
+    joined = relational.QUERIES["join_full_outer_all"](spark, data).collect()
+    assert sum(r["customers"] or 0 for r in joined) == n("customer").count() and sum(r["suppliers"] or 0 for r in joined) == n("supplier").count()
+    assert any(r["suppliers"] is None for r in joined)
+    assert relational.QUERIES["batch_repeat_all"](spark, data).count() == 3 * n("orders").count()
+    assert relational.QUERIES["batch_repeat_by_row_all"](spark, data).count() == n("part").selectExpr("sum(p_size)").first()[0]
