@@ -259,6 +259,21 @@ def select_quota(spark, sf):
     return S.take_quota(rows, ["coarse_taxon", "question_type"], ["train_rank", "tiebreak", "source_row_index"], quotas).select("source_row_index", "coarse_taxon", "question_type", "cell_rank")
 
 
+@query("""WITH q AS (SELECT coarse_taxon, question_type, CAST(floor(target_share * 200) AS BIGINT) AS quota FROM sample_targets),
+    n AS (SELECT c.* EXCLUDE (coarse_taxon, question_type), t.canonical AS coarse_taxon, k.canonical AS question_type FROM qa_candidates c
+          JOIN label_aliases t ON t.field_name = 'coarse_taxon' AND t.alias = lower(trim(c.coarse_taxon)) JOIN label_aliases k ON k.field_name = 'question_type' AND k.alias = lower(trim(c.question_type))),
+    c AS (SELECT n.*, row_number() OVER (PARTITION BY coarse_taxon, question_type ORDER BY train_rank, tiebreak, source_row_index) AS cell_rank FROM n)
+    SELECT source_row_index, coarse_taxon, question_type, cell_rank FROM c JOIN q USING (coarse_taxon, question_type) WHERE cell_rank <= quota""")
+def select_quota_canonical(spark, sf):
+    """Every spelling of a label competes for its cell's quota."""
+    aliases, rows = table(spark, sf, "label_aliases"), table(spark, sf, "qa_candidates").select("source_row_index", "coarse_taxon", "question_type", "train_rank", "tiebreak")
+    for c in ("coarse_taxon", "question_type"):
+        names = aliases.where(F.col("field_name") == c).select(F.col("alias").alias("a"), F.col("canonical").alias("name"))
+        rows = rows.join(broadcast_if_small(names), F.lower(F.trim(c)) == F.col("a")).withColumn(c, F.col("name")).drop("a", "name")
+    quotas = table(spark, sf, "sample_targets").select("coarse_taxon", "question_type", F.floor(F.col("target_share") * 200).alias("quota"))
+    return S.take_quota(rows, ["coarse_taxon", "question_type"], ["train_rank", "tiebreak", "source_row_index"], quotas).select("source_row_index", "coarse_taxon", "question_type", "cell_rank")
+
+
 @query("SELECT source, doc_id, rank FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents WHERE text IS NOT NULL) WHERE rank <= 5")
 def select_top_per_group(spark, sf):
     return S.top_per_group(table(spark, sf, "documents").where("text is not null").select("source", "doc_id", "n_chars"), ["source"], [F.desc("n_chars"), "doc_id"], 5).select("source", "doc_id", "rank")

@@ -101,3 +101,11 @@ def test_joins_and_repeats_over_whole_tables(spark, data):
     assert any(r["suppliers"] is None for r in joined)
     assert relational.QUERIES["batch_repeat_all"](spark, data).count() == 3 * n("orders").count()
     assert relational.QUERIES["batch_repeat_by_row_all"](spark, data).count() == n("part").selectExpr("sum(p_size)").first()[0]
+
+
+def test_quota_counts_every_spelling(spark, tmp_path):
+    put = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    put("label_aliases", [("coarse_taxon", "aves", "Birds"), ("coarse_taxon", "birds", "Birds"), ("question_type", "auto", "automatic")], "field_name string, alias string, canonical string")
+    put("sample_targets", [("Birds", "automatic", 0.01)], "coarse_taxon string, question_type string, target_share double")
+    put("qa_candidates", [(1, "Birds", "auto", 3, "a"), (2, " AVES", "Auto ", 1, "b"), (3, "birds", "auto", 2, "c"), (4, None, "auto", 0, "d"), (5, "Fish", "auto", 0, "e")], "source_row_index long, coarse_taxon string, question_type string, train_rank long, tiebreak string")
+    assert sorted(tuple(r) for r in relational.QUERIES["select_quota_canonical"](spark, str(tmp_path)).collect()) == [(2, "Birds", "automatic", 1), (3, "Birds", "automatic", 2)]
