@@ -2,8 +2,9 @@
 
 A text is read once into tokens whose sizes are summed up; every kind of boundary is a sorted array of token offsets. A
 piece takes the last boundary of the strongest kind below the limit by binary search; where none lies in the piece's second
-half a weaker kind is tried, and where a single token exceeds the limit the cut is hard, but never inside a grapheme.
-The next piece starts at the sentence or word boundary nearest to `overlap` units before the cut.
+half a weaker kind is tried, and where a single token exceeds the limit the cut is hard, inside a grapheme only if the
+grapheme alone exceeds half the limit. The next piece starts at the sentence or word boundary nearest to `overlap` units
+before the cut; where the next token would not fit behind that much overlap, it repeats less. No piece exceeds the limit.
 
 Defined cases: NULL or empty text gives no pieces; a text within the limit is one piece; a text without any boundary is cut
 hard at the limit; the pieces of one text, without their overlaps, join to exactly the text. Repeated rows are each cut.
@@ -15,7 +16,7 @@ import re
 import unicodedata
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator, Sequence
-from itertools import accumulate
+from itertools import accumulate, pairwise
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -64,16 +65,15 @@ def cut_points(text: str, limit: int, overlap: int, sizes: Callable[[str], int]
             parts.append(sizes(word))
             offsets.append(m.end())
             continue
-        # a token that can't fit well is offered in graphemes
+        # a token that can't fit well is offered in graphemes, one that is a huge grapheme in characters
         last = m.start()
         for i in range(m.start() + 1, m.end() + 1):
-            if grapheme_start(text, i, last) == i:
-                parts.append(sizes(text[last:i]))
-                offsets.append(i)
+            if i == m.end() or grapheme_start(text, i, last) == i:
+                huge = sizes(text[last:i]) > step
+                for a, b in pairwise(range(last, i + 1)) if huge else [(last, i)]:
+                    parts.append(sizes(text[a:b]))
+                    offsets.append(b)
                 last = i
-        if last < m.end():
-            parts.append(sizes(text[last : m.end()]))
-            offsets.append(m.end())
     total = list(accumulate(parts, initial=0))
     if total[-1] <= limit:
         return [(0, len(text))]
@@ -81,10 +81,14 @@ def cut_points(text: str, limit: int, overlap: int, sizes: Callable[[str], int]
     pieces: list[tuple[int, int]] = []
     start = covered = 0
     while True:
+        while total[covered + 1] - total[start] > limit:  # the overlap leaves no room for the next token
+            if start == covered:
+                raise ValueError(f"one character is larger than the limit of {limit}")
+            start += 1
         if total[-1] - total[start] <= limit:
             pieces.append((offsets[start], len(text)))
             return pieces
-        far = max(bisect_right(total, total[start] + limit) - 1, covered + 1)
+        far = bisect_right(total, total[start] + limit) - 1
         least = max(bisect_left(total, total[start] + int(limit * LEAST_FILL)), covered + 1)
         end = far
         for kind in kinds:
@@ -118,26 +122,27 @@ def _restart(kinds: Sequence[list[int]], total: list[int], start: int, end: int,
 def split_oversized(df: DataFrame, keys: Sequence[str], text: str, limit: int = 1800, overlap: int = 150) -> DataFrame:
     """keys, piece_no (from 1), n_pieces, piece_start, piece_end (code points, end excluded), repeated, piece.
 
-    Texts within the limit never leave the JVM; only the long ones go through Python. No shuffle. Keys must not be named
-    like the result's columns; all other columns of the input are ignored.
+    Only texts above the limit reach Python, as one column of an otherwise native plan; the input is read once and not
+    shuffled. Keys must not be named like the result's columns; all other columns of the input are ignored.
     """
-    rows = df.select(*keys, F.col(text).cast("string").alias("piece")).where("piece <> ''")
-    short = rows.where(F.char_length("piece") <= limit).select(
-        *keys, F.lit(1).alias("piece_no"), F.lit(1).alias("n_pieces"), F.lit(0).alias("piece_start"),
-        F.char_length("piece").alias("piece_end"), F.lit(0).alias("repeated"), "piece",
-    )
-    key_names = list(keys)
-
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    piece = "struct<a:int,b:int,repeated:int,piece:string>"
+
+    @F.pandas_udf(f"array<{piece}>")
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
             out = []
-            for row in frame.itertuples(index=False, name=None):
-                pieces = cut_points(row[-1], limit, overlap)
-                last = 0
-                for i, (a, b) in enumerate(pieces, 1):
-                    out.append((*row[:-1], i, len(pieces), a, b, last - a if i > 1 else 0, row[-1][a:b]))
+            for t in texts:
+                found, last = ([] if t is not None else None), 0
+                for a, b in cut_points(t, limit, overlap) if t else []:
+                    found.append({"a": a, "b": b, "repeated": max(0, last - a), "piece": t[a:b]})
                     last = b
-            yield pd.DataFrame(out, columns=[*key_names, "piece_no", "n_pieces", "piece_start", "piece_end", "repeated", "piece"])
-
-    long = rows.where(F.char_length("piece") > limit).mapInPandas(cut, short.schema)
-    return short.unionByName(long)
+                out.append(found)
+            yield pd.Series(out, dtype=object)
+
+    rows = df.select(*keys, F.col(text).cast("string").alias("__text")).where("__text <> ''")
+    rows = rows.withColumn("__pieces", cut(F.when(F.char_length("__text") > limit, F.col("__text"))))
+    whole = F.array(F.struct(F.lit(0).alias("a"), F.char_length("__text").alias("b"), F.lit(0).alias("repeated"), F.col("__text").alias("piece")))
+    rows = rows.select(*keys, F.coalesce("__pieces", whole.cast(f"array<{piece}>")).alias("__pieces"))
+    n = F.size("__pieces").alias("n_pieces")
+    rows = rows.select(*keys, n, F.posexplode("__pieces").alias("at", "p"))
+    return rows.select(*keys, (F.col("at") + 1).alias("piece_no"), "n_pieces", F.col("p.a").alias("piece_start"), F.col("p.b").alias("piece_end"), F.col("p.repeated").alias("repeated"), F.col("p.piece").alias("piece"))

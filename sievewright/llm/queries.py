@@ -10,13 +10,19 @@ from sievewright.functions.text import clean_text
 from sievewright.session import cut_lineage, table
 
 
+def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "text_corpus").select("id", "contents").where("id is not null")
+
+
 def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sections = table(spark, sf_dir, "text_corpus").select("id", "contents").where("id is not null").distinct()
-    return chunking.split_oversized(sections, ["id"], "contents", limit=1800, overlap=150)
+    """Pieces of every section; one fetched again with the same text counts once, by its digest."""
+    once = _sections(spark, sf_dir).withColumn("digest", F.unhex(F.md5("contents"))).dropDuplicates(["id", "digest"])
+    return chunking.split_oversized(once, ["id"], "contents", limit=1800, overlap=150)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p1_pieces(spark, sf_dir).where("n_pieces > 1").select("id").distinct()
+    """Only ids of cut sections are shuffled, never their texts."""
+    return chunking.split_oversized(_sections(spark, sf_dir), ["id"], "contents", limit=1800, overlap=150).where("n_pieces > 1").select("id").distinct()
 
 
 def _p3(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

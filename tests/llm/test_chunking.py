@@ -15,9 +15,11 @@ def texts():
     yield "e\u0301" * 3000
     yield "\n" * 4000
     yield ("word " * 100 + "\n\n") * 50
+    yield "a" + "\u0301" * 700 + " end" * 300
+    yield ("x" * 47 + " ") * 40
 
 
-@pytest.mark.parametrize("limit,overlap", [(1800, 150), (50, 10), (10, 0), (3, 2)])
+@pytest.mark.parametrize("limit,overlap", [(1800, 150), (50, 10), (10, 0), (3, 2), (100, 90), (100, 60), (50, 40), (200, 180), (1, 0), (2, 1)])
 def test_round_trip_limits_and_overlap(limit, overlap):
     for text in texts():
         pieces = cut_points(text, limit, overlap)
