@@ -6,20 +6,23 @@ these four numbers, whatever lies between the two levels.
 
 Defined cases: a payload that is NULL, empty, broken or not one JSON object gives a record row with status `broken` and no
 children; members that are missing, null or of another kind than expected give no children; a null element keeps its
-position but is no child; text stands for the JSON it encodes and a lone object for a list of one; repeated deliveries each
-count; extra columns of the input are ignored, so their names can't clash.
+position but is no child; text stands for the JSON it encodes, however often, and a lone object for a list of one; members
+may be nested to any depth; repeated deliveries each count; extra columns of the input are ignored, so their names can't clash.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Sequence
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievewright.session import cut_lineage
+
 #: Kinds of nodes by path. A member maps to (kind, its own members); kind "" is an object that is only passed through.
 TRAJECTORY: dict[str, tuple[str, dict]] = {
     "messages": ("message", {"content": ("content_part", {}), "tool_calls": ("tool_call", {})}),
@@ -28,24 +31,117 @@ TRAJECTORY: dict[str, tuple[str, dict]] = {
 }
 #: Members that hold text or a list; their text is never read as JSON.
 TEXT_OR_LIST = frozenset({"content"})
-#: Times a text may encode a text that encodes JSON.
-MAX_ENCODINGS = 4
 
 
 def _reject(text: str) -> Any:
     raise ValueError(f"{text} is not JSON")
 
 
+_SPACE = re.compile(r"[ \t\n\r]*")
+_SCALAR = re.compile(r'"(?:[^"\\\x00-\x1f]|\\.)*"|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null', re.S)
+
+
+def _read_deep(text: str) -> Any:
+    """JSON nested too deeply for the recursive reader, read with a stack of its own; ValueError where it is no JSON."""
+    top: list = []
+    stack: list[tuple[Any, str | None]] = [(top, None)]  # container and, in an object, the member being read
+    at, wants = _SPACE.match(text).end(), True  # wants: a value must come next
+
+    def name_at(at: int) -> tuple[str, int]:
+        m = _SCALAR.match(text, at)
+        if m is None or text[at : at + 1] != '"':
+            raise ValueError("a member's name is missing")
+        colon = _SPACE.match(text, m.end()).end()
+        if text[colon : colon + 1] != ":":
+            raise ValueError("a colon is missing")
+        return json.loads(m[0]), colon + 1
+
+    def put(value: Any) -> None:
+        holder, name = stack[-1]
+        if name is None:
+            holder.append(value)
+        else:
+            holder[name] = value
+
+    while at < len(text):
+        ch = text[at]
+        if wants and ch in "[{":
+            inner: Any = [] if ch == "[" else {}
+            put(inner)
+            ahead = _SPACE.match(text, at + 1).end()
+            if text[ahead : ahead + 1] == ("]" if ch == "[" else "}"):
+                at, wants = ahead + 1, False
+            elif ch == "[":
+                stack.append((inner, None))
+                at = ahead
+            else:
+                name, at = name_at(ahead)
+                stack.append((inner, name))
+        elif wants:
+            m = _SCALAR.match(text, at)
+            if m is None:
+                raise ValueError("a value is missing")
+            put(json.loads(m[0]))
+            at, wants = m.end(), False
+        elif len(stack) == 1:
+            raise ValueError("text after the value")
+        elif ch == ",":
+            at, wants = _SPACE.match(text, at + 1).end(), True
+            if stack[-1][1] is not None:
+                name, at = name_at(at)
+                stack[-1] = (stack[-1][0], name)
+        elif ch == ("]" if stack[-1][1] is None else "}"):
+            stack.pop()
+            at += 1
+        else:
+            raise ValueError("a comma or an end is missing")
+        at = _SPACE.match(text, at).end()
+    if len(stack) > 1 or wants or not top:
+        raise ValueError("the value isn't complete")
+    return top[0]
+
+
+def _write_deep(value: Any) -> str:
+    """Compact JSON with sorted members, without recursion."""
+    out: list[str] = []
+    stack: list[Any] = [(value,)]  # a tuple of one holds a value still to be written, a string is written as it is
+    while stack:
+        step = stack.pop()
+        if isinstance(step, str):
+            out.append(step)
+            continue
+        x = step[0]
+        if isinstance(x, dict) and x:
+            parts: list[Any] = ["{"]
+            for i, k in enumerate(sorted(x)):
+                parts += [("," if i else "") + json.dumps(k, ensure_ascii=False) + ":", (x[k],)]
+            stack += reversed([*parts, "}"])
+        elif isinstance(x, list) and x:
+            parts = ["["]
+            for i, y in enumerate(x):
+                parts += [",", (y,)] if i else [(y,)]
+            stack += reversed([*parts, "]"])
+        else:
+            out.append(json.dumps(x, ensure_ascii=False))
+    return "".join(out)
+
+
 def decode(value: Any) -> Any:
-    """What a text encodes, however often it was encoded; None for text that is no JSON. Other values as they are."""
-    for _ in range(MAX_ENCODINGS):
-        if not isinstance(value, str):
-            return value
+    """What a text encodes, however often it was encoded; None for text that is no JSON. Other values as they are.
+
+    Every layer of encoding takes at least two characters away, so this ends.
+    """
+    while isinstance(value, str):
         try:
             value = json.loads(value, parse_constant=_reject)
-        except (ValueError, RecursionError):
+        except RecursionError:
+            try:
+                value = _read_deep(value)
+            except ValueError:
+                return None
+        except ValueError:
             return None
-    return None
+    return value
 
 
 def _elements(value: Any, text_or_list: bool) -> list:
@@ -60,7 +156,10 @@ def _text(value: Any) -> str | None:
     if value is None:
         return None
     if not isinstance(value, str):
-        value = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        try:
+            value = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        except RecursionError:
+            value = _write_deep(value)
     return value.encode("utf-8", "replace").decode("utf-8")
 
 
@@ -167,3 +266,15 @@ def contained(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
     """Joins two node tables on interval containment within the record: all descendants, at any depth, of each parent."""
     above = parents.select(key, F.col("pre").alias("above_pre"), F.col("post").alias("above_post"))
     return above.join(children, key).where("above_pre < pre and above_post > post")
+
+
+def flat_tables(nodes: DataFrame, key: str, kinds: Sequence[str] = tuple(ATTRIBUTES)) -> dict[str, DataFrame]:
+    """The tables of several kinds from one labelling pass: the nodes are written once and every table reads its rows of them."""
+    kept = cut_lineage(nodes)
+    return {kind: flat_table(kept, key, kind) for kind in kinds}
+
+
+def write_tables(nodes: DataFrame, key: str, path: str, kinds: Sequence[str] = tuple(ATTRIBUTES)) -> None:
+    """Writes `path`/<kind> for every kind; payloads are parsed once."""
+    for kind, rows in flat_tables(nodes, key, kinds).items():
+        rows.write.mode("overwrite").parquet(f"{path}/{kind}")

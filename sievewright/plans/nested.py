@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sievewright.operators import nested
 from sievewright.session import table
@@ -10,13 +13,14 @@ from sievewright.session import table
 KINDS = ("message", "content_part", "tool_call", "image", "query_image", "wiki_pair")
 
 
-def _nodes(spark: SparkSession, sf_dir: str, with_attributes: bool = True) -> DataFrame:
-    return nested.node_table(table(spark, sf_dir, "raw_records"), "record_id", "payload", with_attributes=with_attributes)
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.node_table(table(spark, sf_dir, "raw_records"), "record_id", "payload")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = _nodes(spark, sf_dir, with_attributes=False)
-    return nodes.where(nodes["kind"].isin(*KINDS)).select("record_id", "kind", "parent_no", "child_no")
+    """The rows of the six flat tables, which one labelling pass emits."""
+    tables = nested.flat_tables(_nodes(spark, sf_dir), "record_id", KINDS)
+    return reduce(DataFrame.unionAll, [t.select("record_id", F.lit(k).alias("kind"), "parent_no", "child_no") for k, t in tables.items()])
 
 
 def _flat(kind: str):

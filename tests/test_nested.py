@@ -36,12 +36,28 @@ def test_children_keep_positions_and_decode_text():
     assert children(json.dumps(json.dumps(RECORD))) == EXPECTED
 
 
-@pytest.mark.parametrize("payload", [None, "", "  ", "null", "[]", "3", '"-"', '{"messages": [', '{"a": 1} x', '{"a": NaN}', "[" * 100_000])
+@pytest.mark.parametrize("payload", [None, "", "  ", "null", "[]", "3", '"-"', '{"messages": [', '{"a": 1} x', '{"a": NaN}', "[" * 100_000, '{"a": ' + "[" * 50_000 + "]" * 49_999 + "}", '{"a": ' + "[" * 50_000 + "]" * 50_000 + "} x", '{"a":' * 50_000 + "1," + "}" * 50_000])
 def test_broken_payloads_have_no_children(payload):
     nodes = N.label_tree(payload, N.TRAJECTORY, True)
     assert [n[0] for n in nodes] == ["broken"]
 
 
+def test_any_depth_and_any_number_of_encodings():
+    text = json.dumps(RECORD)
+    for _ in range(9):
+        text = json.dumps(text)
+    assert children(text) == EXPECTED
+    deep = json.dumps(RECORD)[:-1] + ', "more": ' + '[{"a": [1, "b\\n", {}, []], "c": ' * 20_000 + "null" + "}]" * 20_000 + "}"
+    assert children(deep) == EXPECTED
+    nodes = N.label_tree(deep, N.TRAJECTORY, True)
+    assert dict(nodes[0][4])["more"].startswith('[{"a":[1,"b\\n",{},[]],"c":[{')
+    small = {"b": [1, {"x": None, "a": "é"}, []], "a": {}}
+    assert N._read_deep(json.dumps(small)) == small and N._write_deep(small) == json.dumps(small, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    for bad in ("", "[1,]", "{,}", '{"a" 1}', "[1 2]", "[1}", "01", "1 2", '{"a":1,}', "[,1]"):
+        with pytest.raises(ValueError):
+            N._read_deep(bad)
+
+
 def test_intervals_contain_exactly_the_descendants():
     nodes = N.label_tree(json.dumps(RECORD), N.TRAJECTORY, True)
     parents = dict(zip([n[1] for n in nodes], N.link_by_intervals(nodes), strict=True))
