@@ -80,7 +80,7 @@ def proportional_sample(
     """(sample, report). `df` has canonical cells, `targets` one row per cell with its share and least rows.
 
     sample: key, cells, cell_rank, priority. report: cells, target_share, min_rows, target_rows, available, sampled,
-    sampled_share, short (fewer available than the minimum or than the target).
+    sampled_share, short: the ranks of the cell's rows end before its quota at its own share, or before its minimum.
     """
     spark, names = df.sparkSession, list(cells)
     known = df.where(F.col(key).isNotNull()).select(key, *names)
@@ -94,19 +94,26 @@ def proportional_sample(
     order = sorted(goal, key=lambda c: tuple(x or "" for x in c))
     wanted = spark.createDataFrame([(*c, i) for i, c in enumerate(order)], ", ".join(f"{n} string" for n in names) + ", cell int")
     celled = pairs.join(F.broadcast(wanted), names)
-    available_of = dict(celled.groupBy("cell").count().collect())
-    available = [available_of.get(i, 0) for i in range(len(order))]
-    # a key with rows in two cells can be drawn once only
-    owned = celled.groupBy(key).agg(F.min("cell").alias("cell"))
-    owned_of = dict(owned.groupBy("cell").count().collect())
+    # a key with rows in two cells can be drawn in the smaller one only; within a cell such borrowed rows are ranked last
+    homes = celled.groupBy(key).agg(F.min("cell").alias("home"))
+    owned_of = dict(homes.groupBy(F.col("home").alias("cell")).count().collect())
     got = divisor_seats(seats, [goal[c][0] for c in order], [goal[c][1] for c in order], [owned_of.get(i, 0) for i in range(len(order))])
-    ranked = distributed_row_number(owned.withColumn("draw", hash_order(key, seed=seed)), ["cell"], "draw", [key], "cell_rank", bucket_count(total))
-    plan = spark.createDataFrame([(i, *c, float(goal[c][0]), got[i]) for i, c in enumerate(order)], "cell int, " + ", ".join(f"{n} string" for n in names) + ", share double, seats bigint")
-    sample = ranked.join(F.broadcast(plan), "cell").where("cell_rank <= seats").select(key, *names, "cell_rank", ((F.col("cell_rank") - 0.5) / F.nullif("share", F.lit(0.0))).alias("priority"))
-    lines = [
-        (*c, float(share), least, float(share * seats), available[i], got[i], got[i] / seats if seats else 0.0, available[i] < least or available[i] < share * seats)
-        for i, c in enumerate(order)
-        for share, least in [goal[c]]
-    ]
-    report = spark.createDataFrame(lines, ", ".join(f"{n} string" for n in names) + ", target_share double, min_rows bigint, target_rows double, available bigint, sampled bigint, sampled_share double, short boolean")
+    at_home = celled.select(key, "cell").join(homes, key).withColumn("owned", F.col("cell") == F.col("home"))
+    half = F.shiftrightunsigned(hash_order(key, seed=seed), 1)
+    draw = F.when(F.col("owned"), half + F.lit(-(2**63))).otherwise(half)
+    ranked = distributed_row_number(at_home.withColumn("draw", draw), ["cell"], "draw", [key], "cell_rank", bucket_count(total))
+    # rows that the unredistributed quota and the minimum of a cell call for
+    needs = [max(goal[c][1], -(-goal[c][0] * seats // 1)) for c in order]
+    plan = spark.createDataFrame(
+        [(i, *c, float(goal[c][0]), goal[c][1], float(goal[c][0] * seats), got[i], int(needs[i])) for i, c in enumerate(order)],
+        "cell int, " + ", ".join(f"{n} string" for n in names) + ", target_share double, min_rows bigint, target_rows double, seats bigint, need bigint",
+    )
+    drawn = F.col("cell_rank") <= F.col("seats")
+    placed = ranked.join(F.broadcast(plan), "cell")
+    sample = placed.where(drawn).select(key, *names, "cell_rank", ((F.col("cell_rank") - 0.5) / F.nullif("target_share", F.lit(0.0))).alias("priority"))
+    # the report reads the ranks that the draw gave: how far a cell's ranks reach, and which of them were kept
+    reached = placed.groupBy("cell").agg(F.max("cell_rank").alias("available"), F.count_if(drawn).alias("sampled"))
+    report = plan.join(reached, "cell", "left").na.fill(0, ["available", "sampled"])
+    share = F.col("sampled") / F.lit(float(seats or 1))
+    report = report.select(*names, "target_share", "min_rows", "target_rows", "available", "sampled", share.alias("sampled_share"), (F.col("available") < F.col("need")).alias("short"))
     return sample, report
