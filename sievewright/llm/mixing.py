@@ -1,13 +1,15 @@
 """Mixes of sources with exact target shares, spread over output shards.
 
-Quotas are exact: a source's target in tokens becomes whole passes over the source plus a part of one pass, cut inside one
-block to the last document that fits. A splitting tree then divides the drawn blocks among the shards: every node draws the
+A source's target in tokens becomes whole passes over the source plus a part of one pass: whole blocks as far as they fit,
+then documents of the blocks that follow (a bounded number, about BLOCK_DOCS), each taken if it still fits, so that a source
+misses its quota by less than one of these documents. A splitting tree then divides the drawn blocks among the shards: every node draws the
 left half's blocks of each source from the multivariate hypergeometric distribution, so the shards are what a global shuffle
 of blocks would give, without one. Blocks of a source are permuted and handed out disjointly; rows carry a key that shuffles
 them within their shard.
 
 A block is a hash bucket of a source, so a source that holds a third of all rows is as many blocks as it needs. Only one row
-per source comes to the driver.
+per source comes to the driver. Whether a source is short is read off its draw: every repetition of every block was taken,
+and the tokens still don't reach the target.
 
 Defined cases: documents without a source count in the total only; NULL and empty texts have 0 tokens and are drawn with
 their block; a source without documents, or whose documents times max_repeats don't reach its target, is used as often as
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievewright.functions.text import key_text
-from sievewright.operators.ranks import hash_order
+from sievewright.operators.ranks import bucket_count, distributed_row_number, hash_order, running_sum
 from sievewright.session import broadcast_if_small, cut_lineage
 
 #: Sources a mix may have; each is a row on the driver.
@@ -113,41 +115,69 @@ def mix_sources(
     planned = F.broadcast(spark.createDataFrame(plan, "src int, blocks bigint, passes bigint, part bigint"))
     placed = mine.join(planned, "src").withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc"), F.col("blocks")).cast("int"))
 
-    # one row per block: few enough for a window per source
-    blocks = placed.groupBy("src", "block").agg(F.sum("tokens").alias("block_tokens"), F.first("passes").alias("passes"), F.first("part").alias("part"))
-    permuted = Window.partitionBy("src").orderBy(hash_order("src", "block", seed=seed + 1), "block")
-    before = F.sum("block_tokens").over(permuted.rowsBetween(Window.unboundedPreceding, -1))
-    blocks = cut_lineage(blocks.withColumn("room", F.col("part") - F.coalesce(before, F.lit(0))))
-    whole = blocks.where("passes > 0").select("src", "block", F.explode(F.sequence(F.lit(1).cast("bigint"), "passes")).alias("repeat_no"), F.lit(None).cast("bigint").alias("room"))
-    partial = blocks.where("room > 0").select("src", "block", (F.col("passes") + 1).alias("repeat_no"), F.when(F.col("room") < F.col("block_tokens"), F.col("room")).alias("room"))
-    drawn = whole.unionByName(partial)
-    drawn = drawn.withColumn("turn", F.row_number().over(Window.partitionBy("src").orderBy(hash_order("src", "block", "repeat_no", seed=seed + 2), "block", "repeat_no")))
-    drawn = cut_lineage(drawn)
+    # one row per block
+    blocks = placed.groupBy("src", "block").agg(F.sum("tokens").alias("block_tokens"), F.count("*").alias("block_docs"), F.first("passes").alias("passes"), F.first("part").alias("part"))
+    blocks = cut_lineage(blocks.withColumn("draw", hash_order("src", "block", seed=seed + 1)))
+    buckets = bucket_count(sum(b for _, b, _, _ in plan))
+    blocks = running_sum(blocks, ["src"], "draw", ["block"], F.col("block_tokens"), "upto", buckets)
+    blocks = running_sum(blocks, ["src"], "draw", ["block"], F.col("block_docs"), "docs_upto", buckets)
+    blocks = cut_lineage(blocks.withColumn("fits", F.col("upto") <= F.col("part")))
+    fitting = blocks.where("fits").groupBy("src").agg(F.max("upto").alias("filled"), F.max("docs_upto").alias("docs_filled"))
+    every = blocks.where("passes > 0").select("src", "block", F.explode(F.sequence(F.lit(1).cast("bigint"), "passes")).alias("repeat_no"))
+    drawn = every.unionByName(blocks.where("fits").select("src", "block", (F.col("passes") + 1).alias("repeat_no")))
+    drawn = distributed_row_number(drawn.withColumn("draw", hash_order("src", "block", "repeat_no", seed=seed + 2)), ["src"], "draw", ["block", "repeat_no"], "turn", buckets)
+    drawn = cut_lineage(drawn.select("src", "block", "repeat_no", "turn"))
     n_drawn = dict(drawn.groupBy("src").count().collect())
     tree = splitting_tree([n_drawn.get(i, 0) for i in range(len(goals))], shards, seed)
     ends = spark.createDataFrame([(i, [int(x) for x in np.cumsum(tree[:, i])]) for i in range(len(goals))], "src int, ends array<bigint>")
     handed = drawn.join(F.broadcast(ends), "src").withColumn("shard", F.size(F.filter("ends", lambda e: e < F.col("turn")))).drop("ends", "turn")
-
-    rows = placed.select("doc", "source", "src", "tokens", "block").join(broadcast_if_small(handed), ["src", "block"])
-    # the one block of each source that is cut: its documents in random order, as far as the room goes
-    cut = rows.where("room is not null")
-    upto = F.sum("tokens").over(Window.partitionBy("src", "block", "repeat_no").orderBy(hash_order("doc", seed=seed + 3), "doc").rowsBetween(Window.unboundedPreceding, 0))
-    cut = cut.withColumn("upto", upto).where("upto <= room").drop("upto")
-    rows = rows.where("room is null").unionByName(cut)
-    mix = cut_lineage(rows.select("doc", "source", "tokens", "repeat_no", "shard", hash_order("doc", "repeat_no", seed=seed + 4).alias("shuffle_key")))
-    reached = dict(mix.groupBy("source").agg(F.sum("tokens")).collect())
-    all_reached = sum(reached.values()) or 1
-    lines = []
-    for i, r in enumerate(goals):
-        n_docs, n_tokens = have.get(i, (0, 0))
-        share, most, got = r["share"] or Decimal(0), r["most"] or 0, reached.get(r["source"], 0)
-        lines.append((r["source"], float(share), most, n_docs, n_tokens, float(share * total), got, got / all_reached, got / total if total else 0.0, n_tokens * most < share * total))
-    report = spark.createDataFrame(
-        lines, "source string, target_share double, max_repeats bigint, documents bigint, tokens bigint, target_tokens double, drawn_tokens bigint, drawn_share double, share_of_total double, short boolean"
+    rows = placed.select("doc", "source", "src", "tokens", "block")
+    whole = rows.join(broadcast_if_small(handed), ["src", "block"]).drop("block")
+
+    # what is left of the part after its whole blocks: documents of the blocks that follow
+    rest = blocks.where("not fits and part > 0").join(F.broadcast(fitting), "src", "left").na.fill(0, ["filled", "docs_filled"])
+    rest = rest.where((F.col("part") > F.col("filled")) & (F.col("docs_upto") - F.col("block_docs") - F.col("docs_filled") < BLOCK_DOCS))
+    rest = rest.select("src", "block", (F.col("part") - F.col("filled")).alias("room"), (F.col("passes") + 1).alias("repeat_no"))
+    offered = rows.join(broadcast_if_small(rest), ["src", "block"]).drop("block").withColumn("shard", F.pmod(hash_order("doc", seed=seed + 5), F.lit(shards)).cast("int"))
+    filling = offered.withColumn("draw", hash_order("doc", seed=seed + 3)).groupBy("src").applyInPandas(_fill, offered.schema).drop("room")
+    picked = whole.unionByName(filling)
+    mix = cut_lineage(picked.select("doc", "source", "src", "tokens", "repeat_no", "shard", hash_order("doc", "repeat_no", seed=seed + 4).alias("shuffle_key")))
+
+    # the report reads the draw; targets that aren't whole tokens are compared as decimals
+    goal = spark.createDataFrame(
+        [(i, r["source"], r["share"] or Decimal(0), r["most"] or 0, *have.get(i, (0, 0)), (r["share"] or Decimal(0)) * total) for i, r in enumerate(goals)],
+        "src int, source string, share decimal(38,18), max_repeats bigint, documents bigint, tokens bigint, target decimal(38,18)",
     )
-    return mix.withColumnRenamed("doc", doc_id), report
-
-
-def write_shards(mix: DataFrame, path: str) -> None:
-    """Writes the mix by shard, each shard shuffled; one range-partitioning exchange, no global sort on one task."""
-    mix.repartitionByRange("shard", "shuffle_key").sortWithinPartitions("shard", "shuffle_key").write.partitionBy("shard").parquet(path)
+    reached = mix.groupBy("src").agg(F.sum("tokens").alias("drawn_tokens"))
+    taken = drawn.groupBy("src").agg(F.count("*").alias("taken"))
+    there = blocks.groupBy("src").agg(F.count("*").alias("there"))
+    report = goal.join(F.broadcast(reached), "src", "left").join(F.broadcast(taken), "src", "left").join(F.broadcast(there), "src", "left").na.fill(0, ["drawn_tokens", "taken", "there"])
+    all_drawn = F.greatest(F.lit(1), F.coalesce(F.sum("drawn_tokens").over(Window.partitionBy(F.lit(0))), F.lit(0)))  # one row per source
+    short = (F.col("taken") == F.col("there") * F.col("max_repeats")) & (F.col("drawn_tokens") < F.col("target"))
+    report = report.select(
+        "source", F.col("share").cast("double").alias("target_share"), "max_repeats", "documents", "tokens", F.col("target").cast("double").alias("target_tokens"), "drawn_tokens",
+        (F.col("drawn_tokens") / all_drawn).alias("drawn_share"), (F.col("drawn_tokens") / F.lit(float(max(1, total)))).alias("share_of_total"), short.alias("short"),
+    )
+    return mix.drop("src").withColumnRenamed("doc", doc_id), report
+
+
+def _fill(frame: pd.DataFrame) -> pd.DataFrame:
+    """The documents of one source, in random order, that still fit into its room; their number is bounded by BLOCK_DOCS and a block."""
+    frame = frame.sort_values(["draw", "doc"], kind="stable")
+    left = int(frame["room"].iloc[0])
+    taken = []
+    for n in frame["tokens"].tolist():
+        taken.append(0 < n <= left)
+        left -= n if taken[-1] else 0
+    return frame.loc[taken].drop(columns="draw")
+
+
+def write_shards(mix: DataFrame, docs: DataFrame, doc_id: str, path: str) -> None:
+    """Writes every drawn document with all its columns by shard, each shard shuffled.
+
+    The texts are shuffled once for the join and once to their shard's range; no global sort runs in one task. A document's
+    own columns named like the mix's are left out; of repeated ids one row gives the text.
+    """
+    own = docs.drop(*(set(mix.columns) - {doc_id})).dropDuplicates([doc_id])
+    rows = mix.join(own, doc_id)
+    rows.repartitionByRange("shard", "shuffle_key").sortWithinPartitions("shard", "shuffle_key").write.partitionBy("shard").parquet(path)

@@ -48,6 +48,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.tied_pairs(components).select(F.col("a").alias("category_key_a"), F.col("b").alias("category_key_b"))
 
 
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every category key that is tied to others, the smallest key of its group, and the group's size."""
+    components = splits.entity_components(table(spark, sf_dir, "sft_rows"), "parent_sample_id", "category_key")
+    return splits.related_groups(components).select(F.col("label").alias("group_key"), F.col("node").alias("category_key"), "size")
+
+
 def _p4(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "sft_rows").select("sample_id", "parent_sample_id", "category_key", "coarse_taxon", "question_type", "built_at")
     label = F.concat_ws("/", F.lower(F.trim("coarse_taxon")), F.lower(F.trim("question_type")))
@@ -124,7 +130,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.select("doc_id", F.explode("langs").alias("lang_found"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_sample, p3_report, p4_found, p4_splits, p4_shares, p5_found, p5_clean, p6_found, p6_leaks, p7_found, p7_mix, p7_report, p8_found, p8_languages, p8_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_sample, p3_report, p4_found, p4_groups, p4_splits, p4_shares, p5_found, p5_clean, p6_found, p6_leaks, p7_found, p7_mix, p7_report, p8_found, p8_languages, p8_segments)}
 
 SQL = {
     "p1_found": "SELECT DISTINCT id FROM text_corpus WHERE length(contents) > 1800",

@@ -1,9 +1,8 @@
 """Train, validation and test splits that keep related records together.
 
 Records that share an entity get one label by minimum-label propagation over the bipartite record–entity graph
-(operators.components). Whole groups are then assigned: groups so large that one of them moves a share noticeably are placed
-one by one, each where the label distributions deviate least from the targets; their number is bounded by arithmetic. All
-others are cut per stratum, in random order, at the shares the large ones have left over.
+(operators.components). Whole groups are then assigned, in bundles of bounded number, each where the label distributions
+deviate least from the targets.
 
 Defined cases: missing keys (NULL, blank, nan) tie nothing; a record without any key is a group of its own, held together
 with its repetitions by its own id; an empty table gives an empty result; shares of 0 give an empty split. A group larger
@@ -14,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,10 +22,8 @@ from sievewright.operators.components import entity_links, propagate_labels
 from sievewright.operators.ranks import bucket_count, hash_order, running_sum
 from sievewright.session import cut_lineage
 
-#: A group holding more than this share of all rows is placed by itself; so at most 1 / LARGE groups are.
-LARGE = 1 / 2000
-#: Labels told apart when large groups are placed; the rarest ones count as one.
-MAX_LABELS = 64
+#: Bundles of groups that are placed one by one, about, and labels that have a cell of their own in the driver's counts.
+BUNDLES, CELLS = 2000, 1024
 
 
 def entity_components(df: DataFrame, record: str, entity: str) -> DataFrame:
@@ -55,67 +53,68 @@ def group_keys(df: DataFrame, record: str, entity: str, fallback: str, component
     return every.join(labels, "__node", "left").withColumn(out, alone).drop("__record", "__entity", "__owner", "__node", "__label")
 
 
-def _deviation(placed: dict, targets: dict, labels: Sequence[str], split: str, added: dict) -> float:
-    """Change of the summed squared deviations, per label and in all, when `added` goes to `split`."""
-    change = 0.0
-    for label in labels:
-        n = added.get(label, 0)
-        if n:
-            gap = placed[split, label] - targets[split, label]
-            change += ((gap + n) ** 2 - gap**2) / max(1.0, targets[split, label])
-    n = sum(added.values())
-    gap = sum(placed[split, x] - targets[split, x] for x in labels)
-    return change + ((gap + n) ** 2 - gap**2) / max(1.0, sum(targets[split, x] for x in labels))
+class Placement:
+    """Rows placed so far by split and label, and where the next ones deviate least from the targets."""
+
+    def __init__(self, totals: np.ndarray, shares: Sequence[float]):
+        whole = sum(shares)
+        self.targets = np.array([totals * (s / whole) for s in shares], dtype=np.float64)
+        self.open = np.array([s > 0 for s in shares])
+        self.placed = np.zeros_like(self.targets)
+        self.scale = np.maximum(self.targets, 1.0)
+        self.wanted = self.targets.sum(axis=1)
+
+    def put(self, added: np.ndarray) -> int:
+        """The split in which `added` raises the sum of squared deviations, per label and in all, the least."""
+        gap = self.placed - self.targets
+        change = (((gap + added) ** 2 - gap**2) / self.scale).sum(axis=1)
+        n, whole = added.sum(), gap.sum(axis=1)
+        change += ((whole + n) ** 2 - whole**2) / np.maximum(self.wanted, 1.0)
+        best = int(np.where(self.open, change, np.inf).argmin())
+        self.placed[best] += added
+        return best
 
 
 def assign_groups(df: DataFrame, group: str, label: Column, shares: Sequence[tuple[str, float]], seed: int = 0) -> DataFrame:
-    """(group, split, rows): a split for every group, with label shares alike across splits."""
+    """(group, split, rows): a split for every group, with label shares alike across splits.
+
+    Groups are gathered, in random order within the label most of their rows have, into bundles of about 1 / BUNDLES of all
+    rows; a group larger than that is a bundle of its own. Bundles are placed one by one, largest first, each where label
+    distributions then deviate least from the targets. The driver holds one line of label counts per bundle, whatever the size.
+    """
     spark = df.sparkSession
-    total_share = sum(s for _, s in shares)
     counts = cut_lineage(df.select(group, F.coalesce(label.cast("string"), F.lit("")).alias("label")).groupBy(group, "label").agg(F.count("*").alias("n")))
-    sizes = cut_lineage(counts.groupBy(group).agg(F.sum("n").alias("rows"), F.max_by("label", F.struct("n", "label")).alias("stratum")))
-    totals = counts.groupBy("label").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "label").limit(MAX_LABELS - 1).collect()
-    total, groups = sizes.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.count("*")).first()
-    named = {r["label"]: r["n"] for r in totals}
-    labels = [*named, None]  # None: all rarer labels
-    all_of = named | {None: total - sum(named.values())}
-    targets = {(s, x): all_of[x] * share / total_share for s, share in shares for x in labels}
-    placed = dict.fromkeys(targets, 0)
-    large = sizes.where(F.col("rows") > F.lit(total * LARGE)).select(group)
-    by_group: dict = {}
-    for r in counts.join(large, group).collect():  # at most 1 / LARGE groups
-        mine = by_group.setdefault(r[group], {})
-        x = r["label"] if r["label"] in named else None
-        mine[x] = mine.get(x, 0) + r["n"]
-    chosen = []
-    for key, added in sorted(by_group.items(), key=lambda kv: (-sum(kv[1].values()), kv[0])):
-        split = min((s for s, share in shares if share > 0), key=lambda s: _deviation(placed, targets, labels, s, added))
-        chosen.append((key, split))
-        for x, n in added.items():
-            placed[split, x] += n
-    fixed = spark.createDataFrame(chosen, f"{group} string, chosen string")
-    # what is left of each stratum goes by running sums to the splits in turn
-    bounds = []
-    for x in labels:
-        left = [max(0.0, targets[s, x] - placed[s, x]) for s, _ in shares]
-        whole, at = sum(left), 0.0
-        for (s, _), n in zip(shares, left, strict=True):
-            at += n
-            bounds.append((x, s, at / whole if whole else float(s == shares[0][0])))
-    cuts = {x: [(s, b) for y, s, b in bounds if y == x] for x in labels}
-    small = sizes.join(large, group, "left_anti").withColumn("stratum", F.when(F.col("stratum").isin(*named), F.col("stratum")) if named else F.lit(None).cast("string"))
-    small = running_sum(small.withColumn("draw", hash_order(group, seed=seed)), ["stratum"], "draw", [group], F.col("rows"), "upto", bucket_count(groups))
-    stratum_rows = small.groupBy(F.coalesce("stratum", F.lit("\0")).alias("s")).agg(F.sum("rows").alias("stratum_rows"))
-    small = small.withColumn("s", F.coalesce("stratum", F.lit("\0"))).join(F.broadcast(stratum_rows), "s")
-    middle = (F.col("upto") - F.col("rows") / 2) / F.col("stratum_rows")
-    split = F.lit(shares[0][0])
-    for x, steps in cuts.items():
-        pick = F.lit(steps[-1][0])
-        for s, b in reversed(steps[:-1]):
-            pick = F.when(middle <= b, s).otherwise(pick)
-        split = F.when(F.col("stratum").isNull() if x is None else F.col("stratum") == x, pick).otherwise(split)
-    assigned = small.select(group, split.alias("split"), "rows")
-    return assigned.unionByName(sizes.join(F.broadcast(fixed), group).select(group, F.col("chosen").alias("split"), "rows"))
+    common = counts.groupBy("label").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "label").limit(CELLS).collect()
+    total, n_groups = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_distinct(group)).first()
+    cells = spark.createDataFrame([(r["label"], i) for i, r in enumerate(common)], "label string, cell int")
+    # labels beyond the CELLS most frequent ones are told apart by a hash over as many cells again
+    rare = F.pmod(F.xxhash64("label"), F.lit(CELLS)).cast("int") + CELLS
+    celled = counts.join(F.broadcast(cells), "label", "left").withColumn("cell", F.coalesce("cell", rare)).groupBy(group, "cell").agg(F.sum("n").alias("n"))
+    sizes = celled.groupBy(group).agg(F.sum("n").alias("rows"), F.max_by("cell", F.struct("n", -F.col("cell"))).alias("stratum"))
+    step = max(1.0, total / BUNDLES)
+    drawn = sizes.withColumn("draw", hash_order(group, seed=seed))
+    filled = running_sum(drawn, ["stratum"], "draw", [group], F.when(F.col("rows") < step, F.col("rows")).otherwise(0), "upto", bucket_count(n_groups))
+    alone = F.col("rows") >= step
+    bundle = F.when(alone, F.concat(F.lit("g"), F.col(group))).otherwise(F.concat(F.lit("b"), "stratum", F.lit("."), F.floor((F.col("upto") - 1) / F.lit(step))))
+    bundled = cut_lineage(filled.select(group, "rows", bundle.alias("bundle")))
+    lines = celled.join(bundled.select(group, "bundle"), group).groupBy("bundle", "cell").agg(F.sum("n").alias("n")).collect()  # at most about 2 * BUNDLES + 2 * CELLS bundles
+    by_bundle: dict[str, list[tuple[int, int]]] = {}
+    for r in lines:
+        by_bundle.setdefault(r["bundle"], []).append((r["cell"], r["n"]))
+    used = sorted({c for own in by_bundle.values() for c, _ in own})
+    at = {c: i for i, c in enumerate(used)}
+    totals = np.zeros(len(used))
+    for own in by_bundle.values():
+        for c, n in own:
+            totals[at[c]] += n
+    placement, chosen = Placement(totals, [s for _, s in shares]), []
+    for name, own in sorted(by_bundle.items(), key=lambda kv: (-sum(n for _, n in kv[1]), kv[0])):
+        added = np.zeros(len(used))
+        for c, n in own:
+            added[at[c]] = n
+        chosen.append((name, shares[placement.put(added)][0]))
+    placed = F.broadcast(spark.createDataFrame(chosen, "bundle string, split string"))
+    return bundled.join(placed, "bundle").select(group, "split", "rows")
 
 
 def split_related(
@@ -127,3 +126,9 @@ def split_related(
     rows = group_keys(clean, record, entity, row_id, entity_components(clean, record, entity))
     assigned = cut_lineage(assign_groups(rows, "group_key", label, shares, seed)).drop("rows")
     return rows.join(assigned, "group_key")
+
+
+def related_groups(components: DataFrame) -> DataFrame:
+    """(label, node, size): every tied entity with its group and the group's size; tied_pairs is its expansion."""
+    sizes = components.groupBy("label").agg(F.count("*").alias("size"))
+    return components.join(sizes, "label").select("label", "node", "size")

@@ -48,3 +48,15 @@ def test_empty_and_all_missing(spark):
     assert split_related(none, "parent", "cat", "sample_id", F.col("taxon")).count() == 0
     blank = spark.createDataFrame([(None, None, None, None, None, None)] * 3 + [("a", None, " ", None, None, None)], SCHEMA)
     assert split_related(blank, "parent", "cat", "sample_id", F.col("taxon")).count() == 4
+
+
+def test_groups_of_mixed_labels_and_many_labels(spark):
+    rng = random.Random(11)
+    sizes = [rng.choice([1, 1, 2, 3, 8, 40]) for _ in range(700)]
+    data = [(f"s{g}.{i}", f"p{g}", None, rng.choice("aaaabbc") + ("" if g % 9 else str(g)), "", "") for g, n in enumerate(sizes) for i in range(n)]
+    df = spark.createDataFrame(data, SCHEMA)
+    got = {(r["split"], r["l"]): r["count"] for r in split_related(df, "parent", "cat", "sample_id", F.col("taxon")).groupBy("split", F.substring("taxon", 1, 1).alias("l")).count().collect()}
+    total = {x: sum(n for (_, y), n in got.items() if y == x) for x in "abc"}
+    for x in "abc":
+        for split, share in (("train", 0.9), ("validation", 0.05), ("test", 0.05)):
+            assert abs(got.get((split, x), 0) / total[x] - share) < 0.03
