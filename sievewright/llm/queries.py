@@ -10,19 +10,17 @@ from sievewright.functions.text import clean_text
 from sievewright.session import cut_lineage, table
 
 
-def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "text_corpus").select("id", "contents").where("id is not null")
-
-
 def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every section; one fetched again with the same text counts once, by its digest."""
-    once = _sections(spark, sf_dir).withColumn("digest", F.unhex(F.md5("contents"))).dropDuplicates(["id", "digest"])
+    sections = table(spark, sf_dir, "text_corpus").select("id", "contents").where("id is not null")
+    once = sections.withColumn("digest", F.unhex(F.md5("contents"))).dropDuplicates(["id", "digest"])
     return chunking.split_oversized(once, ["id"], "contents", limit=1800, overlap=150)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only ids of cut sections are shuffled, never their texts."""
-    return chunking.split_oversized(_sections(spark, sf_dir), ["id"], "contents", limit=1800, overlap=150).where("n_pieces > 1").select("id").distinct()
+    sections = table(spark, sf_dir, "text_corpus").select("id", "contents").where("id is not null")
+    return chunking.split_oversized(sections, ["id"], "contents", limit=1800, overlap=150).where("n_pieces > 1").select("id").distinct()
 
 
 def _p3(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -71,12 +69,15 @@ def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every distinct section as clean text, with the constructs found in it by family."""
-    return markup.clean_markup(table(spark, sf_dir, "text_corpus").select("id", "contents").distinct(), ["id"], "contents")
+    """Every distinct section as clean text, with the nodes of its tree by family; a section fetched again counts once."""
+    sections = table(spark, sf_dir, "text_corpus").select("id", "contents").withColumn("digest", F.unhex(F.md5("contents")))
+    return markup.clean_markup(sections.dropDuplicates(["id", "digest"]), ["id"], "contents")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p5_clean(spark, sf_dir).where("n_html + n_markdown + n_wiki + n_latex > 0").select("id").where("id is not null").distinct()
+    """Sections whose tree holds a node of a markup family; only their ids are shuffled."""
+    sections = table(spark, sf_dir, "text_corpus").select("id", "contents").where("id is not null")
+    return markup.clean_markup(sections, ["id"], "contents").where("n_html + n_markdown + n_wiki + n_latex > 0").select("id").distinct()
 
 
 def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
+import random
+
 import pytest
 
-from sievewright.llm.markup import clean_markup, content_nodes, read_markup
+from sievewright.llm.markup import clean_markup, read_markup
 
 PROSE = [
     "Adults weigh < 30 g and > 12 g in two samples.", "A 5'' lens and a 3'' frame were used.", "Visits 7 _ 9 and 11 _ 12 were merged [see above].", "Grades run from * to *** on cards.",
@@ -39,7 +41,100 @@ def test_tag_paths_select_content():
     body = "".join(f"<p>Sentence number {i}, with a clause, is long enough. It even goes on; twice, in fact.</p>" for i in range(8))
     clean, _, kept = read_markup(f"<html><body><nav><ul>{nav}</ul></nav><div>{body}</div><footer>Imprint</footer></body></html>")
     assert "Sentence number 7" in clean and "Link 3" not in clean and "Imprint" not in clean and kept < 1
-    assert all(content_nodes([(("nav",), "x")] * 3))
+
+
+WORDS = "river meadow wing seed slope winter colony branch survey nest pond leaf north early observed several adults young found near during mostly rarely because where".split()
+
+
+def prose(r, low=8, high=22):
+    s = " ".join(r.choice(WORDS) for _ in range(r.randint(low, high))).capitalize()
+    return s[: len(s) // 2].rstrip() + ", " + s[len(s) // 2 :].strip() + "."
+
+
+def page(r):
+    """(html, texts that must stay, texts that must go): an article among boilerplate, in one of several layouts."""
+    stay, go = [], []
+
+    def keep(t):
+        stay.append(t)
+        return t
+
+    def drop(t):
+        go.append(t)
+        return t
+
+    def label(n=2):
+        return " ".join(r.choice(WORDS).title() + str(r.randint(0, 999)) for _ in range(n))
+
+    def links(n):
+        return [f"<a href='/{i}'>{drop(label(r.randint(1, 2)))}</a>" for i in range(n)]
+
+    menu = r.choice(
+        [
+            lambda: "<nav><ul>" + "".join(f"<li>{x}</li>" for x in links(r.randint(5, 14))) + "</ul></nav>",
+            lambda: "<div class=menu>" + " | ".join(links(r.randint(4, 9))) + "</div>",
+            lambda: "<table class=top><tr>" + "".join(f"<td>{x}</td>" for x in links(r.randint(4, 9))) + "</tr></table>",
+        ]
+    )()
+    side = "<div class=side><h4>" + drop(label()) + "</h4><ul>" + "".join(f"<li>{x}</li>" for x in links(r.randint(3, 8))) + "</ul></div>" if r.random() < 0.7 else ""
+    foot = "<footer><div>" + drop("Imprint " + label(1)) + "</div><div>" + " ".join(links(3)) + "</div></footer>" if r.random() < 0.8 else ""
+    block = r.choice(["p", "div"])
+    body = [f"<h1>{keep(label())}</h1>"]
+    for _ in range(r.randint(3, 9)):
+        body.append(f"<h2>{keep(label(1))}</h2>" if r.random() < 0.3 else "")
+        body.append(f"<{block}>{keep(' '.join(prose(r) for _ in range(r.randint(1, 5))))}</{block}>")
+        what = r.random()
+        if what < 0.15:
+            body.append(f"<div>{keep('Range is ' + label(1))}</div><div>{keep('Status ' + label(1))}</div>")
+        elif what < 0.3:
+            body.append("<ul>" + "".join(f"<li>{keep(prose(r, 3, 6))}</li>" for _ in range(r.randint(2, 4))) + "</ul>")
+        elif what < 0.45:
+            body.append(f"<p><a href=x>{keep(label())}</a></p>")
+        elif what < 0.6:
+            body.append(f"<{block}>{keep(prose(r))} <a href=x>{keep(label(1))}</a> {keep(prose(r))}</{block}>")
+        elif what < 0.7:
+            body.append("<table>" + "".join(f"<tr><td>{keep(label(1))}</td><td>{keep(str(r.randint(1000, 99999)))}</td></tr>" for _ in range(3)) + "</table>")
+    wrap = r.choice(["<div class=article>{}</div>", "<article>{}</article>", "<div id=main><div class=text>{}</div></div>", "<td>{}</td>"])
+    main = wrap.format("".join(body))
+    main = f"<table><tr>{main}<td>{side}</td></tr></table>" if wrap.startswith("<td") else main + side
+    return f"<html><body>{menu}{main}{foot}</body></html>", stay, go
+
+
+def test_boilerplate_goes_and_articles_stay():
+    r = random.Random(9)
+    kept_good = all_good = kept_bad = all_bad = 0
+    for _ in range(300):
+        text, stay, go = page(r)
+        clean = read_markup(text)[0]
+        kept_good += sum(len(t) for t in stay if t in clean)
+        all_good += sum(map(len, stay))
+        kept_bad += sum(len(t) for t in go if t in clean)
+        all_bad += sum(map(len, go))
+    assert kept_bad / all_bad <= 0.06
+    assert kept_good / all_good >= 0.99 and kept_good / (kept_good + kept_bad) >= 0.95
+
+
+def test_short_facts_links_and_headings_of_an_article_stay():
+    text = (
+        '<ul class="nav"><li><a href="/">Home</a></li><li><a href="/a">About us</a></li><li><a href="/c">Contact</a></li></ul><div class="article"><h1>Fox</h1><p>The fox lives in woods, near water. It is small.</p>'
+        '<div>Range is Europe</div><div>Status vulnerable</div><p>It eats mice; it sleeps by day.</p><p><a href="x">Vulpes vulpes</a></p><p>A last paragraph without any comma</p></div>'
+    )
+    clean = read_markup(text)[0]
+    for part in ("# Fox", "The fox lives", "Range is Europe", "Status vulnerable", "It eats mice", "Vulpes vulpes", "A last paragraph"):
+        assert part in clean
+    assert "Contact" not in clean
+
+
+@pytest.mark.parametrize("mark", ["<ref name=a>", "<ref>", "<!--", "<div>", "<script>", "<style>", "{{cite|", "[[", "<table><tr><td>", "{|\n"])
+def test_unclosed_marks_lose_no_text(mark):
+    rest = "Smith wrote this in May.\n\nThe rest of the section is long. " * 5
+    assert all(s in read_markup(f"Title here.{mark}{rest}")[0] for s in ("Title here.", "Smith wrote this in May.", "The rest of the section is long."))
+
+
+def test_deeply_nested_marks():
+    assert read_markup("{{a|" * 40 + "x" + "}}" * 40 + " y")[0].strip() == "y"
+    assert read_markup("\\textit{" * 40 + "x" + "}" * 40)[0] == "x"
+    assert read_markup(" kept <b>x</b>")[0] == " kept x"
 
 
 def test_stray_and_long():
