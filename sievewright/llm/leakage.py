@@ -11,8 +11,11 @@ Two kinds of queries are searched:
 Candidates are verified on the words themselves: an equal run by its exact shingles, an edited text by the exact containment
 of its word pairs and then by the least number of words changed, added or dropped.
 
-Nothing is shuffled: the query set is bounded (blocks of QUERY_BLOCK items, one pass over the documents each) and every
-document is read once, whole.
+Scripts without spaces are read character by character, WORD_CHARS characters counting as one word: a query written mostly
+in them is searched in runs of RUN * WORD_CHARS characters, its sketch is one of character shingles.
+
+Nothing is shuffled: the query set is bounded (blocks of QUERY_BLOCK items or QUERY_CHARS characters, one pass over the
+documents each) and every document is read once, whole. A worker builds the index of a block once and keeps it for its tasks.
 
 Defined cases: NULL or empty documents and queries match nothing; a text of fewer than RUN words can only match as a whole;
 repeated documents are each reported; items with equal texts are all reported; very long documents are searched whole; empty
@@ -27,7 +30,6 @@ import re
 import unicodedata
 from collections.abc import Iterator, Sequence
 from functools import reduce
-from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +43,10 @@ RUN, MAX_EDITS = 12, 0.19
 ROWS, HASHES, AGREE = 4, 24, 4
 #: Ratio of the largest to the smallest query of a size partition.
 PARTITION_RATIO = 1.2
-#: Items searched in one pass over the documents.
-QUERY_BLOCK = 20_000
+#: Items, and characters of items, searched in one pass over the documents.
+QUERY_BLOCK, QUERY_CHARS = 20_000, 32_000_000
+#: Characters of scripts without spaces that count as one word.
+WORD_CHARS = 2
 #: Documents sketched at once, and words a worker remembers the hash of.
 BATCH_DOCS, WORD_CACHE = 256, 400_000
 
@@ -54,11 +58,15 @@ _HIDDEN = re.compile("[\u0300-\u036f\u0483-\u0489\u1ab0-\u1aff\u1dc0-\u1dff\u20d
 #: Dashes and slashes part words; other signs are dropped where they stand.
 _PARTING = re.compile("[\u2012-\u2015\u2212/|\u2026]|--+|\\.\\.\\.+")
 _SIGNS = re.compile(r"[^\w\s]|_")
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005\u3041-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 _BROKEN_WORD = re.compile(r"(?<=\w)[-\u2010\u2011]\s*\n\s*(?=[a-z\u00df-\u00ff])")
 
 
 def words(text: str) -> list[str]:
-    """The words of a text, whatever its case, accents, punctuation, marks, invisible characters and layout."""
+    """The words of a text, whatever its case, accents, punctuation, marks, invisible characters and layout.
+
+    Each character of a script without spaces is a word.
+    """
     if "<" in text or "](" in text:
         text = _TAGS.sub("", _BREAKS.sub(" ", text))
     if "[" in text:
@@ -69,7 +77,13 @@ def words(text: str) -> list[str]:
         text = _HIDDEN.sub("", unicodedata.normalize("NFKD", text))
     if "\n" in text:
         text = _BROKEN_WORD.sub("", text)
-    return _SIGNS.sub("", _PARTING.sub(" ", text)).casefold().split()
+    text = _SIGNS.sub("", _PARTING.sub(" ", text)).casefold()
+    return (text if text.isascii() else _UNSPACED.sub(r" \g<0> ", text)).split()
+
+
+def run_length(tokens: Sequence[str], run: int = RUN) -> int:
+    """Words in a row of a query that make a leak: more where most of them are single characters of a script without spaces."""
+    return run * WORD_CHARS if 2 * sum(_UNSPACED.match(w) is not None for w in tokens) > len(tokens) else run
 
 
 _known: dict[str, int] = {}
@@ -263,7 +277,7 @@ def leaked_items(
     schema = f"doc {doc_type}, item {item_type}, part string, equal_run boolean, containment double, edits int"
     source = docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text")).where("text <> ''")
     results: list[DataFrame] = []
-    for block in batched(queries, QUERY_BLOCK):
+    for block in _blocks(queries, parts):
         owners: dict[str, list[tuple]] = {}
         for r in block:
             for part in parts:
@@ -276,23 +290,54 @@ def leaked_items(
     return found.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), "part", "equal_run", "containment", "edits")
 
 
+def _blocks(queries: Iterator, parts: Sequence[str]) -> Iterator[list]:
+    """The items in blocks bounded in number and in characters; one item may be larger than a block by itself."""
+    block, chars = [], 0
+    for r in queries:
+        size = sum(len(r[p] or "") for p in parts)
+        if block and (len(block) >= QUERY_BLOCK or chars + size > QUERY_CHARS):
+            yield block
+            block, chars = [], 0
+        block.append(r)
+        chars += size
+    if block:
+        yield block
+
+
+#: The index a worker built last, by block.
+_built: dict[tuple, list[tuple[QueryIndex, list]]] = {}
+
+
+def _indexes(shared, run: int, max_edits: float) -> list[tuple[QueryIndex, list]]:
+    """(index, its texts' owners) of the block, one for each length of runs; built once in a worker."""
+    texts, owners = shared.value
+    digest = xxhash.xxh3_128_hexdigest("\0".join(texts) + repr(owners))
+    if (digest, run, max_edits) not in _built:
+        _built.clear()
+        by_run: dict[int, list[int]] = {}
+        for i, t in enumerate(texts):
+            by_run.setdefault(run_length(words(t), run), []).append(i)
+        _built[digest, run, max_edits] = [(QueryIndex([texts[i] for i in own], length, max_edits), [owners[i] for i in own]) for length, own in sorted(by_run.items())]
+    return _built[digest, run, max_edits]
+
+
 def _searcher(shared, run: int, max_edits: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, owners = shared.value
-        index = QueryIndex(texts, run, max_edits)
-        item_kind = pa.array([o[0] for own in owners for o in own]).type if owners else pa.int64()
+        indexes = _indexes(shared, run, max_edits)
+        item_kind = pa.array([o[0] for own in shared.value[1] for o in own]).type if shared.value[1] else pa.int64()
         for batch in batches:
             rows, lines = [], []
             for start in range(0, batch.num_rows, BATCH_DOCS):
                 docs = [words(t) for t in batch.column(1).slice(start, BATCH_DOCS).to_pylist()]
-                by_doc: dict[int, list[int]] = {}
-                for d, t in index.candidates(docs) if texts else []:
-                    by_doc.setdefault(d, []).append(t)
-                for d, mine in by_doc.items():
-                    for t, equal, contained, n in index.verify(docs[d], mine):
-                        for item, part in owners[t]:
-                            rows.append(start + d)
-                            lines.append((item, part, equal, contained, n))
+                for index, owners in indexes:
+                    by_doc: dict[int, list[int]] = {}
+                    for d, t in index.candidates(docs):
+                        by_doc.setdefault(d, []).append(t)
+                    for d, mine in by_doc.items():
+                        for t, equal, contained, n in index.verify(docs[d], mine):
+                            for item, part in owners[t]:
+                                rows.append(start + d)
+                                lines.append((item, part, equal, contained, n))
             columns = list(zip(*lines, strict=True)) if lines else [[], [], [], [], []]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(columns[0], item_kind), pa.array(columns[1], pa.string()),

@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from sievewright.llm.leakage import QueryIndex, edits, leaked_items, words
+from sievewright.llm import leakage
+from sievewright.llm.leakage import QueryIndex, edits, leaked_items, run_length, words
 
 rng = random.Random(8)
 VOCABULARY = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(900)]
@@ -89,3 +90,49 @@ def test_batches_of_short_documents(n):
     # windows never run on into the next document
     if n > 1:
         assert index.verify(VOCABULARY[: n - 1], [0]) == [] or n > 5
+
+
+KANJI = [chr(0x4E00 + 7 * i) for i in range(700)] + [chr(c) for c in range(0x3041, 0x3094)] * 4
+
+
+def test_scripts_without_spaces():
+    r = random.Random(31)
+    texts = ["".join(r.choice(KANJI) for _ in range(n)) + "。" for n in (26, 40, 60, 90, 130) for _ in range(8)]
+    index = QueryIndex(texts, run_length(words(texts[0])))
+    assert index.run == 24 and run_length("one two three".split()) == 12
+    docs, want = [], set()
+    for d in range(300):
+        t = r.randrange(len(texts))
+        body = list(texts[t])
+        kind = r.choice(["whole", "edited", "run", "none"])
+        if kind == "edited":
+            for _ in range(len(body) // 9):
+                body[r.randrange(len(body))] = r.choice(KANJI)
+        elif kind == "run":
+            body = body[:24]
+        elif kind == "none":
+            body = body[:15]
+        filler = ["".join(r.choice(KANJI) for _ in range(r.randint(0, 80))) for _ in range(2)]
+        docs.append(words(filler[0] + "、" + "".join(body) + filler[1]))
+        if kind != "none":
+            want.add((d, t))
+    found: dict = {}
+    for d, t in index.candidates(docs):
+        found.setdefault(d, []).append(t)
+    got = {(d, v[0]) for d, ts in found.items() for v in index.verify(docs[d], ts)}
+    assert got <= want and len(got) / len(want) >= 0.99
+
+
+def test_unspaced_items_in_a_frame(spark):
+    passage = "この種は標高の高い湿った草地に生え、夏の終わりに白い花を咲かせることが知られている。"
+    docs = spark.createDataFrame([(1, "前書き。" + passage + "終わり。"), (2, "別の文章である。"), (3, "English words only")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "どこに生えるか", passage), (8, "What is this", "one two three four five six seven eight nine ten eleven twelve")], "item_id long, question string, passage string")
+    found = leaked_items(docs, "doc_id", "text", items, "item_id", ["question", "passage"]).collect()
+    assert [(r["doc_id"], r["item_id"], r["part"]) for r in found] == [(1, 7, "passage")]
+
+
+def test_blocks_are_bounded(monkeypatch):
+    monkeypatch.setattr(leakage, "QUERY_CHARS", 10)
+    monkeypatch.setattr(leakage, "QUERY_BLOCK", 3)
+    items = [{"a": "x" * n} for n in (4, 4, 4, 20, 1, 1, 1, 1)]
+    assert [[len(r["a"]) for r in b] for b in leakage._blocks(iter(items), ["a"])] == [[4, 4], [4], [20], [1, 1, 1], [1]]
