@@ -8,8 +8,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a table may be broadcast; beyond it the join is left to the optimizer.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes up to which a table may be broadcast; beyond them the join is left to the optimizer.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
 def build_session(app: str = "sievewright", cores: str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -33,12 +33,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder named by spark.checkpoint.dir. A session that names none gets a temporary one if it runs on one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), f"sievewright-checkpoint-{os.getpid()}")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where the session names none."""
+    """Checkpoints go to the shared folder."""
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), f"sievewright-checkpoint-{os.getpid()}"))
+        sc.setCheckpointDir(shared_folder(spark))
     return sc.getCheckpointDir()
 
 
@@ -49,5 +58,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint after counting at most max_rows + 1 rows; a larger table gets no hint and joins by shuffle."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    """Broadcast hint for a table proven small: by its size statistic, else by counting rows and bytes of at most max_rows + 1 rows.
+
+    A larger table gets no hint and joins by shuffle.
+    """
+    known = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if 4 * int(known.toString()) <= BROADCAST_BYTES:  # files are compressed
+        return F.broadcast(df)
+    width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) if t in ("string", "binary") else F.lit(16) for c, t in df.dtypes if not t.startswith(("array", "map", "struct"))), F.lit(16))
+    if any(t.startswith(("array", "map", "struct")) for _, t in df.dtypes):
+        width = width + F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c, t in df.dtypes if t.startswith(("array", "map", "struct"))])))
+    n, size = df.select(width.alias("w")).limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum("w"), F.lit(0))).first()
+    return F.broadcast(df) if n <= max_rows and size <= BROADCAST_BYTES else df
