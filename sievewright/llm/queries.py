@@ -109,7 +109,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _p8(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Documents with text, and their language segments; blank and nan texts are missing."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").where(clean_text("text") != "")
-    return docs, language.language_segments(docs, "doc_id", "text", language.fit_on(docs, "text", "lang", "doc_id"))
+    return docs, language.language_segments(docs, "doc_id", "text", language.fitted_once(docs, "text", "lang", "doc_id"))
 
 
 def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -33,7 +34,7 @@ def field():
 
 def langs(field, text):
     doc = L.read_words(text)
-    return sorted({s[2] for s in L.segments(field, doc, L.label_batch(field, [doc])[0]) if s[5]})
+    return sorted({s[2] for s in L.segments(field, doc, *L.label_batch(field, [doc])[0]) if s[5]})
 
 
 def test_held_out_accuracy(field):
@@ -94,6 +95,42 @@ def test_frame(spark):
     assert {r["lang"] for r in L.language_segments(df, "doc_id", "text", None).collect()} == {"und"}
 
 
+OTHERS = {
+    "pl": "Lis rudy mieszka w lasach i na łąkach całej Europy. Wiosną samica rodzi od czterech do sześciu młodych, które pozostają w norze przez kilka tygodni.",
+    "fi": "Kettu elää metsissä ja niityillä kaikkialla Euroopassa. Keväällä naaras synnyttää neljästä kuuteen poikasta, jotka pysyvät pesässä useita viikkoja.",
+    "zh": "红狐生活在欧洲各地的森林和草地上。春天，雌狐会生下四到六只幼崽，它们在洞穴里待几个星期。它主要吃啮齿动物和水果。",
+    "hu": "A róka erdőkben és réteken él egész Európában. Tavasszal a nőstény négy-hat kölyköt hoz világra, amelyek néhány hétig az odúban maradnak.",
+    "uk": "Лисиця живе в лісах і на луках по всій Європі. Навесні самка народжує від чотирьох до шести дитинчат, які кілька тижнів залишаються в норі.",
+    "ko": "붉은여우는 유럽 전역의 숲과 초원에 산다. 봄에 암컷은 네 마리에서 여섯 마리의 새끼를 낳는다.",
+}
+OWN = {
+    "de": "Der Fuchs lebt in Wäldern und auf Wiesen in ganz Europa. Im Frühling bringt das Weibchen vier bis sechs Junge zur Welt, die mehrere Wochen im Bau bleiben.",
+    "en": "The fox lives in woods and meadows all over Europe. In spring the female gives birth to four to six cubs, which stay in the den for several weeks.",
+    "fr": "Le renard vit dans les forêts et les prairies de toute l'Europe. Au printemps, la femelle donne naissance à quatre à six petits, qui restent plusieurs semaines dans le terrier.",
+}
+
+
+def test_other_languages_are_turned_away(spark):
+    path = "/root/testdata/sf0.01"
+    if not os.path.exists(path):
+        pytest.skip("no test tables here")
+    docs = spark.read.parquet(f"{path}/documents.parquet").where("text is not null")
+    field = L.fitted_once(docs, "text", "lang", "doc_id")
+    again = L.fitted_once(docs, "text", "lang", "doc_id")  # loaded, not fitted
+    assert all(np.array_equal(np.asarray(a), np.asarray(b)) for a, b in zip(field.parts(), again.parts(), strict=True))
+    rows = list(enumerate([*OTHERS.values(), *OWN.values()]))
+    found = L.document_languages(L.language_segments(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", again), "doc_id").collect()
+    assert [r["lang"] for r in sorted(found, key=lambda r: r["doc_id"])] == ["und"] * len(OTHERS) + list(OWN)
+
+
+def test_long_words_and_long_documents(field):
+    word = "a" * 30 + "xyz" * 20_000
+    assert len(L.features(word)) > len(L.features(word[:40])) - 1 and not np.array_equal(L.features(word), L.features(word[:40]))
+    r = random.Random(2)
+    docs = [L.read_words(document("de", r, n)) for n in (1, 9000, 2, 3)]
+    assert all(len(p) == len(d.words) for (p, _), d in zip(L.label_batch(field, docs), docs, strict=True))
+
+
 def test_labels(spark):
     df = spark.createDataFrame([("en_US",), (" German ",), ("日本語",), ("??",), (None,), ("xx",), ("pt-BR",)], "l string")
     assert [r[0] for r in df.select(L.label_code(df["l"])).collect()] == ["en", "de", "ja", None, None, None, "pt"]
