@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievewright.functions.arrays import masked, suffix_fold
 from sievewright.functions.registry import ADVANTAGES
 
 EPSILON = 1e-6
@@ -92,3 +93,37 @@ def reinforce_baseline(df: DataFrame, group: str, reward: str, length: str, out:
 def session_final(df: DataFrame, session: str, step: str, reward: str, out: str = "final_reward") -> DataFrame:
     """The reward of a session's last step, on every row of the session."""
     return with_group(df, session, **{out: F.max_by(reward, step)})
+
+
+def optimal_token_baseline(
+    df: DataFrame, group: str, seq: str, reward: str, old: str, squares: str, mask: str, compact: bool = False, zero_tail: bool = True, out: str = "advantage"
+) -> DataFrame:
+    """(seq, t, out): return-to-go less a baseline per group and position, weighted by the running variance proxy of each path.
+
+    A row is a sequence with arrays of rewards, log-probabilities, sums of squared probabilities and the mask. `compact` counts
+    positions among unmasked tokens only, as for turns that tools part, and leaves out sequences without any. A lone sequence
+    has no baseline, nor has the tail in which a group's one longest sequence is alone. Sums per group and position are
+    combined before the shuffle.
+    """
+    m = F.col(mask)
+    proxy = F.transform(F.arrays_zip(F.col(old).alias("o"), F.col(squares).alias("s")), lambda x: 1 - 2 * F.exp(x["o"]) + x["s"])
+    returns, weights = suffix_fold(masked(F.col(reward), m)), F.reverse(suffix_fold(F.reverse(masked(proxy, m))))
+    rows = df.select(F.col(group).alias("__g"), F.col(seq).alias("__s"), F.arrays_zip(returns.alias("ret"), weights.alias("w"), m.alias("m")).alias("__x"))
+    rows = rows.withColumn("__n", F.size(F.filter("__x", lambda x: x["m"] == 1)))
+    if compact:
+        rows = rows.where("__n > 0").withColumn("__x", F.filter("__x", lambda x: x["m"] == 1))
+    lengths = rows.groupBy("__g", "__n").agg(F.count("*").alias("c"))
+    # a group has no more lengths than its longest sequence has tokens
+    lengths = lengths.groupBy("__g").agg(F.sum("c").alias("__all"), F.sort_array(F.collect_list(F.struct("__n", "c")), asc=False).alias("__l"))
+    tail = F.when((F.col("__l")[0]["c"] == 1) & (F.size("__l") > 1), F.get("__l", F.lit(1))["__n"])
+    lengths = lengths.select("__g", "__all", F.col("__l")[0]["__n"].alias("__top"), tail.alias("__second"))
+    tokens = rows.select("__g", "__s", "__n", F.posexplode("__x").alias("__t", "x")).select("__g", "__s", "__n", (F.col("__t") + 1).cast("bigint").alias("t"), "x.*")
+    base = tokens.groupBy("__g", "t").agg((F.sum(F.col("ret") * F.col("w") * F.col("m")) / (F.sum(F.col("w") * F.col("m")) + 1e-8)).alias("base"))
+    alone = F.lit(zero_tail) & F.coalesce((F.col("__n") == F.col("__top")) & (F.col("t") > F.col("__second")), F.lit(False))
+    value = (F.col("ret") - F.when((F.col("__all") == 1) | alone, 0.0).otherwise(F.col("base"))) * F.col("m")
+    return tokens.join(base, ["__g", "t"]).join(lengths, "__g").select(F.col("__s").alias(seq), "t", value.alias(out))
+
+
+def remax(reward: Column, baseline: Column, mask: Column) -> Column:
+    """Return-to-go of unmasked rewards less the sequence's baseline where the mask is 1."""
+    return F.zip_with(suffix_fold(masked(reward, mask)), mask, lambda g, m: g - baseline * m)

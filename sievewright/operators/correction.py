@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.functions.arrays import array_sum, clamp, masked_mean, masked_sum
+from sievewright.functions.arrays import EPSILON, array_sum, clamp, masked_mean, masked_sum
 
 #: Bound of log-ratios before they are exponentiated.
 SAFE = 20.0
@@ -97,3 +97,48 @@ def effective_sample_size(df: DataFrame, weights: str, mask: str) -> DataFrame:
     kept = F.transform(F.filter(F.arrays_zip(F.col(weights).alias("w"), F.col(mask).alias("m")), lambda x: x["m"] == 1), lambda x: x["w"])
     n = F.sum(array_sum(F.transform(F.col(mask), lambda m: m.cast("double"))))
     return df.agg((F.sum(s) / n).alias("mean_weight"), F.min(F.array_min(kept)).alias("min_weight"), F.max(F.array_max(kept)).alias("max_weight"), (F.pow(F.sum(s), F.lit(2)) / F.sum(q) / n).alias("ess"))
+
+
+def normalize_weights(df: DataFrame, weights: str, mask: str, level: str = "token", out: str = "weights_normed") -> DataFrame:
+    """Weights over their mean, which is one row: of all unmasked tokens, or of the sequences' means. A mean near 0 changes nothing."""
+    n = array_sum(F.transform(F.col(mask), lambda m: m.cast("double")))
+    total = masked_sum(F.col(weights), F.col(mask))
+    if level == "token":
+        mean = F.sum(total) / (F.sum(n) + EPSILON)
+    elif level == "sequence":
+        mean = F.sum(F.when(n > 0, total / (n + EPSILON))) / F.greatest(F.count_if(n > 0), F.lit(EPSILON))
+    else:
+        raise ValueError(f"unknown level {level}")
+    factor = df.agg(mean.alias("__mean")).select(F.when(F.col("__mean") > EPSILON, F.col("__mean")).otherwise(1.0).alias("__mean"))
+    return df.crossJoin(F.broadcast(factor)).withColumn(out, F.transform(weights, lambda w: w / F.col("__mean"))).drop("__mean")
+
+
+def rejection_statistics(df: DataFrame, ratio: str, mask: str, statistic: str, thresholds: str | float, prefix: str = "") -> DataFrame:
+    """One row on what a rejection by a sequence statistic would meet: mean, range, shares beyond the thresholds, deviation.
+
+    The deviation is of values clamped to the thresholds (from 0 without a lower one), each weighing as its sequence's tokens.
+    """
+    lo, hi = parse_thresholds(thresholds)
+    rows = df.select(sequence_statistic(F.col(ratio), F.col(mask), statistic).alias("v"), array_sum(F.transform(F.col(mask), lambda m: m.cast("double"))).alias("n")).where("n > 0")
+    v, n = F.col("v"), F.col("n")
+    c = clamp(v, lo if lo is not None else 0.0, hi)
+    mean, square = F.sum(c * n) / F.sum(n), F.sum(c * c * n) / F.sum(n)
+    low = F.avg(F.when(v < lo, 1.0).otherwise(0.0)) if lo is not None else F.lit(0.0)
+    out = {
+        "mean": F.sum(v * n) / F.sum(n), "max": F.max("v"), "min": F.min("v"), "fraction_high": F.avg(F.when(v > hi, 1.0).otherwise(0.0)), "fraction_low": low,
+        "std": F.sqrt(F.greatest(F.lit(0.0), square - mean * mean)), "seq_mean": F.avg("v"), "seq_std": F.coalesce(F.stddev_samp("v"), F.lit(0.0)), "seq_max_deviation": F.max(F.abs(v)),
+    }
+    return rows.agg(*[c.alias(prefix + k) for k, c in out.items()])
+
+
+def correct(df: DataFrame, new: str, rollout: str, mask: str, level: str | None = "token", upper: float | None = 2.0, band: tuple[float, float] | None = None, rules: dict[str, str | float] | None = None, normalize: bool = False) -> DataFrame:
+    """Adds `weights` (unless level is None) and `kept_mask`: the whole correction of a batch, one expression per sequence.
+
+    Only the normalisation needs a pass over all sequences, of one row.
+    """
+    ratio = log_ratio(F.col(new), F.col(rollout))
+    out = df.withColumn("kept_mask", rejection_mask(ratio, F.col(mask), rules or {}))
+    if level is None:
+        return out
+    out = out.withColumn("weights", importance_weights(ratio, F.col(mask), level, upper, band))
+    return normalize_weights(out, "weights", mask, level, "weights") if normalize else out

@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.functions.arrays import EPSILON, array_sum, clamp, masked_mean, masked_sum
+from sievewright.functions.arrays import EPSILON, array_sum, clamp, let, log_sum_exp, masked_mean, masked_sum
 from sievewright.functions.registry import LOSSES
+from sievewright.operators.ranks import bucket_count, distributed_row_number, ranged_row_number
 
 
 def per_token(f: Callable[[Column], Column], **arrays: Column) -> Column:
@@ -107,3 +108,97 @@ def loss_value(loss: str, mask: str, mode: str, norm: float = 1.0) -> Column:
 def aggregate_loss(df: DataFrame, loss: str, mask: str, mode: str, out: str = "loss", norm: float = 1.0) -> DataFrame:
     """One row with the loss under one mode; several modes share a pass through loss_value."""
     return df.agg(loss_value(loss, mask, mode, norm).alias(out))
+
+
+def geo_mean(new: Column, old: Column, mask: Column, adv: Column, low: float = 0.2, high: float = 0.2) -> Column:
+    """A sequence's loss by the geometric mean of its ratios, each clipped on the side its advantage points to."""
+
+    def clipped(x: Column) -> Column:
+        sign, d = F.signum(x["a"]), x["n"] - x["o"]
+        return sign * F.least(sign * d, sign * clamp(d, -low, high))
+
+    logs = F.transform(F.arrays_zip(new.alias("n"), old.alias("o"), adv.alias("a")), clipped)
+    return -masked_mean(adv, mask) * F.exp(masked_mean(logs, mask))
+
+
+def token_rows(df: DataFrame, seq: str, **arrays: str) -> DataFrame:
+    """(seq, t from 1, the arrays' items) of unmasked tokens; one of the arrays is `mask`."""
+    zipped = F.arrays_zip(*[F.col(c).alias(k) for k, c in arrays.items()])
+    rows = df.select(F.col(seq).alias("seq"), F.posexplode(zipped).alias("__t", "x")).where("x.mask = 1")
+    return rows.select("seq", (F.col("__t") + 1).cast("bigint").alias("t"), *[f"x.{k}" for k in arrays if k != "mask"])
+
+
+def with_covariance(tokens: DataFrame) -> DataFrame:
+    """Adds `cov`, the product of a token's centred advantage and centred log-probability."""
+    means = tokens.agg(F.avg("new").alias("__mn"), F.avg("adv").alias("__ma"))
+    return tokens.crossJoin(F.broadcast(means)).withColumn("cov", (F.col("new") - F.col("__mn")) * (F.col("adv") - F.col("__ma"))).drop("__mn", "__ma")  # one row
+
+
+def top_by(df: DataFrame, column: str, ties: list[str], share: float, least: int = 1, error: float = 1e-4) -> DataFrame:
+    """The rows of the largest values, a share of all (rounded down, `least` at least); no task sorts or holds more than a bucket.
+
+    A quantile of bounded error leaves little more than the wanted rows; only these are ranked.
+    """
+    n = df.count()
+    wanted = max(least, int(n * share))
+    if wanted >= n:
+        return df
+    edge = df.agg(F.percentile_approx(column, max(0.0, 1 - wanted / n - 2 * error), int(1 / error))).first()[0]
+    near = df.where(F.col(column) >= edge).withColumn("__down", -F.col(column))
+    return ranged_row_number(near, [], "__down", ties, "__rank").where(F.col("__rank") <= wanted).drop("__down", "__rank")
+
+
+def random_rows(df: DataFrame, ties: list[str], wanted: int) -> DataFrame:
+    """`wanted` rows by the smallest digests of their keys, ranked in buckets."""
+    draw = F.conv(F.substring(F.md5(F.concat_ws("/", *ties)), 1, 15), 16, 10).cast("bigint")
+    spread = (draw - F.lit(2**59)) * 16
+    ranked = distributed_row_number(df.withColumn("__draw", spread), [], "__draw", ties, "__rank", bucket_count(df.count()))
+    return ranked.where(F.col("__rank") <= wanted).drop("__draw", "__rank")
+
+
+def clip_cov(tokens: DataFrame, low: float, high: float, share: float, cov_low: float, cov_high: float) -> DataFrame:
+    """(seq, t, loss): the clipped surrogate of (seq, t, new, old, adv), 0 for a random share of the tokens whose covariance lies between the bounds.
+
+    Tokens that the surrogate clips by itself are not drawn.
+    """
+    ratio = F.exp(F.col("new") - F.col("old"))
+    one, two = -F.col("adv") * ratio, -F.col("adv") * clamp(ratio, 1 - low, 1 + high)
+    rows = with_covariance(tokens).withColumn("loss", F.greatest(one, two)).withColumn("clipped", two > one)
+    fit = rows.where(~F.col("clipped") & (F.col("cov") > cov_low) & (F.col("cov") < cov_high)).select("seq", "t")
+    drawn = random_rows(fit, ["seq", "t"], max(1, int(tokens.count() * share))).withColumn("__hit", F.lit(True))
+    return rows.join(drawn, ["seq", "t"], "left").select("seq", "t", F.when(F.col("__hit"), 0.0).otherwise(F.col("loss")).alias("loss"), F.coalesce("__hit", F.lit(False)).alias("dropped"))
+
+
+def top_k_distillation(student: Column, teacher: Column, k: int) -> Column:
+    """struct(loss, teacher_mass, student_mass, overlap): forward divergence over the teacher's k likeliest tokens, from two arrays of logits.
+
+    overlap is the share of these tokens that are among the student's k likeliest.
+    """
+
+    def at_top(logits: Column) -> Column:
+        order = F.sort_array(F.transform(logits, lambda x, i: F.struct(x.alias("x"), (-i).alias("i"))), asc=False)
+        return F.transform(F.slice(order, 1, k), lambda s: -s["i"])
+
+    def result(top: Column) -> Column:
+        def of(z: Column) -> Column:
+            t, s, zt, zs = z["t"], z["s"], z["zt"], z["zs"]
+            pt = F.transform(top, lambda i: F.exp(F.get(t, i) - zt))
+            loss = F.aggregate(top, F.lit(0.0), lambda a, i: a + F.exp(F.get(t, i) - zt) * ((F.get(t, i) - zt) - (F.get(s, i) - zs)))
+            ps = F.transform(top, lambda i: F.exp(F.get(s, i) - zs))
+            return F.struct(loss.alias("loss"), array_sum(pt).alias("teacher_mass"), array_sum(ps).alias("student_mass"), (F.size(F.array_intersect(top, at_top(s))) / k).alias("overlap"))
+
+        return let(F.struct(teacher.alias("t"), student.alias("s"), log_sum_exp(teacher).alias("zt"), log_sum_exp(student).alias("zs")), of)
+
+    return let(at_top(teacher), result)
+
+
+def top_p(logits: Column, p: float, temperature: float = 1.0) -> Column:
+    """The indices (from 0) that stay under nucleus filtering: the likeliest tokens up to the one that reaches probability p."""
+
+    def pick(z: Column) -> Column:
+        order = F.sort_array(F.transform(logits, lambda x, i: F.struct((x / temperature).alias("x"), (-i).alias("i"))), asc=False)
+        start = F.struct(F.lit(0.0).alias("mass"), F.array().cast("array<int>").alias("kept"))
+        step = lambda acc, s: F.when(acc["mass"] >= p, acc).otherwise(F.struct((acc["mass"] + F.exp(s["x"] - z)).alias("mass"), F.concat(acc["kept"], F.array((-s["i"]).cast("int"))).alias("kept")))
+        return F.aggregate(order, start, step)["kept"]
+
+    return let(log_sum_exp(F.transform(logits, lambda x: x / temperature)), pick)

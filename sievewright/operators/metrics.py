@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievewright.functions import arrays as A
+
 
 def reduce_by_name(df: DataFrame, metric: str, value: str) -> DataFrame:
     """One row per metric: the largest value if its name holds `max`, the least if `min`, else the mean."""
@@ -51,20 +53,29 @@ def expected_best(df: DataFrame, group: str, value: str, n: int, worst: bool = F
     return df.withColumn("__w", weight).groupBy(group).agg(F.sum(F.col("__w") * F.col(value)).alias(out))
 
 
-def bootstrap(df: DataFrame, group: str, value: str, n: int, draws: int = 1000, seed: int = 42, statistic: str = "max") -> DataFrame:
+def bootstrap(df: DataFrame, group: str, value: str, n: int, draws: int = 1000, seed: int = 42, statistic: str = "max", prediction: str | None = None) -> DataFrame:
     """(group, mean, deviation) of a statistic of n values drawn with replacement, over `draws` draws of a group's values.
 
-    A group is one prompt's samples, so it is small; groups run in parallel.
+    `majority` needs the predictions: a draw's value is that of the first drawn row with its most frequent prediction. A group
+    is one prompt's samples, so it is small; groups run in parallel, a group's draws in steps of bounded size.
     """
-    reduce = {"max": np.max, "min": np.min, "mean": np.mean}[statistic]
+    reduce = {"max": np.max, "min": np.min, "mean": np.mean, "majority": None}[statistic]
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         values = frame["value"].to_numpy()
-        picks = np.random.RandomState(seed).choice(len(values), size=(draws, n), replace=True)
-        got = reduce(values[picks], axis=1)
+        rng, got = np.random.RandomState(seed), []
+        for start in range(0, draws, 256):
+            picks = rng.choice(len(values), size=(min(256, draws - start), n), replace=True)
+            if reduce is not None:
+                got.append(reduce(values[picks], axis=1))
+                continue
+            codes = pd.factorize(frame["prediction"], use_na_sentinel=False)[0][picks]
+            votes = (codes[:, :, None] == codes[:, None, :]).sum(axis=2)
+            got.append(values[picks[np.arange(len(picks)), votes.argmax(axis=1)]])
+        got = np.concatenate(got)
         return pd.DataFrame([(key[0], float(got.mean()), float(got.std()))], columns=["grp", "mean", "deviation"])
 
-    rows = df.select(F.col(group).alias("grp"), F.col(value).cast("double").alias("value"))
+    rows = df.select(F.col(group).alias("grp"), F.col(value).cast("double").alias("value"), (F.col(prediction) if prediction else F.lit(None).cast("string")).alias("prediction"))
     return rows.groupBy("grp").applyInPandas(run, f"grp {df.schema[group].dataType.simpleString()}, mean double, deviation double").withColumnRenamed("grp", group)
 
 
@@ -87,3 +98,29 @@ def run_numbers(df: DataFrame, group: str, order: list[str], key: str, out: str
     changed = F.when(F.lag(key).over(w).eqNullSafe(F.col(key)) & (F.row_number().over(w) > 1), 0).otherwise(1)
     d = df.withColumn("__new", changed).withColumn("__island", F.sum("__new").over(w))
     return d.withColumn(out, F.row_number().over(Window.partitionBy(group, "__island").orderBy(*order))).drop("__new", "__island")
+
+
+def timing_metrics(seconds: dict[str, float], prompt_tokens: int, response_tokens: int, devices: int) -> dict[str, float]:
+    """Seconds of each stage, milliseconds per token of those that work on tokens, and the throughput of the step per device."""
+    every = prompt_tokens + response_tokens
+    tokens = {"gen": response_tokens} | dict.fromkeys(("ref", "values", "adv", "update_critic", "update_actor"), every)
+    out = {f"timing_s/{k}": v for k, v in seconds.items()} | {f"timing_per_token_ms/{k}": v * 1000 / tokens[k] for k, v in seconds.items() if tokens.get(k)}
+    if seconds.get("step"):
+        out |= {"perf/total_num_tokens": every, "perf/time_per_step": seconds["step"], "perf/throughput": every / (seconds["step"] * devices)}
+    return out
+
+
+def variance_proxies(df: DataFrame, adv: str, old: str, squares: str, mask: str, gradient_norm: float | None = None, weights: str | None = None) -> DataFrame:
+    """One row: signal, total power and noise of the gradient by the proxy 1 - 2p + sum of squares per token, and its parts."""
+    m = F.col(mask)
+    proxy = F.transform(F.arrays_zip(F.col(old).alias("o"), F.col(squares).alias("s")), lambda x: 1 - 2 * F.exp(x["o"]) + x["s"])
+    w = F.lit(1.0) if weights is None else A.masked_mean(F.col(weights), m)
+    scaled = proxy if weights is None else F.zip_with(proxy, F.col(weights), lambda p, r: p * r * r)
+    rows = df.select(A.masked_mean(F.col(adv), m).alias("a"), A.masked_sum(scaled, m).alias("w"), F.greatest(F.lit(0.0), A.masked_sum(proxy, m)).alias("own"), w.alias("r"))
+    signal = F.lit(None if gradient_norm is None else float(gradient_norm) ** 2).cast("double")
+    power = F.avg(F.col("r") * F.col("r") * F.col("a") * F.col("a") * F.col("own"))
+    noise = F.when(F.count("*") > 1, F.greatest(F.lit(0.0), (power - signal) / (F.count("*") - 1)))
+    return rows.agg(
+        F.coalesce(signal, F.lit(0.0)).alias("signal_strength"), power.alias("total_power"), F.coalesce(noise, F.lit(0.0)).alias("pure_noise"),
+        F.avg(F.col("a") * F.col("a")).alias("expected_a_squared"), F.avg("w").alias("expected_w"),
+    )

@@ -233,27 +233,6 @@ def length_costs(spark, sf):
     return table(spark, sf, "documents").select("doc_id", (F.round(SC.overlong_penalty(n, 1000, 200), 6) + 0.0).alias("penalty"), F.round(SC.dense_flops(n, n * n, 10**9, 32, 8, 128), 0).alias("flops"))
 
 
-@query(f"""WITH {_T}, c AS (SELECT seq, t, (new - avg(new) OVER ()) * (adv - avg(adv) OVER ()) AS cov, adv, new, old FROM t WHERE mask = 1),
-    k AS (SELECT *, row_number() OVER (ORDER BY cov DESC, seq, t) AS rk FROM c), n AS (SELECT greatest(1, CAST(floor(count(*) * 0.002) AS BIGINT)) AS k FROM c)
-    SELECT seq, t, round(-adv * exp(new - old) + abs(new - old), 6) AS loss FROM k, n WHERE rk <= k""")
-def loss_kl_cov(spark, sf):
-    """Tokens of the highest covariance, which get the divergence term; the top is cut without sorting all tokens in one task."""
-    x = _tokens(spark, sf).select("seq", F.posexplode(F.arrays_zip("new", "old", "adv", "mask")).alias("t", "x")).where("x.mask = 1").select("seq", (F.col("t") + 1).cast("bigint").alias("t"), "x.new", "x.old", "x.adv")
-    m = x.agg(F.avg("new").alias("mn"), F.avg("adv").alias("ma"), F.count("*").alias("n"))
-    k = max(1, int(m.first()["n"] * 0.002))
-    c = x.crossJoin(F.broadcast(m)).withColumn("cov", (F.col("new") - F.col("mn")) * (F.col("adv") - F.col("ma")))
-    top = c.orderBy(F.desc("cov"), "seq", "t").limit(k)  # each task keeps k rows
-    return top.select("seq", "t", F.round(-F.col("adv") * F.exp(F.col("new") - F.col("old")) + F.abs(F.col("new") - F.col("old")), 6).alias("loss"))
-
-
-@query(f"""WITH {_T}, s AS (SELECT seq, exp(sum((new - old) * mask) / (sum(mask) + 1e-8)) AS r, sum(adv * mask) / (sum(mask) + 1e-8) AS a FROM t GROUP BY seq HAVING sum(mask) > 0) SELECT round(avg(-a * r), 6) AS loss FROM s""")
-def loss_geo_mean(spark, sf):
-    from sievewright.operators.losses import sequence_ratio
-
-    t = _tokens(spark, sf).where(F.exists("mask", lambda m: m == 1))
-    return t.agg(F.round(F.avg(-A.masked_mean(F.col("adv"), F.col("mask")) * sequence_ratio(F.col("new"), F.col("old"), F.col("mask"))), 6).alias("loss"))
-
-
 @query(f"WITH {_T}, s AS (SELECT seq, t, new, lead(mask, 1, 0) OVER (PARTITION BY seq ORDER BY t) AS m FROM t) SELECT round(-sum(new * m) / sum(m), 6) AS loss FROM s")
 def loss_sft(spark, sf):
     """Mean negative log-probability under the mask shifted left by one token."""
@@ -279,16 +258,6 @@ def loss_distillation(spark, sf):
     return _tokens(spark, sf).select("seq", (F.round(A.masked_sum(kl, F.col("mask")), 6) + 0.0).alias("forward_kl"), (F.round(F.array_max(kept), 6) + 0.0).alias("most"))
 
 
-@query(f"""WITH {_T}, c AS (SELECT seq, t, reward, value, sum(reward) OVER (PARTITION BY seq ORDER BY t DESC) AS ret, sum(power(value, 2)) OVER (PARTITION BY seq ORDER BY t) AS w FROM t),
-    b AS (SELECT t, sum(w * ret) / sum(w) AS base FROM c GROUP BY t) SELECT c.seq, c.t, round(ret - base, 5) + 0.0 AS advantage FROM c JOIN b USING (t)""")
-def adv_token_baseline(spark, sf):
-    """Return-to-go less the weighted mean of all sequences at the same position; weights are running sums."""
-    t = _tokens(spark, sf).select("seq", A.suffix_fold(F.col("reward")).alias("ret"), F.reverse(A.suffix_fold(F.reverse(F.transform("value", lambda v: v * v)))).alias("w"))
-    x = t.select("seq", F.posexplode(F.arrays_zip("ret", "w")).alias("t", "x")).select("seq", (F.col("t") + 1).cast("bigint").alias("t"), "x.ret", "x.w")
-    base = x.groupBy("t").agg((F.sum(F.col("w") * F.col("ret")) / F.sum("w")).alias("base"))
-    return x.join(base, "t").select("seq", "t", (F.round(F.col("ret") - F.col("base"), 5) + 0.0).alias("advantage"))
-
-
 @query(f"""WITH {_T}, s AS (SELECT seq, sum(reward) AS score, count(*) AS len, sum(mask) AS on_len, sum(value) AS v FROM t GROUP BY seq)
     SELECT round(avg(score), 4) AS score_mean, round(max(score), 4) AS score_max, round(min(score), 4) AS score_min, round(avg(len), 6) AS len_mean, round(avg(CASE WHEN len >= 7 THEN 1.0 ELSE 0.0 END), 6) AS clip_ratio,
         round(avg(CASE WHEN on_len = 0 THEN 1.0 ELSE 0.0 END), 6) AS aborted_ratio, round(1 - var_samp(score - v) / var_samp(score), 5) AS explained_variance FROM s""")

@@ -9,9 +9,9 @@ import os
 import duckdb
 import pytest
 
-from sievewright.plans import analytics, dataset, nested, relational, retrieval, storage, text
+from sievewright.plans import analytics, dataset, nested, relational, retrieval, storage, text, training
 
-MODULES = [text, analytics, dataset, relational, retrieval, storage, nested]
+MODULES = [text, analytics, dataset, relational, retrieval, storage, nested, training]
 
 
 def norm(v):
