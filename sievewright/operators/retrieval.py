@@ -7,15 +7,19 @@ nothing that grows with the corpus is broadcast.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 from itertools import batched
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievewright.session import cut_lineage
+from sievewright.functions.arrays import l2_normalize, let
+from sievewright.session import broadcast_if_small, cut_lineage
 
 #: Queries scored in one pass over the corpus.
 QUERY_BLOCK = 2048
@@ -32,7 +36,7 @@ def tokens(c: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(F.col(c) if isinstance(c, str) else c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int, least: float | None) -> Iterator[tuple[int, np.ndarray]]:
+def _best(scores: np.ndarray, ids: np.ndarray | None, k: int, least: float | None) -> Iterator[tuple[int, np.ndarray]]:
     """Per query (column) the rows that may be among its k best, ties at the k-th place included."""
     for q in range(scores.shape[1]):
         s = scores[:, q]
@@ -82,10 +86,43 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, query_id: str, doc_id: str
     return _ranked(out if out is not None else spark.createDataFrame([], schema), k, digits)
 
 
-def bm25_statistics(docs: DataFrame, toks: str = "toks") -> tuple[int, float, DataFrame]:
+def inverted_index(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, n, terms, tfs): each document with its number of tokens, its distinct terms and how often it holds each. No shuffle.
+
+    NULL texts aren't indexed. `postings` turns it round by term; write it once and search it as often as wanted.
+    """
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), tokens(text).alias("toks"))
+    schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n int, terms array<string>, tfs array<int>"
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toks = batch.column(1)
+            flat, sizes = toks.flatten(), pc.list_value_length(toks).to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = pc.dictionary_encode(flat)
+            if isinstance(coded, pa.ChunkedArray):
+                coded = coded.combine_chunks()
+            names = coded.dictionary
+            # (row, term) pairs as one number, so that a batch is counted by one sort
+            pairs, tfs = np.unique(np.repeat(np.arange(len(sizes)), sizes) * (len(names) + 1) + coded.indices.to_numpy(), return_counts=True)
+            ends = np.searchsorted(pairs, np.arange(len(sizes) + 1) * (len(names) + 1)).astype(np.int32)
+            offsets = pa.array(ends, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(offsets, names.take(pa.array(pairs % (len(names) + 1), pa.int64()))), pa.ListArray.from_arrays(offsets, pa.array(tfs, pa.int32()))],
+                ["doc_id", "n", "terms", "tfs"],
+            )
+
+    return rows.mapInArrow(count, schema)
+
+
+def postings(index: DataFrame) -> DataFrame:
+    """(term, doc_id, tf, n): the index by term."""
+    return index.select("doc_id", "n", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select("p.terms", "doc_id", F.col("p.tfs").alias("tf"), "n").withColumnRenamed("terms", "term")
+
+
+def bm25_statistics(index: DataFrame) -> tuple[int, float, DataFrame]:
     """(number of documents, their mean length, (term, df) of all terms)."""
-    n, mean = docs.agg(F.count("*"), F.avg(F.size(toks))).first()
-    return n, float(mean or 0.0), docs.select(F.explode(F.array_distinct(toks)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    n, mean = index.agg(F.count("*"), F.avg("n")).first()
+    return n, float(mean or 0.0), index.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def idf_table(df: DataFrame, n: int) -> DataFrame:
@@ -95,50 +132,104 @@ def idf_table(df: DataFrame, n: int) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def lexical_scores(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, query_id: str, query: str, k: int, digits: int = 6) -> DataFrame:
-    """query_id, doc_id, score, rank: BM25 with repeated query words counted, documents with a positive score only."""
-    spark = docs.sparkSession
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), tokens(text).alias("toks"))
-    n, mean_length, df = bm25_statistics(rows)
+def search_index(index: DataFrame, queries: DataFrame, query_id: str, query: str, k: int, digits: int = 6) -> DataFrame:
+    """query_id, doc_id, score, rank: BM25 with repeated query words counted, documents with a positive score only.
+
+    A block's queries are broadcast as weights per term; a batch of documents is scored term by term, only where document and
+    query share it, and gives up its k best per query.
+    """
+    spark = index.sparkSession
+    n, mean_length, df = bm25_statistics(index)
     asked = ((r[0], r[1]) for r in queries.select(query_id, tokens(query)).orderBy(query_id).toLocalIterator() if r[1])
-    schema = f"query_id {queries.schema[query_id].dataType.simpleString()}, doc_id {docs.schema[doc_id].dataType.simpleString()}, score double"
-    idf = idf_table(df, n)
+    schema = f"query_id {queries.schema[query_id].dataType.simpleString()}, doc_id {index.schema['doc_id'].dataType.simpleString()}, score double"
+    blocks = list(_blocks(asked)) if n else []  # the query set is a stated, small table
+    idf = cut_lineage(idf_table(df, n)) if len(blocks) > 1 else idf_table(df, n)
     out = None
-    for block in _blocks(asked):
+    for block in blocks:
         vocabulary = sorted({t for _, ts in block for t in ts})
         # only terms of the block's queries are collected
         terms = spark.createDataFrame([(t,) for t in vocabulary], "term string")
         known = {r["term"]: r["idf"] for r in idf.join(F.broadcast(terms), "term").collect()}
-        place = {t: i for i, t in enumerate(vocabulary)}
-        counts = np.zeros((len(vocabulary), len(block)))
+        weights: dict[str, tuple[list[int], list[float]]] = {}
         for j, (_, ts) in enumerate(block):
-            for t in ts:
-                counts[place[t], j] += 1
-        weights = np.array([known.get(t, 0.0) for t in vocabulary])
-        shared = spark.sparkContext.broadcast(([q for q, _ in block], place, counts * weights[:, None], mean_length))
-        used = rows.select("doc_id", F.size("toks").alias("n"), "toks")
-
-        def score(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            names, place, weighted, mean = shared.value
-            for frame in frames:
-                for at in range(0, len(frame), SCORE_ROWS):
-                    part = frame.iloc[at : at + SCORE_ROWS]
-                    ids, lengths = part["doc_id"].to_numpy(), part["n"].to_numpy(dtype=np.float64)
-                    slots = [[place[t] for t in ts if t in place] for ts in part["toks"]]
-                    row = np.repeat(np.arange(len(slots)), [len(x) for x in slots])
-                    cell = row * len(place) + np.fromiter((p for x in slots for p in x), dtype=np.int64, count=len(row))
-                    tf = np.bincount(cell, minlength=len(part) * len(place)).reshape(len(part), len(place)).astype(np.float64)
-                    tf *= (K1 + 1) / (tf + K1 * (1 - B + B * lengths / max(mean, 1e-9))[:, None])
-                    s = tf @ weighted
-                    for j, keep in _best(s, ids, k, 0.0):
+            for t, c in Counter(ts).items():
+                if t in known:
+                    weights.setdefault(t, ([], []))
+                    weights[t][0].append(j)
+                    weights[t][1].append(c * known[t])
+        shared = spark.sparkContext.broadcast(([q for q, _ in block], {t: (np.array(js), np.array(ws)) for t, (js, ws) in weights.items()}, mean_length))
+
+        def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, weights, mean = shared.value
+            places = pa.array(list(weights), pa.string())
+            kind = pa.array(names).type
+            for whole in batches:
+                for at in range(0, whole.num_rows, SCORE_ROWS):
+                    batch = whole.slice(at, SCORE_ROWS)
+                    terms, tfs = batch.column(2), batch.column(3)
+                    sizes = pc.list_value_length(terms).to_numpy(zero_copy_only=False).astype(np.int64)
+                    lengths = batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
+                    place = pc.fill_null(pc.index_in(terms.flatten(), places), -1).to_numpy(zero_copy_only=False)
+                    hit = np.flatnonzero(place >= 0)
+                    if not len(hit):
+                        continue
+                    row, place = np.repeat(np.arange(len(sizes)), sizes)[hit], place[hit]
+                    tf = tfs.flatten().to_numpy(zero_copy_only=False).astype(np.float64)[hit]
+                    part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[row] / max(mean, 1e-9)))
+                    order = np.argsort(place, kind="stable")
+                    edges = np.flatnonzero(np.diff(place[order], prepend=-1))
+                    s = np.zeros((len(sizes), len(names)))
+                    for a, b in zip(edges, [*edges[1:], len(order)], strict=True):
+                        js, ws = weights[places[int(place[order[a]])].as_py()]
+                        mine = order[a:b]
+                        s[np.ix_(row[mine], js)] += part[mine][:, None] * ws[None, :]
+                    qs, rows, values = [], [], []
+                    for j, keep in _best(s, None, k, 0.0):
                         if len(keep):
-                            yield pd.DataFrame({"query_id": names[j], "doc_id": ids[keep], "score": s[keep, j]})
-
-        found = used.mapInPandas(score, schema)
+                            qs.append(np.full(len(keep), j))
+                            rows.append(keep)
+                            values.append(s[keep, j])
+                    if qs:
+                        own = pa.array(names, kind).take(pa.array(np.concatenate(qs)))
+                        yield pa.RecordBatch.from_arrays([own, batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(values))], ["query_id", "doc_id", "score"])
+
+        found = index.mapInArrow(score, schema)
         out = found if out is None else out.unionByName(found)
     return _ranked(out if out is not None else spark.createDataFrame([], schema), k, digits)
 
 
+def lexical_scores(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, query_id: str, query: str, k: int, digits: int = 6) -> DataFrame:
+    """search_index over an index built for it; the texts are read and tokenised once."""
+    return search_index(cut_lineage(inverted_index(docs, doc_id, text)), queries, query_id, query, k, digits)
+
+
+def letter_encoder(text: Column | str, letters: str = "abcdefghijklmnopqrstuvwxyz") -> Column:
+    """A deterministic stand-in for a model: the letters of a text by their number, as a vector of norm 1."""
+    count = lambda low: F.array(*[(F.char_length(low) - F.char_length(F.replace(low, F.lit(c), F.lit("")))).cast("double") for c in letters])
+    return let(let(F.lower(F.col(text) if isinstance(text, str) else text), count), l2_normalize)
+
+
+def hybrid(
+    docs: DataFrame, doc_id: str, text: str, queries: DataFrame, query_id: str, query: str, k: int, encode: Callable[[str], Column], rerank: Callable[[Column, Column], Column],
+    each: int = 50, fused: int = 100,
+) -> DataFrame:
+    """query_id, doc_id, score, rank: the `each` best by vectors and by BM25, fused to `fused`, and of these the k best by the reranker.
+
+    `encode` turns a text column's name into a vector column, `rerank` a query and a text column into a score. Only the fused
+    candidates meet their texts; ties of the reranker go to the better fused rank.
+    """
+    known = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    asked = queries.where(F.col(query).isNotNull()).select(F.col(query_id).alias("query_id"), F.col(query).alias("query"))
+    vectors = known.select("doc_id", encode("text").alias("v"))
+    dense = dense_topk(asked.select("query_id", encode("query").alias("v")), vectors, "query_id", "doc_id", "v", each)
+    found = cut_lineage(fuse([dense, lexical_scores(known, "doc_id", "text", asked, "query_id", "query", each)], fused))
+    wanted = found.select("doc_id").distinct()
+    pairs = found.select("query_id", "doc_id", F.col("rank").alias("first")).join(known.join(broadcast_if_small(wanted), "doc_id", "left_semi"), "doc_id").join(broadcast_if_small(asked), "query_id")
+    scored = pairs.select("query_id", "doc_id", rerank(F.col("query"), F.col("text")).alias("score"), "first")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "first")  # at most `fused` rows
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("first")
+
+
 def overlap_scores(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, query_id: str, query: str, k: int, digits: int = 9) -> DataFrame:
     """query_id, doc_id, score, rank: distinct query words a document holds, divided by its characters; all documents are scored."""
     spark = docs.sparkSession

@@ -47,8 +47,7 @@ def bm25_tokens(spark, sf):
 
 @query(f"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def bm25_index(spark, sf):
-    docs = table(spark, sf, "documents").where("text is not null").select(R.tokens("text").alias("toks"))
-    n, _, df = R.bm25_statistics(docs)
+    n, _, df = R.bm25_statistics(cut_lineage(R.inverted_index(table(spark, sf, "documents"), "doc_id", "text")))
     return R.idf_table(df, n).withColumn("idf", F.round("idf", 6))
 
 
@@ -98,22 +97,34 @@ def dense_index_topk(spark, sf):
     return R.index_topk(index, q, "query_id", "embedding", centroids, k=10, probes=16)
 
 
-def _newest(lexical, k=50):
-    """Second ranked list: the newest documents among the lexical hits, by id."""
-    from pyspark.sql import Window
+@query(f"WITH {_BM25} SELECT term, count(*) AS n_docs, sum(tf) AS n_tokens, min(doc_id) AS first_doc FROM tf GROUP BY 1")
+def bm25_postings(spark, sf):
+    """The index by term, as stored: documents and occurrences of each."""
+    p = R.postings(R.inverted_index(table(spark, sf, "documents"), "doc_id", "text"))
+    return p.groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("tf").alias("n_tokens"), F.min("doc_id").alias("first_doc"))
 
-    w = Window.partitionBy("query_id").orderBy(F.desc("doc_id"))
-    return lexical.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
+_LETTERS = "[" + ", ".join(f"(length(lower({{0}})) - length(replace(lower({{0}}), '{c}', '')))::DOUBLE" for c in "abcdefghijklmnopqrstuvwxyz") + "]"
+_UNIT = "list_transform({0}, lambda x: x / CASE WHEN list_sum(list_transform({0}, lambda y: y * y)) = 0 THEN 1 ELSE sqrt(list_sum(list_transform({0}, lambda y: y * y))) END)"
 
-@query(f"""WITH {_BM25}, nw AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id DESC) AS rank FROM bm),
-    u AS (SELECT query_id, doc_id, rank, 0 AS l FROM bm UNION ALL SELECT query_id, doc_id, rank, 1 FROM nw),
-    f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(struct_pack(l := l, r := rank)) AS first FROM u GROUP BY 1, 2)
-    SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first.l, first.r) AS INTEGER) AS rank FROM f QUALIFY rank <= 3""")
+
+@query(f"""WITH {_BM25}, dv AS (SELECT doc_id, {_LETTERS.format('text')} AS r FROM documents WHERE text IS NOT NULL), du AS (SELECT doc_id, {_UNIT.format('r')} AS v FROM dv),
+    qv AS (SELECT item_id, {_LETTERS.format('question')} AS r FROM eval_items WHERE question IS NOT NULL), qu AS (SELECT item_id, {_UNIT.format('r')} AS v FROM qv),
+    ds AS (SELECT item_id AS query_id, doc_id, round(list_inner_product(qu.v, du.v), 6) AS score FROM qu, du),
+    de AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ds QUALIFY rank <= 50),
+    u AS (SELECT query_id, doc_id, rank, 0 AS l FROM de UNION ALL SELECT query_id, doc_id, rank, 1 FROM bm),
+    f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(struct_pack(l := l, r := rank)) AS first FROM u GROUP BY 1, 2),
+    fr AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first.l, first.r) AS place FROM f QUALIFY place <= 100),
+    sh AS (SELECT fr.query_id, fr.doc_id, count(*) AS shared FROM fr JOIN qt ON qt.item_id = fr.query_id JOIN tf ON tf.term = qt.term AND tf.doc_id = fr.doc_id GROUP BY 1, 2)
+    SELECT fr.query_id, fr.doc_id, round(coalesce(shared, 0) / (length(text) + 100)::DOUBLE, 9) AS score, CAST(row_number() OVER (PARTITION BY fr.query_id ORDER BY round(coalesce(shared, 0) / (length(text) + 100)::DOUBLE, 9) DESC, fr.place) AS INTEGER) AS rank
+    FROM fr JOIN documents d ON d.doc_id = fr.doc_id LEFT JOIN sh ON sh.query_id = fr.query_id AND sh.doc_id = fr.doc_id QUALIFY rank <= 3""")
 def hybrid_rrf_top3(spark, sf):
-    """BM25 over all documents for every held-out question, fused with its own hits by id, as the SQL has it; no second search."""
-    lexical = cut_lineage(_bm25(spark, sf))  # both lists come from it
-    return R.fuse([lexical, _newest(lexical)], 3)
+    """The flagship: 50 documents by vectors and 50 by BM25 for every held-out question, fused, and of the fused the best three by a reranker.
+
+    Encoder and reranker are injected; here they are deterministic expressions.
+    """
+    shared = lambda q, t: F.round(F.size(F.array_intersect(R.tokens(q), R.tokens(t))) / (F.char_length(t) + 100), 9)
+    return R.hybrid(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "question", 3, R.letter_encoder, shared)
 
 
 @query(f"""WITH {_BM25}, o AS (SELECT qt.item_id AS query_id, doc_id, round(count(*)::DOUBLE / min(length(text)), 9) AS score FROM qt JOIN tf USING (term) JOIN documents USING (doc_id) GROUP BY 1, 2),
@@ -122,7 +133,7 @@ def hybrid_rrf_top3(spark, sf):
     f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(struct_pack(l := l, r := rank)) AS first FROM u GROUP BY 1, 2)
     SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first.l, first.r) AS INTEGER) AS rank FROM f QUALIFY rank <= 3""")
 def hybrid_rrf_two_searches(spark, sf):
-    """The flagship: two searches of all documents for every held-out question, BM25 and length-normalised overlap, fused, best three."""
+    """Two searches of all documents for every held-out question, BM25 and length-normalised overlap, fused, best three."""
     overlap = R.overlap_scores(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "question", 50)
     return R.fuse([_bm25(spark, sf), overlap], 3)
 

@@ -63,10 +63,19 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     A larger table gets no hint and joins by shuffle.
     """
     known = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if 4 * int(known.toString()) <= BROADCAST_BYTES:  # files are compressed
+    if 4 * int(str(known)) <= BROADCAST_BYTES:  # files are compressed
         return F.broadcast(df)
     width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) if t in ("string", "binary") else F.lit(16) for c, t in df.dtypes if not t.startswith(("array", "map", "struct"))), F.lit(16))
     if any(t.startswith(("array", "map", "struct")) for _, t in df.dtypes):
         width = width + F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c, t in df.dtypes if t.startswith(("array", "map", "struct"))])))
     n, size = df.select(width.alias("w")).limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum("w"), F.lit(0))).first()
     return F.broadcast(df) if n <= max_rows and size <= BROADCAST_BYTES else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals out the rows of an input that has fewer partitions than the cluster has cores, for work that costs far more than its input's size.
+
+    A larger input is read where it lies, without a shuffle; no result hangs on it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores // 2 else df
