@@ -62,7 +62,7 @@ SURE = 0.9
 SCRIPTS, LATIN = {"ru": {"cyrillic"}, "ja": {"kana", "han"}}, {"latin", "other"}
 #: Size of the hashed feature space, rounds over the sample of the first and the second fit, words per training sentence,
 #: sequences per step, and the step size.
-FEATURES, FIRST_ROUNDS, ROUNDS, SEQUENCE, SEQUENCES, STEP = 1 << 16, 1, 3, 48, 160, 0.6
+FEATURES, FIRST_ROUNDS, ROUNDS, SEQUENCE, SEQUENCES, STEP = 1 << 16, 3, 3, 48, 160, 0.6
 #: What is in none of the languages: its name, the size of the space of hashed shingles, the quantile and the margin of the
 #: share of known shingles, and the posterior that text without a whole sentence must have.
 UNKNOWN, SHINGLES, STRANGE, MARGIN, LEAST_SURE = "und", 1 << 18, 0.05, 0.6, 0.6

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievewright.llm import chunking, language, leakage, markup, mixing, sampling, splits
 from sievewright.functions.text import clean_text
-from sievewright.session import cut_lineage, table
+from sievewright.session import cut_lineage, spread, table
 
 
 def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +20,7 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only ids of cut sections are shuffled, never their texts."""
     sections = table(spark, sf_dir, "text_corpus").select("id", "contents").where("id is not null")
-    return chunking.split_oversized(sections, ["id"], "contents", limit=1800, overlap=150).where("n_pieces > 1").select("id").distinct()
+    return chunking.split_oversized(spread(sections), ["id"], "contents", limit=1800, overlap=150).where("n_pieces > 1").select("id").distinct()
 
 
 def _p3(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -77,12 +77,12 @@ def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections whose tree holds a node of a markup family; only their ids are shuffled."""
     sections = table(spark, sf_dir, "text_corpus").select("id", "contents").where("id is not null")
-    return markup.clean_markup(sections, ["id"], "contents").where("n_html + n_markdown + n_wiki + n_latex > 0").select("id").distinct()
+    return markup.clean_markup(spread(sections), ["id"], "contents").where("n_html + n_markdown + n_wiki + n_latex > 0").select("id").distinct()
 
 
 def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every question or passage found in a document, with how it was found."""
-    return leakage.leaked_items(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", ["question", "passage"])
+    return leakage.leaked_items(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", ["question", "passage"])
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +90,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _p7(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixing.mix_sources(docs, "doc_id", "source", mixing.token_count("text"), table(spark, sf_dir, "source_targets"))
 
 
@@ -109,6 +109,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _p8(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Documents with text, and their language segments; blank and nan texts are missing."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").where(clean_text("text") != "")
+    docs = spread(docs)
     return docs, language.language_segments(docs, "doc_id", "text", language.fitted_once(docs, "text", "lang", "doc_id"))
 
 
