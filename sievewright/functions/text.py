@@ -123,10 +123,11 @@ def retrieval_penalty(calls: Column, free: int = 2, rate: float = 0.02) -> Colum
     return F.lit(rate) * F.pow(F.greatest(F.lit(0), calls - free), F.lit(2))
 
 
-def sanitize_tags(c: Column | str, tags: tuple[str, ...] = ("think", "answer", "tool_call", "tool_response", "search", "vision_search")) -> Column:
-    """Opens of control tags are escaped, so that quoted text can't act as protocol."""
+def sanitize_tags(c: Column | str, tags: tuple[str, ...] = ("think", "tool_call", "tool_response", "answer", "search", "vision_search", "information", "vision_information")) -> Column:
+    """Control tags, with attributes too, and turn marks are escaped, so that quoted text can't act as protocol."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.regexp_replace(c, rf"(?i)<(/?)({'|'.join(tags)})(\s*)>", "&lt;$1$2$3&gt;")
+    c = F.regexp_replace(c, rf"(?i)<(/?(?:{'|'.join(tags)})(?:\s[^>]*)?)>", "&lt;$1&gt;")
+    return F.regexp_replace(c, r"(?i)<(\|im_(?:start|end)\|)>", "&lt;$1&gt;")
 
 
 def sanitize_media(c: Column | str) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievewright.functions import arrays as A
+from sievewright.operators.ranks import ranged_row_number
 
 
 def reduce_by_name(df: DataFrame, metric: str, value: str) -> DataFrame:
@@ -47,10 +48,12 @@ def two_level_mean(df: DataFrame, source: str, item: str, score: str, flag: Colu
 
 def expected_best(df: DataFrame, group: str, value: str, n: int, worst: bool = False, out: str = "expected") -> DataFrame:
     """Expectation of the best (worst) of n draws with replacement from each group, in closed form."""
-    w = Window.partitionBy(group).orderBy(F.col(value).desc() if worst else F.col(value).asc())
-    i, size = F.row_number().over(w), F.count("*").over(Window.partitionBy(group))
+    ordered = df.select(group, F.col(value).cast("double").alias("__v")).withColumn("__o", -F.col("__v") if worst else F.col("__v"))
+    ranked = ranged_row_number(ordered, [group], "__o", [], "__i")
+    sizes = df.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("__n"))
+    i, size = F.col("__i"), F.col("__n")
     weight = F.pow(i / size, F.lit(n)) - F.pow((i - 1) / size, F.lit(n))
-    return df.withColumn("__w", weight).groupBy(group).agg(F.sum(F.col("__w") * F.col(value)).alias(out))
+    return ranked.join(sizes, F.col(group).eqNullSafe(F.col("__g"))).groupBy(group).agg(F.sum(weight * F.col("__v")).alias(out))
 
 
 def bootstrap(df: DataFrame, group: str, value: str, n: int, draws: int = 1000, seed: int = 42, statistic: str = "max", prediction: str | None = None) -> DataFrame:

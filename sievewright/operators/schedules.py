@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.functions.arrays import clamp
+from sievewright.operators.ranks import bucket_count, range_buckets, running_sum
 
 
 def cosine_rate(step: Column, warmup: int, total: int, floor: float = 0.0, cycles: float = 0.5) -> Column:
@@ -41,10 +42,9 @@ def dense_flops(tokens: Column, square: Column, parameters: int, layers: int, he
 def controller_path(df: DataFrame, step: str, kl: str, start: float, target: float, horizon: float, n: float) -> DataFrame:
     """(step, coefficient) after each step of a clipped multiplicative controller: a running product.
 
-    Steps of one run are a short series, so one window orders them.
+    Summed up in logarithms, by ranges of steps.
     """
-    from pyspark.sql import Window
-
     factor = 1 + clamp(F.col(kl) / target - 1, -0.2, 0.2) * n / horizon
-    w = Window.partitionBy(F.lit(0)).orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
-    return df.select(step, kl, (F.lit(start) * F.exp(F.sum(F.log(factor)).over(w))).alias("coefficient"))
+    buckets = bucket_count(df.count())
+    path = running_sum(df.select(step, kl), [], step, [], F.log(factor), "__log", buckets, "double", range_buckets(df, step, buckets))
+    return path.select(step, kl, (F.lit(start) * F.exp("__log")).alias("coefficient"))

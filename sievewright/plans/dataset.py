@@ -13,6 +13,7 @@ from sievewright.operators.batch import number_rows
 from sievewright.operators.ranks import ranged_row_number
 from sievewright.plans.analytics import _T, _tokens
 from sievewright.session import table
+from sievewright.sources import writers as W
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -112,11 +113,6 @@ def drop_null_members(spark, sf):
     return table(spark, sf, "sft_rows").where("messages is not null").select("sample_id", "built_at", F.size(kept).cast("bigint").alias("kept"))
 
 
-def _once(spark, sf):
-    s = table(spark, sf, "sft_rows")
-    return s.join(s.groupBy("sample_id").agg(F.count("*").alias("c")).where("c = 1").select("sample_id"), "sample_id", "left_semi")
-
-
 def _rendered(s):
     lines = F.transform(F.filter("messages", lambda m: m["role"].isNotNull()), lambda m: F.concat(F.lit("<|"), m["role"], F.lit("|>"), F.coalesce(m["content"], F.lit(""))))
     return s.where(F.size(lines) > 0).select("sample_id", "built_at", F.array_join(lines, "\n").alias("rendered"))
@@ -131,33 +127,18 @@ def _mask_ranges(s):
     return d.select("sample_id", "built_at", (F.col("turn") + 1).cast("bigint").alias("turn"), (F.col("y.e") - F.col("y.n")).alias("mask_start"), F.col("y.e").alias("mask_end"))
 
 
-@query("""SELECT sample_id, built_at, string_agg('<|' || m.role || '|>' || coalesce(m.content, ''), chr(10) ORDER BY i) AS rendered FROM (
-    SELECT sample_id, built_at, unnest(messages) AS m, generate_subscripts(messages, 1) AS i FROM sft_rows WHERE sample_id IN (SELECT sample_id FROM sft_rows GROUP BY 1 HAVING count(*) = 1)) WHERE m.role IS NOT NULL GROUP BY 1, 2""")
-def chat_template(spark, sf):
-    """Chats rendered by a fixed template; samples built once."""
-    return _rendered(_once(spark, sf))
-
-
 @query("""SELECT sample_id, built_at, string_agg('<|' || m.role || '|>' || coalesce(m.content, ''), chr(10) ORDER BY i) AS rendered FROM (
     SELECT sample_id, built_at, unnest(messages) AS m, generate_subscripts(messages, 1) AS i FROM sft_rows) WHERE m.role IS NOT NULL GROUP BY 1, 2""")
-def chat_template_all(spark, sf):
-    """The same for every delivery of every sample."""
+def chat_template(spark, sf):
+    """Chats rendered by a fixed template, every delivery of every sample."""
     return _rendered(table(spark, sf, "sft_rows"))
 
 
-@query("""WITH m AS (SELECT sample_id, built_at, unnest(messages) AS m, generate_subscripts(messages, 1) AS i FROM sft_rows WHERE sample_id IN (SELECT sample_id FROM sft_rows GROUP BY 1 HAVING count(*) = 1)),
-    l AS (SELECT *, length(coalesce(m.content, '')) AS n FROM m) SELECT sample_id, built_at, i AS turn, CAST(sum(n) OVER (PARTITION BY sample_id ORDER BY i) - n AS BIGINT) AS mask_start, CAST(sum(n) OVER (PARTITION BY sample_id ORDER BY i) AS BIGINT) AS mask_end
-    FROM l QUALIFY m.role = 'assistant'""")
-def assistant_mask_ranges(spark, sf):
-    """Character ranges of assistant turns, in which a loss would count; samples built once."""
-    return _mask_ranges(_once(spark, sf))
-
-
 @query("""WITH m AS (SELECT sample_id, built_at, unnest(messages) AS m, generate_subscripts(messages, 1) AS i FROM sft_rows),
     l AS (SELECT *, length(coalesce(m.content, '')) AS n FROM m) SELECT sample_id, built_at, i AS turn, CAST(sum(n) OVER (PARTITION BY sample_id, built_at ORDER BY i) - n AS BIGINT) AS mask_start, CAST(sum(n) OVER (PARTITION BY sample_id, built_at ORDER BY i) AS BIGINT) AS mask_end
     FROM l QUALIFY m.role = 'assistant'""")
-def assistant_mask_ranges_all(spark, sf):
-    """The same for every delivery of every sample."""
+def assistant_mask_ranges(spark, sf):
+    """Character ranges of assistant turns, in which a loss would count, in every delivery of every sample."""
     return _mask_ranges(table(spark, sf, "sft_rows"))
 
 
@@ -174,10 +155,12 @@ def data_url(spark, sf):
     return table(spark, sf, "categories").select("category_key", F.concat(F.lit("data:image/jpeg;base64,"), F.base64(F.encode("name", "UTF-8"))).alias("url"))
 
 
-@query("SELECT source, sha256(string_agg(k, chr(10) ORDER BY k)) AS digest FROM (SELECT DISTINCT source, lower(trim(category_key)) AS k FROM documents WHERE category_key IS NOT NULL AND source IS NOT NULL) GROUP BY 1")
+@query("""WITH k AS (SELECT DISTINCT source, lower(trim(category_key)) AS k FROM documents WHERE category_key IS NOT NULL AND source IS NOT NULL), b AS (SELECT source, substr(md5(k), 1, 2) AS b, sha256(string_agg(k, chr(10) ORDER BY k)) AS d FROM k GROUP BY 1, 2)
+    SELECT source, sha256(string_agg(d, chr(10) ORDER BY b)) AS digest FROM b GROUP BY 1""")
 def set_digest(spark, sf):
+    """Digest of a set, whatever its order: a digest of its buckets' digests, so that no task gathers a whole source."""
     d = table(spark, sf, "documents").where("category_key is not null and source is not null").select("source", F.lower(F.trim("category_key")).alias("k")).distinct()
-    return d.groupBy("source").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("k")), "\n"), 256).alias("digest"))
+    return W.set_digest(d, "source", "k")
 
 
 @query("""SELECT coarse_taxon, CASE WHEN evidence_ok IS NULL THEN 'unchecked' WHEN evidence_ok = 0 THEN 'no_evidence' END AS reason, count(*) AS n FROM qa_candidates WHERE coalesce(evidence_ok, 0) = 0
@@ -198,9 +181,8 @@ def contiguous_shards(spark, sf):
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS place FROM orders")
 def permutation_inverse(spark, sf):
     """Where each row goes when rows are ordered by price."""
-    o = table(spark, sf, "orders").select("o_orderkey", F.struct("o_totalprice", "o_orderkey").alias("k"), (F.col("o_totalprice") * 100).cast("decimal(30,0)").alias("p"))
-    # a unique number in price order: price in cents first, then the key
-    return number_rows(o.select("o_orderkey", (F.col("p") * 1_000_000_000 + F.col("o_orderkey")).cast("double").alias("u")), "u", "place").select("o_orderkey", "place")
+    ranked = ranged_row_number(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), [], "o_totalprice", ["o_orderkey"], "n")
+    return ranked.select("o_orderkey", (F.col("n") - 1).alias("place"))
 
 
 # ---- training statistics

@@ -79,13 +79,49 @@ def io_starts_with_user(spark, sf):
     return rows.select("sample_id", "built_at", (F.coalesce(F.size("messages") > 0, F.lit(False)) & (first == "user")).alias("starts"))
 
 
-@query(None)
+_TAGS = r"</?(?:search|vision_search|information|vision_information)(?:\s[^>]*)?>"
+_ALL_TAGS = r"(?:</?(?:think|tool_call|tool_response|answer|search|vision_search|information|vision_information)(?:\s[^>]*)?>|<\|im_(?:start|end)\|>)"
+
+
+@query(rf"""WITH m AS (SELECT sample_id, built_at, unnest(messages) AS m, generate_subscripts(messages, 1) - 1 AS turn FROM sft_rows), c AS (SELECT sample_id, built_at, turn, coalesce(m.content, '') AS c FROM m WHERE m.role = 'assistant'),
+    n AS (SELECT *, len(string_split(c, '<tool_call>')) - 1 AS co, len(string_split(c, '</tool_call>')) - 1 AS cc, len(string_split(c, '<answer>')) - 1 AS ao, len(string_split(c, '</answer>')) - 1 AS ac,
+        regexp_replace(regexp_replace(c, '(?s)\A\s*<think>.*?</think>', ''), '(?s)\A\s+|\s+\z', '', 'g') AS act FROM c)
+    SELECT sample_id, built_at, turn, CASE WHEN regexp_matches(c, '(?i){_TAGS}') THEN 'legacy_tag' WHEN co <> cc THEN 'mismatched_tool_call' WHEN ao <> ac THEN 'mismatched_answer' WHEN co > 0 AND ao > 0 THEN 'call_and_answer' WHEN co > 1 OR ao > 1 THEN 'repeated'
+        WHEN NOT regexp_matches(regexp_extract(c, '(?s)\A\s*<think>(.*?)</think>', 1), '\S') THEN 'no_think' WHEN co > 0 AND NOT regexp_matches(act, '(?s)\A<tool_call>.*</tool_call>\z') THEN 'around_tool_call' WHEN co > 0 THEN 'tool_call'
+        WHEN ao > 0 AND NOT regexp_matches(act, '(?s)\A<answer>.*</answer>\z') THEN 'around_answer' WHEN ao > 0 AND NOT regexp_matches(regexp_extract(act, '(?s)<answer>(.*?)</answer>', 1), '\S') THEN 'blank_answer'
+        WHEN ao > 0 AND regexp_matches(regexp_extract(act, '(?s)<answer>(.*?)</answer>', 1), '(?i){_ALL_TAGS}') THEN 'control_tag' WHEN ao > 0 THEN 'answer' ELSE 'no_action' END AS state FROM n""")
 def protocol_turns(spark, sf):
-    """Every assistant turn through the full protocol parser."""
+    """Every assistant turn through the protocol's grammar, as one expression."""
+    turns = table(spark, sf, "sft_rows").select("sample_id", "built_at", F.posexplode("messages").alias("turn", "m")).where("m.role = 'assistant'")
+    return turns.select("sample_id", "built_at", F.col("turn").cast("bigint").alias("turn"), P.turn_state(F.coalesce("m.content", F.lit(""))).alias("state"))
+
+
+@query(None)
+def protocol_turns_parsed(spark, sf):
+    """The same through the full parser, payloads of calls included; a call's arguments need a JSON reader that sees repeated keys."""
     turns = table(spark, sf, "sft_rows").select("sample_id", F.posexplode("messages").alias("turn", "m")).where("m.role = 'assistant'")
     return turns.select("sample_id", "turn", P.turn_check(F.coalesce("m.content", F.lit(""))).alias("kind"))
 
 
+@query(r"""WITH r AS (SELECT source_row_index, evidence_ok, CASE source_row_index % 4 WHEN 0 THEN '{"score": ' || coalesce(evidence_ok, 2) || '}' WHEN 1 THEN ' {"score":' || coalesce(evidence_ok, 0) || '.0} ' WHEN 2 THEN '{"score": 1, "why": "x"}' ELSE payload_json END AS raw FROM qa_candidates),
+    j AS (SELECT source_row_index, CASE WHEN source_row_index % 4 = 0 AND evidence_ok IS NOT NULL THEN evidence_ok WHEN source_row_index % 4 = 1 THEN coalesce(evidence_ok, 0) END AS judged, source_row_index % 6 AS calls, evidence_ok FROM r)
+    SELECT source_row_index, judged::DOUBLE AS judged, round(0.8 * judged + 0.2 * CASE WHEN coalesce(evidence_ok, 0) = 1 THEN 1 ELSE 0 END - 0.02 * power(greatest(0, calls - 2), 2), 6) AS reward FROM j""")
+def judge_rewards(spark, sf):
+    """Judge's replies read strictly, and the reward they give together with format and calls."""
+    i, ok = F.col("source_row_index"), F.col("evidence_ok")
+    q = table(spark, sf, "qa_candidates")
+    raw = F.when(i % 4 == 0, F.concat(F.lit('{"score": '), F.coalesce(ok, F.lit(2)), F.lit("}"))).when(i % 4 == 1, F.concat(F.lit(' {"score":'), F.coalesce(ok, F.lit(0)), F.lit(".0} ")))
+    raw = raw.when(i % 4 == 2, '{"score": 1, "why": "x"}').otherwise(F.col("payload_json"))
+    q = q.select(i, P.judge_score(raw).alias("judged"), F.coalesce(ok == 1, F.lit(False)).alias("formed"), (i % 6).alias("calls"))
+    return q.select("source_row_index", "judged", F.round(P.total_reward(F.col("judged"), F.col("formed"), F.col("calls")), 6).alias("reward"))
+
+
+@query(r"""SELECT item_id, 'Q: ' || coalesce(question, '') || ' | A: ' || coalesce(answer, '') || ' | C: ' || coalesce(left(passage, 40), '') AS prompt, 2 AS turns FROM eval_items""")
+def judge_prompts(spark, sf):
+    messages = P.judge_prompt(F.col("question"), F.col("answer"), F.substring("passage", 1, 40), "Judge.", "Q: {question} | A: {reference} | C: {candidate}")
+    return table(spark, sf, "eval_items").select("item_id", messages.alias("m")).select("item_id", F.col("m")[1]["content"].alias("prompt"), F.size("m").alias("turns"))
+
+
 @query(None)
 def protocol_scores(spark, sf):
     """Every sample's assistant turns scored against all its gold answers, by the scorer of its data source: its last <answer>, or

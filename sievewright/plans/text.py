@@ -199,13 +199,8 @@ def text_tool_arguments(spark, sf):
     return calls.groupBy(F.col("c.function.name").alias("name"), F.get_json_object("c.function.arguments", "$.query").alias("query")).agg(F.count("*").alias("n"))
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}\p{M}\p{Pc}]+', ' ', 'g')) AS phrase FROM documents WHERE lang = 'en' AND text IS NOT NULL")
-def text_phrase_norm(spark, sf):
-    return table(spark, sf, "documents").where("lang = 'en' and text is not null").select("doc_id", T.normalize_phrase("text").alias("phrase"))
-
-
 @query(None)
-def text_phrase_norm_all(spark, sf):
+def text_phrase_norm(spark, sf):
     """All texts in all languages; no SQL, since engines differ in lower case and word characters beyond English."""
     return table(spark, sf, "documents").where("text is not null").select("doc_id", T.normalize_phrase("text").alias("phrase"))
 
@@ -225,14 +220,9 @@ def text_sanitize(spark, sf):
     return table(spark, sf, "text_corpus").select("id", (T.sanitize_tags("contents", ("pre", "table")) == F.col("contents")).alias("untouched"))
 
 
-@query("SELECT doc_id, CASE WHEN octet_length(encode(text)) <= 200 THEN text ELSE left(text, 200) END AS prefix FROM documents WHERE text IS NOT NULL AND octet_length(encode(text)) = length(text)")
+@query("""SELECT doc_id, CASE WHEN octet_length(encode(text)) <= 200 THEN text ELSE left(text, list_max(list_filter(range(0, 201), lambda i: octet_length(encode(left(text, i))) <= 200))) END AS prefix FROM documents WHERE text IS NOT NULL""")
 def text_utf8_prefix(spark, sf):
-    return table(spark, sf, "documents").where("octet_length(text) = char_length(text)").select("doc_id", T.utf8_prefix("text", 200).alias("prefix"))
-
-
-@query(None)
-def text_utf8_prefix_all(spark, sf):
-    """All texts, those with characters of more than one byte included."""
+    """The longest prefix of whole characters within 200 bytes."""
     return table(spark, sf, "documents").where("text is not null").select("doc_id", T.utf8_prefix("text", 200).alias("prefix"))
 
 

@@ -135,3 +135,11 @@ def log_metrics(spark: SparkSession, path: str, step: int, metrics: dict[str, fl
 def dump_by_step(df: DataFrame, path: str, step: str = "step") -> None:
     """Generations by step, one folder each, so that a step can be read or replaced alone."""
     df.write.mode("append").partitionBy(step).json(path)
+
+
+def set_digest(df: DataFrame, group: str, key: str, out: str = "digest") -> DataFrame:
+    """(group, out): a digest of each group's distinct keys that hangs on no order: sorted and digested in 256 buckets, then the buckets' digests."""
+    bucketed = df.select(group, F.col(key).alias("__k"), F.substring(F.md5(F.col(key)), 1, 2).alias("__b")).distinct()
+    parts = bucketed.groupBy(group, "__b").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("__k")), "\n"), 256).alias("__d"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__b", "__d"))), lambda x: x["__d"]), "\n")
+    return parts.groupBy(group).agg(F.sha2(joined, 256).alias(out))

@@ -24,20 +24,26 @@ def tumbling(df: DataFrame, ts: str, width: str, keys: list[str], *aggregates: C
     return out.select(F.col("window.start").alias("window_start"), *[c for c in out.columns if c != "window"])
 
 
-def sessions(df: DataFrame, ts: str, gap: str, keys: list[str], *aggregates: Column) -> DataFrame:
-    out = df.withColumn("__ts", F.col(ts).cast("timestamp")).groupBy(F.session_window("__ts", gap), *keys).agg(*aggregates)
+def sessions(df: DataFrame, ts: str, gap: str, keys: list[str], *aggregates: Column, delay: str | None = None) -> DataFrame:
+    """Aggregates by session: events of a key less than `gap` apart; with `delay` late rows are dropped on a stream."""
+    d = df.withColumn("__ts", F.col(ts).cast("timestamp"))
+    d = d.withWatermark("__ts", delay) if delay else d
+    out = d.groupBy(F.session_window("__ts", gap), *keys).agg(*aggregates)
     return out.select(F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), *[c for c in out.columns if c != "session_window"])
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over all that is there and returns its result, written to a shared path; a restart goes on where it was."""
+    """Runs a stream over all that is there and returns its result, written to a shared path; a restart goes on where it was.
+
+    A batch that is written again replaces what it wrote before: it has a folder of its own, or is the whole result.
+    """
     spark = stream.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={batch_id}")
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    return spark.read.schema(stream.schema).parquet(path).select(*stream.columns)
 
 
 def newest(df: DataFrame, keys: list[str], order: list[str], capacity: int) -> DataFrame:

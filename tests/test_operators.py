@@ -82,8 +82,12 @@ def test_apportionment(total, weights):
 
 
 def test_quota_matrix_and_fallbacks():
-    m = S.quota_matrix([10, 7, 3], [0.5, 0.3, 0.2])
-    assert [sum(r) for r in m] == [10, 7, 3] and [sum(c) for c in zip(*m, strict=True)] == S.largest_remainder(20, [0.5, 0.3, 0.2])
+    for rows, columns in (([10, 7, 3], [9, 6, 5]), ([0, 4, 6], [1, 9, 0]), ([5], [2, 3]), ([], []), ([1, 1, 1, 9], [3, 3, 3, 3])):
+        m = S.quota_matrix(rows, columns)
+        assert [sum(r) for r in m] == rows and (not rows or [sum(c) for c in zip(*m, strict=True)] == columns)
+    assert S.quota_matrix([4, 4], [5, 3]) == [[3, 1], [2, 2]]
+    with pytest.raises(ValueError):
+        S.quota_matrix([3], [2])
     assert S.balanced_totals(10, 4, 1) == [2, 3, 3, 2]
     assert S.fit_capacity([5, 5, 0], [3, 9, 9]) == [3, 5, 2]
     assert S.fallback_events([5, 5, 0], [3, 5, 2]) == [(0, 2, 2)]
@@ -162,14 +166,35 @@ def test_text_functions(spark):
     assert [one(spark, c) for c, _ in cases] == [w for _, w in cases]
 
 
-def test_protocol():
+def test_protocol(spark):
     call = '{"name": "search", "arguments": {"query": "x"}}'
     assert P.check_call(call) == "ok"
     assert P.check_call('{"name": "search", "name": "x", "arguments": {}}') == "duplicate_key"
     assert P.check_call('{"name": "vision_search", "arguments": {"image_index": true, "query": "x"}}') == "type:image_index"
     assert P.check_call('{"name": "search", "arguments": {"query": "%s"}}' % ("x" * 513)) == "length:query"
-    assert P.check_trajectory(["user", "assistant", "tool", "assistant"], ["q", f"<tool_call>{call}</tool_call>", "r", "<answer>a</answer>"]) == "ok"
-    assert P.check_trajectory(["user", "assistant"], ["q", "plain"]) == "turn_1:plain"
+    thought = "<think>so</think>"
+    assert P.check_trajectory(["user", "assistant", "tool", "assistant"], ["q", f"{thought}<tool_call>{call}</tool_call>", "r", f"{thought}\n<answer>a</answer> "]) == "ok"
+    assert P.check_trajectory(["user", "assistant"], ["q", f"{thought}plain"]) == "turn_1:no_action"
+    wrong = {
+        "<answer>a</answer>": "no_think", "<think> </think><answer>a</answer>": "no_think", f"{thought}x<answer>a</answer>": "around_answer", f"{thought}<answer>a": "mismatched_answer", f"{thought}<answer> </answer>": "blank_answer",
+        f"{thought}<answer>a <think>b</answer>": "control_tag", f"{thought}<search>x</search>": "legacy_tag", f"{thought}<tool_call>{call}</tool_call> more": "around_tool_call", f"{thought}<answer>a</answer><answer>b</answer>": "repeated",
+        f"{thought}<tool_call>{call}</tool_call><answer>a</answer>": "call_and_answer", f"{thought}<tool_call>{call}": "mismatched_tool_call",
+    }
+    assert all(P.parse_turn(t) == ("invalid", why) for t, why in wrong.items()) and P.parse_turn(f"{thought}<answer> a </answer>\n") == ("answer", "a")
+    states = spark.createDataFrame([(t, why) for t, why in wrong.items()] + [(f"{thought} <tool_call>{call}</tool_call>", "tool_call"), (f"{thought}<answer>a</answer>", "answer"), (None, None)], "t string, why string")
+    assert states.where(~P.turn_state("t").eqNullSafe(F.col("why"))).count() == 0
+    vision = '{"name": "vision_search", "arguments": {"image_index": 3, "query": "x"}}'
+    assert P.check_call(vision) == "ok" and P.check_call(vision, 2) == "range:image_index" and P.check_call('{"name": "search", "arguments": {"query": "a <think>"}}') == "control_tag:query"
+    flat = f"{thought}<tool_call>{call}</tool_call>user\n<tool_response>r</tool_response>\nassistant\n{thought}<answer>a</answer>\n"
+    assert P.check_flat_trajectory(flat) == "ok" and P.check_flat_trajectory(flat + "x") == "after_answer" and P.check_flat_trajectory(flat.replace(">r<", "><|im_end|><")) == "control_tag:response"
+    assert P.parse_channels(f"<|channel|>analysis<|message|>no<|end|>hi<|start|>assistant<|channel|>commentary to=functions.f <|constrain|>json<|message|>{{}}<|call|>") == ("hi", [("f", "{}")])
+    assert P.parse_braces('ok <|tool_call>call:f{a:<|"|>x, y<|"|>,n:3,b:true}<tool_call|>') == ("ok", [("f", '{"a": "x, y", "b": true, "n": 3}')])
+    assert P.boxed_strict("so \\boxed{3}", "3") == 1 and P.boxed_strict("\\boxed{3}" + "x" * 99, "3") == -1
+    assert P.boxed_with_format("<think>a</think> \\boxed{3}", "3") == 1.0 and abs(P.boxed_with_format("\\boxed{3}", "3") - 0.9) < 1e-9
+    assert P.plain_latex("x = \\dfrac12\\text{ cm}") == "\\frac{1}{2}" and P.plain_latex(".5") == "\\frac{1}{2}" and P.plain_latex("3/4") == "\\frac{3}{4}" and P.plain_latex("\\sqrt2") == "\\sqrt{2}"
+    assert P.format_match("<think>a</think>\n<tool_call>\nb\n</tool_call>", "<tool_call>") == 1 and P.format_match("<think>a</think>", "<tool_call>") == 0
+    judged = spark.createDataFrame([('{"score": 1}', 1.0), (' {"score":0.0}\n', 0.0), ('{"score": 0.5}', None), ('{"score": "1"}', None), ('{"score": true}', None), ('{"score": 1, "a": 2}', None), ("1", None), (None, None), ('{"score": 1e0}', 1.0)], "t string, want double")
+    assert judged.where(~P.judge_score("t").eqNullSafe(F.col("want"))).count() == 0
     assert P.parse_hermes(f"a <tool_call>{call}</tool_call>") == ("a", [("search", '{"query": "x"}')])
     assert P.parse_xml("<tool_call><function=f><parameter=n>\n3\n</parameter></function></tool_call>")[1] == [("f", '{"n": 3}')]
     assert P.last_boxed("a \\boxed{\\frac{1}{2}} b") == "\\frac{1}{2}"
@@ -199,7 +224,17 @@ def test_batches(spark):
     assert {r["c"] for r in B.chunk(df, "id", 5).groupBy("chunk").agg(F.count("*").alias("c")).collect()} == {2}
     with pytest.raises(ValueError):
         B.chunk(df, "id", 3)
-    assert B.upsample(df.withColumn("g", F.lit("x")).withColumn("r", F.lit(1.0)), "id", 4, "g", "r").where("is_padding and g is null and r = 0").count() == 2
+    rows = df.withColumn("g", F.lit("x")).withColumn("r", F.lit(1.0)).withColumn("toks", F.array(F.lit(5), F.lit(6))).withColumn("mask", F.array(F.lit(1), F.lit(1)))
+    padded = B.upsample(rows, "id", 4, "g", ["toks", "mask"], "pad-1", ["r", "mask"])
+    assert padded.count() == 12 and padded.where("is_padding and g = 'pad-1' and r = 0 and size(toks) = 1 and toks[0] = 5 and mask[0] = 0").count() == 2
+    assert sorted(r["id"] for r in B.pad_with_end(df, "id", 2).where("is_padding").collect()) == [9, 9] and B.pad_with_end(df, "id", 1, "first").where("is_padding").first()["id"] == 0
+    batches = B.mini_batches(df, "id", 3, epochs=2, seed=4)
+    assert batches.groupBy("epoch", "batch_no").count().where("count = 3").count() == 6 and batches.groupBy("epoch", "id").count().where("count > 1").count() == 0
+    jagged = B.pack(df.withColumn("g", F.col("id") % 3), ["g"], "id", ["id"])
+    assert sorted(r["length"] for r in jagged.collect()) == [3, 3, 4] and sorted(r["id"] for r in B.unpack(jagged, ["g"], ["id"]).collect()) == list(range(10))
+    other = rows.where("id < 9").withColumn("r", F.when(F.col("id") == 3, float("nan")).otherwise(F.col("r")))
+    assert sorted(tuple(r) for r in B.differing(rows, other, "id").collect()) == [(3, "r"), (9, "id")]
+    assert B.differing(other, other, "id").count() == 0 and B.union_checked(rows, rows.select("id", "r"), "id").count() == 10 and B.reorder(df, df.withColumn("place", -F.col("id")), "id", "place").first()["id"] == 9
 
 
 def test_index_recall(spark, data):

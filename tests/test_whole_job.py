@@ -58,18 +58,18 @@ def test_texts_of_all_scripts(spark, tmp_path):
     word = lambda ch: ch == "_" or unicodedata.category(ch)[0] in "LM" or unicodedata.category(ch) in ("Nd", "Pc")
     langs = ["en", "fr", "eng", "ja", None, "EN", "en-GB", "en"]
     spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(zip(TEXTS, langs, strict=True))], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {n: {r[0]: r[1] for r in text.QUERIES[n](spark, str(tmp_path)).collect()} for n in ("text_utf8_prefix_all", "text_phrase_norm_all")}
+    got = {n: {r[0]: r[1] for r in text.QUERIES[n](spark, str(tmp_path)).collect()} for n in ("text_utf8_prefix", "text_phrase_norm")}
     texts = {i: t for i, t in enumerate(TEXTS) if t is not None}
-    assert got["text_utf8_prefix_all"] == {i: t.encode()[:200].decode(errors="ignore") for i, t in texts.items()}
-    assert got["text_phrase_norm_all"] == {i: re.sub(" +", " ", "".join(c if word(c) else " " for c in t.lower())).strip() for i, t in texts.items()}
+    assert got["text_utf8_prefix"] == {i: t.encode()[:200].decode(errors="ignore") for i, t in texts.items()}
+    assert got["text_phrase_norm"] == {i: re.sub(" +", " ", "".join(c if word(c) else " " for c in t.lower())).strip() for i, t in texts.items()}
 
 
 def test_every_delivery_of_a_sample(spark, tmp_path):
     turns = [("user", "añ"), ("assistant", None), ("assistant", "xyz")]
     spark.createDataFrame([("s", 1, turns), ("s", 2, turns[:2]), ("t", 1, turns[2:])], "sample_id string, built_at int, messages array<struct<role string, content string>>").write.parquet(str(tmp_path / "sft_rows.parquet"))
     rows = lambda n: sorted(tuple(r) for r in dataset.QUERIES[n](spark, str(tmp_path)).collect())
-    assert rows("chat_template_all") == [("s", 1, "<|user|>añ\n<|assistant|>\n<|assistant|>xyz"), ("s", 2, "<|user|>añ\n<|assistant|>"), ("t", 1, "<|assistant|>xyz")]
-    assert rows("assistant_mask_ranges_all") == [("s", 1, 2, 2, 2), ("s", 1, 3, 2, 5), ("s", 2, 2, 2, 2), ("t", 1, 1, 0, 3)]
+    assert rows("chat_template") == [("s", 1, "<|user|>añ\n<|assistant|>\n<|assistant|>xyz"), ("s", 2, "<|user|>añ\n<|assistant|>"), ("t", 1, "<|assistant|>xyz")]
+    assert rows("assistant_mask_ranges") == [("s", 1, 2, 2, 2), ("s", 1, 3, 2, 5), ("s", 2, 2, 2, 2), ("t", 1, 1, 0, 3)]
 
 
 def test_scores_read_the_predictions(spark, tmp_path):
@@ -91,16 +91,16 @@ def test_scores_read_the_predictions(spark, tmp_path):
     schema = "sample_id string, built_at int, data_source string, messages array<struct<role string, content string, tool_calls array<struct<function struct<name string, arguments string>>>>>, extra_info struct<answers array<string>>"
     spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "sft_rows.parquet"))
     found = {r["sample_id"]: r["score"] for r in storage.QUERIES["protocol_scores"](spark, str(tmp_path)).collect()}
-    assert found == {"right": 1.0, "wrong": 0.0, "silent": 0.0, "unknown": None, "same call": 1.0, "other call": 0.5, "no call": 0.0, "braces": 0.0}
+    assert found == {"right": 1.0, "wrong": 0.0, "silent": 0.0, "unknown": None, "same call": 1.0, "other call": 2 / 3, "no call": 0.0, "braces": 0.0}
 
 
 def test_joins_and_repeats_over_whole_tables(spark, data):
     n = lambda t: spark.read.parquet(f"{data}/{t}.parquet")
-    joined = relational.QUERIES["join_full_outer_all"](spark, data).collect()
+    joined = relational.QUERIES["join_full_outer"](spark, data).collect()
     assert sum(r["customers"] or 0 for r in joined) == n("customer").count() and sum(r["suppliers"] or 0 for r in joined) == n("supplier").count()
     assert any(r["suppliers"] is None for r in joined)
-    assert relational.QUERIES["batch_repeat_all"](spark, data).count() == 3 * n("orders").count()
-    assert relational.QUERIES["batch_repeat_by_row_all"](spark, data).count() == n("part").selectExpr("sum(p_size)").first()[0]
+    assert relational.QUERIES["batch_repeat"](spark, data).count() == 3 * n("orders").count()
+    assert relational.QUERIES["batch_repeat_by_row"](spark, data).count() == n("part").selectExpr("sum(p_size)").first()[0]
 
 
 def test_quota_counts_every_spelling(spark, tmp_path):
@@ -108,4 +108,4 @@ def test_quota_counts_every_spelling(spark, tmp_path):
     put("label_aliases", [("coarse_taxon", "aves", "Birds"), ("coarse_taxon", "birds", "Birds"), ("question_type", "auto", "automatic")], "field_name string, alias string, canonical string")
     put("sample_targets", [("Birds", "automatic", 0.01)], "coarse_taxon string, question_type string, target_share double")
     put("qa_candidates", [(1, "Birds", "auto", 3, "a"), (2, " AVES", "Auto ", 1, "b"), (3, "birds", "auto", 2, "c"), (4, None, "auto", 0, "d"), (5, "Fish", "auto", 0, "e")], "source_row_index long, coarse_taxon string, question_type string, train_rank long, tiebreak string")
-    assert sorted(tuple(r) for r in relational.QUERIES["select_quota_canonical"](spark, str(tmp_path)).collect()) == [(2, "Birds", "automatic", 1), (3, "Birds", "automatic", 2)]
+    assert sorted(tuple(r) for r in relational.QUERIES["select_quota"](spark, str(tmp_path)).collect()) == [(2, "Birds", "automatic", 1), (3, "Birds", "automatic", 2)]
