@@ -9,9 +9,9 @@ import os
 import duckdb
 import pytest
 
-from sievewright.plans import analytics, dataset, nested, relational, retrieval, storage, text, training
+from sievewright.plans import analytics, dataset, nested, relational, retrieval, storage, text, training, validation
 
-MODULES = [text, analytics, dataset, relational, retrieval, storage, nested, training]
+MODULES = [text, analytics, dataset, relational, retrieval, storage, nested, training, validation]
 
 
 def norm(v):
