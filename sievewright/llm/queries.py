@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievewright.llm import chunking, language, leakage, markup, mixing, sampling, splits
-from sievewright.functions.text import clean_text
-from sievewright.session import cut_lineage, spread, table
+from sievewright.functions.text import clean_text, key_text
+from sievewright.session import broadcast_if_small, cut_lineage, spread, table
 
 
 def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,15 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.split_oversized(spread(sections), ["id"], "contents", limit=1800, overlap=150).where("n_pieces > 1").select("id").distinct()
 
 
+def p1_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every section from its pieces again: the digest of the pieces without what they repeat, and whether all keep to the rules."""
+    pieces = p1_pieces(spark, sf_dir)
+    ordered = F.sort_array(F.collect_list(F.struct("piece_no", F.expr("substring(piece, repeated + 1)").alias("own"))))  # the pieces of one section
+    within = F.bool_and((F.char_length("piece") <= 1800) & (F.char_length("piece") == F.col("piece_end") - F.col("piece_start")) & (F.col("repeated") <= 225))
+    g = pieces.groupBy("id").agg(ordered.alias("ps"), within.alias("within"), (F.count("*") == F.max("n_pieces")).alias("complete"))
+    return g.select("id", F.md5(F.array_join(F.transform("ps", lambda p: p["own"]), "")).alias("digest"), "within", "complete")
+
+
 def _p3(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     cells = ["coarse_taxon", "question_type"]
     named = sampling.canonical_labels(table(spark, sf_dir, "qa_candidates").select("dedupe_key", *cells), table(spark, sf_dir, "label_aliases"), cells)
@@ -37,6 +46,12 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p3(spark, sf_dir)[1]
 
 
+def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the sample in each cell; ranks without gaps, no key twice."""
+    rows = p3_sample(spark, sf_dir).groupBy("coarse_taxon", "question_type")
+    return rows.agg(F.count("*").alias("n"), F.count_distinct("dedupe_key").alias("distinct_keys"), F.max("cell_rank").alias("last_rank"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_report(spark, sf_dir).where("short").select("coarse_taxon", "question_type")
 
@@ -62,6 +77,15 @@ def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p4(spark, sf_dir).select("sample_id", "parent_sample_id", "category_key", "built_at", "group_key", "split")
 
 
+def p4_torn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parents and category keys whose rows are in more than one split, and the rows assigned."""
+    rows = p4_splits(spark, sf_dir)
+    torn = lambda c: rows.select(key_text(c).alias("k"), "split").where("k is not null").groupBy("k").agg(F.count_distinct("split").alias("n")).where("n > 1")
+    counts = rows.agg(F.count("*").alias("n_rows"), F.count_if(F.col("split").isNull()).alias("without"))
+    parents, keys = (torn(c).agg(F.count("*").alias(n)) for c, n in (("parent_sample_id", "torn_parents"), ("category_key", "torn_keys")))
+    return counts.crossJoin(parents).crossJoin(keys)  # one row each
+
+
 def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each split, in all and by coarse taxon."""
     rows = _p4(spark, sf_dir).groupBy("split", F.lower(F.trim("coarse_taxon")).alias("taxon")).agg(F.count("*").alias("n"))
@@ -74,6 +98,13 @@ def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.clean_markup(sections.dropDuplicates(["id", "digest"]), ["id"], "contents")
 
 
+def p5_untouched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the clean texts of sections without any sign that markup uses."""
+    plain = ~F.col("contents").rlike(r"[<&*_`#|\[\]{}\\$~'=>+-]|[0-9][.)]")
+    sections = table(spark, sf_dir, "text_corpus").select("id", "contents").where(plain & F.col("id").isNotNull()).distinct()
+    return markup.clean_markup(sections, ["id"], "contents").select("id", F.md5("clean").alias("digest"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections whose tree holds a node of a markup family; only their ids are shuffled."""
     sections = table(spark, sf_dir, "text_corpus").select("id", "contents").where("id is not null")
@@ -85,6 +116,13 @@ def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", ["question", "passage"])
 
 
+def p6_verbatim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaks whose document holds the passage letter by letter."""
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_items").select("item_id", "passage")
+    pairs = p6_found(spark, sf_dir).join(docs, "doc_id").join(broadcast_if_small(items), "item_id")
+    return pairs.where((F.char_length("passage") >= 120) & F.contains("text", "passage")).select("doc_id", "item_id")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
 
@@ -102,6 +140,15 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p7(spark, sf_dir)[1]
 
 
+def p7_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each source keeps to its target and its repeats, no document twice in one pass."""
+    mix, report = _p7(spark, sf_dir)
+    used = mix.groupBy("source", "doc_id").agg(F.count("*").alias("n"), F.count_distinct("repeat_no").alias("d")).groupBy("source").agg(F.max("n").alias("most"), F.bool_and(F.col("n") == F.col("d")).alias("apart"))
+    d = report.join(used, "source", "left")
+    kept = (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")) & F.coalesce("apart", F.lit(True)) & (F.col("drawn_tokens") <= F.col("target_tokens"))
+    return d.select("source", kept.alias("kept"), "documents")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_report(spark, sf_dir).where("short").select("source")
 
@@ -132,9 +179,40 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.select("doc_id", F.explode("langs").alias("lang_found"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_sample, p3_report, p4_found, p4_groups, p4_splits, p4_shares, p5_found, p5_clean, p6_found, p6_leaks, p7_found, p7_mix, p7_report, p8_found, p8_languages, p8_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_rejoined, p3_found, p3_sample, p3_counts, p3_report, p4_found, p4_groups, p4_splits, p4_torn, p4_shares, p5_found, p5_clean, p5_untouched, p6_found, p6_verbatim, p6_leaks, p7_found, p7_limits, p7_mix, p7_report, p8_found, p8_languages, p8_segments)}
+
+_CELLS = """taxa AS (SELECT lower(trim(alias)) AS alias, canonical FROM label_aliases WHERE field_name = 'coarse_taxon'),
+             types AS (SELECT lower(trim(alias)) AS alias, canonical FROM label_aliases WHERE field_name = 'question_type'),
+             keyed AS (SELECT DISTINCT a.canonical AS coarse_taxon, b.canonical AS question_type, q.dedupe_key
+                       FROM qa_candidates q JOIN taxa a ON lower(trim(q.coarse_taxon)) = a.alias JOIN types b ON lower(trim(q.question_type)) = b.alias WHERE q.dedupe_key IS NOT NULL),
+             n AS (SELECT CAST(floor(count(DISTINCT dedupe_key) / 4) AS BIGINT) AS n FROM qa_candidates),
+             goal AS (SELECT *, row_number() OVER (ORDER BY coarse_taxon, question_type) AS cell FROM sample_targets),
+             mine AS (SELECT k.dedupe_key, min(g.cell) AS cell FROM keyed k JOIN goal g ON k.coarse_taxon = g.coarse_taxon AND k.question_type = g.question_type GROUP BY 1),
+             ranked AS (SELECT m.cell, row_number() OVER (PARTITION BY m.cell ORDER BY dedupe_key) AS r, target_share, min_rows FROM mine m JOIN goal g ON m.cell = g.cell),
+             floors AS (SELECT count(*) AS n FROM ranked WHERE r <= min_rows),
+             seats AS (SELECT cell, r FROM ranked WHERE r <= min_rows OR target_share > 0
+                       QUALIFY row_number() OVER (ORDER BY CASE WHEN r <= min_rows THEN 0 ELSE 1 END, CASE WHEN r <= min_rows THEN r ELSE (r - 0.5) / target_share END, cell) <= (SELECT n FROM n)),
+             got AS (SELECT cell, count(*) AS sampled FROM seats GROUP BY 1),
+             have AS (SELECT g.cell, count(k.dedupe_key) AS available FROM goal g LEFT JOIN keyed k ON k.coarse_taxon = g.coarse_taxon AND k.question_type = g.question_type GROUP BY 1)"""
 
 SQL = {
+    "p1_rejoined": "SELECT DISTINCT id, md5(contents) AS digest, true AS within, true AS complete FROM text_corpus WHERE contents <> '' AND id IS NOT NULL",
+    "p5_untouched": r"""SELECT DISTINCT id, md5(contents) AS digest FROM text_corpus WHERE id IS NOT NULL AND NOT regexp_matches(contents, '[<&*_`#|\[\]{}\\$~''=>+-]|[0-9][.)]')""",
+    "p6_verbatim": "SELECT d.doc_id, i.item_id FROM documents d, eval_items i WHERE length(i.passage) >= 120 AND contains(d.text, i.passage)",
+    "p3_counts": f"""WITH {_CELLS} SELECT g.coarse_taxon, g.question_type, sampled AS n, sampled AS distinct_keys, sampled AS last_rank FROM got JOIN goal g ON g.cell = got.cell""",
+    "p3_report": f"""WITH {_CELLS} SELECT g.coarse_taxon, g.question_type, target_share, min_rows, target_share * n AS target_rows, available, coalesce(sampled, 0) AS sampled, coalesce(sampled, 0) / n AS sampled_share,
+            available < min_rows OR available < CAST(target_share AS DECIMAL(18, 9)) * CAST(n AS DECIMAL(18, 0)) AS short
+        FROM goal g CROSS JOIN n JOIN have ON have.cell = g.cell LEFT JOIN got ON got.cell = g.cell""",
+    "p4_groups": """WITH RECURSIVE e AS (SELECT DISTINCT lower(trim(parent_sample_id)) AS p, lower(trim(category_key)) AS c FROM sft_rows
+                             WHERE lower(trim(parent_sample_id)) NOT IN ('', 'nan') AND lower(trim(category_key)) NOT IN ('', 'nan')),
+             links AS (SELECT DISTINCT x.c AS a, y.c AS b FROM e x JOIN e y ON x.p = y.p WHERE x.c <> y.c),
+             reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+        SELECT least(a, min(b)) AS group_key, a AS category_key, count(DISTINCT b) FILTER (WHERE b <> a) + 1 AS size FROM reach GROUP BY a""",
+    "p4_torn": "SELECT count(*) AS n_rows, 0 AS without, 0 AS torn_parents, 0 AS torn_keys FROM sft_rows",
+    "p7_limits": """SELECT lower(trim(t.source)) AS source, true AS kept, count(d.doc_id) AS documents FROM source_targets t LEFT JOIN documents d ON lower(trim(d.source)) = lower(trim(t.source)) GROUP BY 1""",
+    # no case hangs on the tokenizer, so characters stand for tokens
+    "p7_found": """WITH d AS (SELECT lower(trim(source)) AS s, length(coalesce(text, '')) AS n FROM documents), h AS (SELECT s, sum(n) AS n FROM d GROUP BY 1)
+        SELECT lower(trim(t.source)) AS source FROM source_targets t LEFT JOIN h ON h.s = lower(trim(t.source)) WHERE coalesce(h.n, 0) * t.max_repeats < t.target_share * (SELECT sum(n) FROM d)""",
     "p1_found": "SELECT DISTINCT id FROM text_corpus WHERE length(contents) > 1800",
     "p3_found": """
         WITH taxa AS (SELECT lower(trim(alias)) AS alias, canonical FROM label_aliases WHERE field_name = 'coarse_taxon'),

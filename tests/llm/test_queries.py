@@ -4,17 +4,22 @@ import pytest
 from sievewright.llm import queries
 
 
+def shown(v):
+    return f"{v:.9g}" if isinstance(v, float) else str(v)
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query(spark, data, name):
     df = queries.QUERIES[name](spark, data)
-    rows = {tuple(str(r[c]) for c in sorted(df.columns)) for r in df.collect()}
+    rows = sorted(tuple(shown(r[c]) for c in sorted(df.columns)) for r in df.collect())
     if name in queries.SQL:
         con = duckdb.connect()
-        for t in ("text_corpus", "qa_candidates", "label_aliases", "sample_targets", "sft_rows"):
+        for t in ("text_corpus", "qa_candidates", "label_aliases", "sample_targets", "sft_rows", "documents", "eval_items", "source_targets"):
             con.sql(f"create view {t} as select * from read_parquet('{data}/{t}.parquet')")
         found = con.execute(queries.SQL[name])
         names = [d[0] for d in found.description]
-        assert rows == {tuple(str(r[names.index(c)]) for c in sorted(names)) for r in found.fetchall()}
+        assert sorted(names) == sorted(df.columns)
+        assert rows == sorted(tuple(shown(r[names.index(c)]) for c in sorted(names)) for r in found.fetchall())
 
 
 def test_columns(spark, data):
