@@ -83,12 +83,12 @@ def body_of(contents: Column | str) -> Column:
 
 def normalize_path(c: Column | str) -> Column:
     """Slashes for backslashes, no leading ./ and no runs of slashes."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(clean_text(c), r"\\\\", "/"), "/{2,}", "/"), r"^(\./)+", "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(clean_text(c), r"\\", "/"), "/{2,}", "/"), r"^(\./)+", "")
 
 
 def is_safe_member(c: Column | str) -> Column:
     """Whether an archive member's name stays below its root: relative, no parent steps, no NUL, no drive."""
-    name = F.regexp_replace(F.col(c) if isinstance(c, str) else c, r"\\\\", "/")
+    name = F.regexp_replace(F.col(c) if isinstance(c, str) else c, r"\\", "/")
     steps = F.split(name, "/")
     return (name != "") & ~name.startswith("/") & ~F.array_contains(steps, "..") & (F.instr(name, "\0") == 0) & ~name.rlike("^[A-Za-z]:")
 

@@ -95,14 +95,6 @@ def imbalance(df: DataFrame, part: str, size: str) -> DataFrame:
     return loads.agg(F.min("load").alias("min_load"), F.max("load").alias("max_load"), F.avg("load").alias("mean_load"), (F.max("load") - F.min("load")).alias("spread"))
 
 
-def run_numbers(df: DataFrame, group: str, order: list[str], key: str, out: str = "run_no") -> DataFrame:
-    """The number of each row within its run of equal keys."""
-    w = Window.partitionBy(group).orderBy(*order)
-    changed = F.when(F.lag(key).over(w).eqNullSafe(F.col(key)) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    d = df.withColumn("__new", changed).withColumn("__island", F.sum("__new").over(w))
-    return d.withColumn(out, F.row_number().over(Window.partitionBy(group, "__island").orderBy(*order))).drop("__new", "__island")
-
-
 def timing_metrics(seconds: dict[str, float], prompt_tokens: int, response_tokens: int, devices: int) -> dict[str, float]:
     """Seconds of each stage, milliseconds per token of those that work on tokens, and the throughput of the step per device."""
     every = prompt_tokens + response_tokens

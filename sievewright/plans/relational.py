@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sievewright.operators import batch as B
+from sievewright.operators import joins as J
 from sievewright.operators import metrics as M
 from sievewright.operators import rules as R
 from sievewright.operators import selection as S
@@ -75,12 +76,10 @@ def join_full_outer(spark, sf):
 
 @query("""SELECT e.event_id, p.value AS last_purchase FROM events e ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) p ON e.user_id = p.user_id AND e.ts >= p.ts""")
 def join_asof(spark, sf):
-    """As-of join in one pass: the last purchase at or before each event, by a window over both."""
-    e = table(spark, sf, "events").select("event_id", "user_id", "ts", F.lit(None).cast("double").alias("v"), F.lit(1).alias("side"))
-    p = table(spark, sf, "events").where("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("value").alias("v"))
-    both = e.unionByName(p.select(F.lit(None).cast("bigint").alias("event_id"), "user_id", "ts", "v", F.lit(0).alias("side")))
-    w = Window.partitionBy("user_id").orderBy("ts", "side").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("last_purchase", F.last("v", ignorenulls=True).over(w)).where("side = 1").select("event_id", "last_purchase")
+    """The last purchase at or before each event; a user's history is cut into days."""
+    e = table(spark, sf, "events").select("event_id", "user_id", "ts")
+    p = table(spark, sf, "events").where("event_type = 'purchase'").select("user_id", "ts", "value")
+    return J.asof_last(e, p, ["user_id"], "ts", "value", "last_purchase").select("event_id", "last_purchase")
 
 
 @query("""WITH b AS (SELECT event_id AS id, user_id, ts, ts + INTERVAL 6 HOUR AS te FROM events WHERE event_type = 'error')
@@ -362,7 +361,7 @@ def metric_imbalance(spark, sf):
 @query("""WITH c AS (SELECT *, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
     i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM c) SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id, island ORDER BY ts, event_id) AS INTEGER) AS run_no FROM i""")
 def metric_run_length(spark, sf):
-    return M.run_numbers(table(spark, sf, "events"), "user_id", ["ts", "event_id"], "event_type").select("event_id", "run_no")
+    return J.run_numbers(table(spark, sf, "events"), "user_id", ["ts", "event_id"], "event_type").select("event_id", "run_no")
 
 
 @query("SELECT l_shipmode_proxy AS flag, round(corr(l_discount, l_tax), 6) AS c, round(max(abs(l_discount - l_tax)), 6) AS most, round(avg(abs(l_discount - l_tax)), 6) AS mean, round(stddev_samp(abs(l_discount - l_tax)), 6) AS dev, count(*) FILTER (WHERE l_discount <> l_tax) AS differing FROM (SELECT l_returnflag AS l_shipmode_proxy, * FROM lineitem) GROUP BY 1")

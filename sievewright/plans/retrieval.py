@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sievewright.operators import balance as BAL
 from sievewright.operators import retrieval as R
+from sievewright.operators.ranks import ranged_row_number
 from sievewright.session import cut_lineage, ensure_checkpoint_dir, table
 from sievewright.streaming import windows as W
 
@@ -226,6 +227,39 @@ def stream_interval_rollup(spark, sf):
     return e.groupBy("interval_no", "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.max("value").alias("most"))
 
 
+@query("""SELECT time_bucket(INTERVAL 6 HOUR, ts) AS window_start, count(*) AS n FROM events GROUP BY 1 HAVING time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY""")
+def stream_watermarked(spark, sf):
+    """Windows in append mode: a window comes out once the watermark, two days behind, has passed its end."""
+    out = W.tumbling(_events(spark, sf), "ts", "6 hours", [], F.count("*").alias("n"), delay="2 days")
+    return W.run_to_table(out, *_places(spark), mode="append").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS no FROM g) SELECT min(ts) AS session_start, user_id, count(*) AS n FROM s GROUP BY user_id, no HAVING max(ts) + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")
+def stream_sessions_streamed(spark, sf):
+    """The same sessions on the stream, each once the watermark has passed its end."""
+    out = W.sessions(_events(spark, sf), "ts", "2 hours", ["user_id"], F.count("*").alias("n"), delay="1 day").drop("session_end")
+    return W.run_to_table(out, *_places(spark), mode="append").withColumn("session_start", F.col("session_start").cast("timestamp_ntz"))
+
+
+@query("""WITH k AS (SELECT event_id, user_id, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events) SELECT CAST(i // 64 AS BIGINT) AS batch_no, count(*) AS n, count(DISTINCT user_id) AS users, min(event_id) AS first_event FROM k WHERE i // 64 < (SELECT count(*) // 64 FROM events) GROUP BY 1""")
+def stream_batches(spark, sf):
+    """Full batches of 64 samples in the order of arrival; the rest waits."""
+    e = table(spark, sf, "events").select("event_id", "user_id")
+    full = e.count() // 64
+    d = ranged_row_number(e, [], "event_id", [], "i").withColumn("batch_no", F.floor((F.col("i") - 1) / 64)).where(F.col("batch_no") < full)
+    return d.groupBy("batch_no").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.min("event_id").alias("first_event"))
+
+
+@query("""WITH s AS (SELECT event_id // 500 AS interval_no, sum(value) AS total, sum(CASE WHEN event_type = 'view' THEN value ELSE 0 END) AS waited, count(*) FILTER (WHERE event_type = 'error') AS stale FROM events GROUP BY 1)
+    SELECT interval_no, round(waited / total, 6) AS idle_ratio, stale, CASE WHEN interval_no % 4 = 0 THEN 0 ELSE sum(stale) OVER (PARTITION BY interval_no // 4 ORDER BY interval_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS carried FROM s""")
+def stream_idle_ratio(spark, sf):
+    """Share of waiting per interval, and the stale samples carried since the last synchronisation, which resets them."""
+    s = table(spark, sf, "events").groupBy(F.expr("event_id div 500").alias("interval_no")).agg(
+        F.sum("value").alias("total"), F.sum(F.when(F.col("event_type") == "view", F.col("value")).otherwise(0.0)).alias("waited"), F.count_if(F.col("event_type") == "error").alias("stale"))
+    return W.carried_since_sync(s, "interval_no", "stale", 4).select("interval_no", F.round(F.col("waited") / F.col("total"), 6).alias("idle_ratio"), "stale", "carried")
+
+
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
 def stream_props(spark, sf):
     return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))

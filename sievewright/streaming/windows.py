@@ -99,3 +99,9 @@ def latest_by_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
     rest = [c for c in df.columns if c not in keys]
     best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__last"))
     return best.select(*keys, *[F.col(f"__last.{c}").alias(c) for c in rest])
+
+
+def carried_since_sync(df: DataFrame, step: str, count: str, every: int, out: str = "carried") -> DataFrame:
+    """Sum of `count` over the earlier steps since the last synchronisation, one every `every` steps; a window holds one interval's steps."""
+    w = Window.partitionBy(F.floor(F.col(step) / every)).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn(out, F.coalesce(F.sum(count).over(w), F.lit(0)))

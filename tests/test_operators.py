@@ -13,6 +13,7 @@ from sievewright.functions.registry import Registry, load_function
 from sievewright.operators import advantage as ADV
 from sievewright.operators import balance as BAL
 from sievewright.operators import batch as B
+from sievewright.operators import joins as J
 from sievewright.operators import metrics as M
 from sievewright.operators import retrieval as R
 from sievewright.operators import selection as S
@@ -20,6 +21,7 @@ from sievewright.operators.components import entity_links, propagate_labels
 from sievewright.operators.correction import parse_thresholds
 from sievewright.operators.ranks import distributed_row_number, hash_order, running_sum
 from sievewright.sources import readers, writers
+from sievewright.streaming import windows as W
 
 
 def one(spark, c):
@@ -367,3 +369,110 @@ def test_resample(spark):
     assert sum(r["copies"] for r in out) == 800
     assert all(abs(r["copies"] - 800 * r["w"] / 1000) < 1 for r in out) and all(r["w"] > 0 for r in out)
     assert S.resample(df.limit(0), "w", 5, "id").count() == 0
+
+
+def test_unwanted_members_are_read_over(monkeypatch):
+    import io
+    import json
+
+    data = {"skip": ["a\\", "\\\"]}[{", {"x": "}\\\\"}, [[], 1.5, None, True]], "n": -12.5e3, "t": "q\"\\", "keep": [{"y": [1, "é]"]}, 2, "z"], "more": {"d": {"e": []}}, "last": [7]}
+    for chunk in (1, 2, 3, 5, 1000):
+        monkeypatch.setattr(readers, "CHUNK", chunk)
+        text = json.dumps(data)
+        assert list(readers.json_members(io.StringIO(text), {"keep", "last"})) == [("keep", {"y": [1, "é]"]}), ("keep", 2), ("keep", "z"), ("last", 7)]
+        assert dict(readers.json_members(io.StringIO(text), {"n", "t", "more"})) == {k: data[k] for k in ("n", "t", "more")}
+        with pytest.raises(ValueError):
+            list(readers.json_members(io.StringIO(text[:30]), {"last"}))
+
+
+def test_archives_and_digests_of_files(spark, tmp_path):
+    import hashlib
+    import io
+    import tarfile
+
+    (tmp_path / "in").mkdir()
+    with tarfile.open(tmp_path / "in" / "a.tar", "w") as tar:
+        for name, body in (("x/1.bin", b"one"), ("x/2.bin", b"two"), ("x/empty", b"")):
+            info = tarfile.TarInfo(name)
+            info.size = len(body)
+            tar.addfile(info, io.BytesIO(body))
+    wanted = spark.createDataFrame([("x/2.bin",), ("x/empty",), ("absent",)], "member string")
+    rows = {r["member"]: bytes(r["content"]) for r in readers.read_tar_members(spark, str(tmp_path / "in"), wanted).collect()}
+    assert rows == {"x/2.bin": b"two", "x/empty": b""}
+    (tmp_path / "in" / "b.txt").write_bytes(b"text")
+    digests = {r["path"].rpartition("/")[2]: r["sha256"] for r in readers.file_digests(spark, str(tmp_path / "in")).collect()}
+    assert digests["b.txt"] == hashlib.sha256(b"text").hexdigest() and len(digests) == 2
+    before = readers.folder_fingerprint(spark, str(tmp_path / "in"))
+    assert before == readers.folder_fingerprint(spark, str(tmp_path / "in"))
+    (tmp_path / "in" / "b.txt").write_bytes(b"Text")
+    assert before != readers.folder_fingerprint(spark, str(tmp_path / "in"))
+
+
+def test_as_of_and_runs_across_blocks(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(i, "k" if i % 3 else None, r.randint(0, 400_000), r.choice([None, float(r.randint(0, 9))])) for i in range(400)]
+    left = spark.createDataFrame([(i, k, t) for i, k, t, _ in rows], "id int, k string, t long").withColumn("t", F.timestamp_seconds("t"))
+    right = spark.createDataFrame([(k, t, v) for _, k, t, v in rows[::2]], "k string, t long, v double").withColumn("t", F.timestamp_seconds("t"))
+    got = {x["id"]: x["v"] for x in J.asof_last(left, right, ["k"], "t", "v", "v", 50_000).collect()}
+    for i, k, t, _ in rows:
+        past = [(u, w) for _, j, u, w in rows[::2] if j == k and u <= t and w is not None]
+        assert got[i] == (max(past)[1] if past else None)
+    runs = spark.createDataFrame([(g, i, k) for g in ("a", None) for i, k in enumerate("xxyxxx" + "y")] + [("a", 7, None), ("a", 8, None)], "g string, i int, k string")
+    assert [x["run_no"] for x in J.run_numbers(runs, "g", ["i"], "k").where("g = 'a'").orderBy("i").collect()] == [1, 2, 1, 1, 2, 3, 1, 1, 2]
+
+
+def test_late_rows_are_dropped_by_the_watermark(spark, tmp_path):
+    import time
+
+    schema = "t timestamp, n int"
+    for i, rows in enumerate([[("2024-01-01 10:00:00", 1), ("2024-01-01 12:30:00", 1)], [("2024-01-01 12:40:00", 2)], [("2024-01-01 10:10:00", 5), ("2024-01-01 18:00:00", 1)]]):
+        df = spark.createDataFrame(rows, "t string, n int").select(F.to_timestamp("t").alias("t"), "n").coalesce(1)
+        df.write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)
+    stream = W.read_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema), files_per_trigger=1)
+    out = W.tumbling(stream, "t", "1 hour", [], F.sum("n").alias("n"), delay="1 hour")
+    got = W.run_to_table(out, str(tmp_path / "out"), str(tmp_path / "ck"), mode="append")
+    assert sorted(r["n"] for r in got.collect()) == [1, 3]  # the row of 10:10 came when its hour was closed
+    again = W.run_to_table(out, str(tmp_path / "out"), str(tmp_path / "ck"), mode="append")
+    assert again.count() == 2
+
+
+def test_validation(spark):
+    from sievewright.operators import validation as V
+
+    assert V.pool_faults({"a": 1.0, "b": float("nan")}, {"x": -1, "y": True}, ["p", "p"]) == ["weight:b", "count:x", "count:y", "categories"] and V.pool_faults({"a": 1}, {"x": 0}, ["p"]) == [] and "weights" in V.pool_faults({"a": 0}, {}, ["p"])
+    assert V.manifest_faults({"a": {"rows": 1, "sha256": "x"}, "b": {}}, {"a": {"rows": 2, "sha256": "x"}, "c": {}}) == ["a.rows", "b", "c"]
+    found = spark.createDataFrame([(1, 1, 1, 0.9), (1, 2, 2, 0.5), (2, 1, 1, float("nan")), (3, 1, 1, 0.5), (3, 1, 2, 0.4), (4, 1, 1, 0.1), (4, 2, 2, 0.4), (5, 1, 2, 0.3)], "query_id int, doc_id int, rank int, score double")
+    assert {r["query_id"]: r["fault"] for r in V.search_fault(found, 2).collect()} == {1: None, 2: "finite", 3: "unique", 4: "order", 5: "ranks"}
+    df = spark.createDataFrame([("true",), (" 1",), ("NO",), ("maybe",), (None,)], "f string")
+    assert [r[0] for r in df.select(V.flag_of(F.col("f"))).collect()] == [True, True, False, None, None]
+    z = spark.createDataFrame([(([1, 2], ["a"]),), (None,)], "s struct<n:array<int>,t:array<string>>").select(V.zip_lists(F.col("s"), ["n", "t"]).alias("z")).collect()
+    assert [tuple(x) for x in z[0]["z"]] == [(1, "a"), (2, None)] and z[1]["z"] is None
+    old = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    new = spark.createDataFrame([("a", 1), ("b", 3), ("c", 4), ("c", 4), ("d", 5), ("d", 6)], "k string, v int")
+    fresh, bad = V.insert_or_ignore(old, new, ["k"])
+    assert [tuple(r) for r in fresh.collect()] == [("c", 4)] and sorted(r[0] for r in bad.collect()) == ["b", "d"]
+
+
+def test_parents_once_and_replacements(spark):
+    rows = spark.createDataFrame([(i, "ab"[i % 2], f"p{i // 3}") for i in range(60)], "i int, c string, p string")
+    quotas = spark.createDataFrame([("a", 8), ("b", 30)], "c string, quota int")
+    taken = S.take_quota_once(rows, ["c"], ["i"], "p", quotas, used=spark.createDataFrame([("p0",)], "p string")).collect()
+    assert sum(r["c"] == "a" for r in taken) == 8 and sum(r["c"] == "b" for r in taken) == 11 and len({r["p"] for r in taken}) == 19
+    failed = spark.createDataFrame([(i, "q", "x") for i in range(4)], "f int, b string, taxon string")
+    reserve = spark.createDataFrame([(10, "q", "y"), (11, "q", "y"), (12, "q", "z")], "r int, b string, taxon string")
+    got = {r["f"]: (r["r"], r["to_taxon"]) for r in S.replace_across(failed, reserve, ["b"], "taxon", "f", "r", ["r"]).collect()}
+    assert got == {0: (10, "y"), 1: (11, "y"), 2: (12, "z"), 3: (None, None)}
+
+
+def test_preferences_paths_and_media(spark, tmp_path):
+    spark.createDataFrame([(f"c{i}", f"r{i}", i) for i in range(20)], "chosen string, rejected string, x int").write.parquet(str(tmp_path / "p"))
+    some = readers.read_preferences(spark, [str(tmp_path / "p")], most=5, seed=1)
+    assert some.count() == 5 and some.columns == ["chosen", "rejected"] and sorted(map(tuple, some.collect())) == sorted(map(tuple, readers.read_preferences(spark, [str(tmp_path / "p")], most=5, seed=1).collect()))
+    one = spark.createDataFrame([(".\\a//b.jpg", "see <IMAGE> <b>", bytearray(b"\x89PNG\r\n\x1a\n000"))], "p string, m string, c binary")
+    r = one.select(T.normalize_path("p").alias("p"), T.sanitize_media("m").alias("m"), readers.is_image("c").alias("i")).first()
+    assert r["p"] == "a/b.jpg" and r["m"] == "see [IMAGE] <b>" and r["i"]
+    ladder = spark.createDataFrame([(True, True, False), (True, False, False), (False, True, True), (False, True, False), (False, False, True)], "a boolean, b boolean, c boolean")
+    assert [x[0] for x in ladder.select(T.format_score(F.col("a"), F.col("b"), F.col("c"))).collect()] == [1.0, 0.8, 0.2, 0.1, 0.0]
