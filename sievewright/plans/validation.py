@@ -71,7 +71,7 @@ def valid_image_lists(spark, sf):
 
 
 @query(f"""SELECT image_key, array_to_string(list_filter([CASE WHEN NOT {_FULL.format('image_id')} THEN 'image_id' END, CASE WHEN NOT {_FULL.format('normalized_path')} THEN 'path' END, CASE WHEN NOT {_FULL.format('category_key')} THEN 'category' END, CASE WHEN observed_at IS NULL OR ingested_at < observed_at THEN 'times' END], lambda x: x IS NOT NULL), ';') AS faults, count(*) AS n
-    FROM images GROUP BY ALL HAVING faults <> ''""")
+    FROM images GROUP BY 1, 2 HAVING faults <> ''""")
 def image_failures(spark, sf):
     """All faults of every image, and how often it was delivered with them."""
     times = F.col("observed_at").isNotNull() & F.coalesce(~(F.col("ingested_at") < F.col("observed_at")), F.lit(True))

@@ -143,3 +143,22 @@ def set_digest(df: DataFrame, group: str, key: str, out: str = "digest") -> Data
     parts = bucketed.groupBy(group, "__b").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("__k")), "\n"), 256).alias("__d"))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__b", "__d"))), lambda x: x["__d"]), "\n")
     return parts.groupBy(group).agg(F.sha2(joined, 256).alias(out))
+
+
+def load_bound(spark: SparkSession, root: str, name: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """A published table, if its rows and fingerprint are still those of the manifest beside it; else ValueError."""
+    known = json.loads(read_text(spark, f"{root}/{MANIFEST}")).get("tables", {}).get(name)
+    if known is None:
+        raise ValueError(f"the manifest at {root} has no table {name}")
+    df = spark.read.parquet(f"{root}/{name}")
+    if fingerprint(df) != known:
+        raise ValueError(f"{name} at {root} isn't what its manifest says")
+    return df.select(*columns) if columns else df
+
+
+def content_digests(files: DataFrame, recorded: DataFrame, key: str, path: str) -> DataFrame:
+    """(key, path, state) of every recorded file, distinct: `same`, `changed` or `missing` by its digest; `files` has path and sha256."""
+    r = recorded.select(F.col(key).alias("__key"), F.col(path).alias("__path"), F.col("sha256").alias("__sha")).distinct()
+    found = r.join(files.select(F.col("path").alias("__p"), "sha256"), F.col("__p") == F.col("__path"), "left")
+    state = F.when(F.col("sha256").isNull(), "missing").when(F.col("sha256") == F.col("__sha"), "same").otherwise("changed")
+    return found.select(F.col("__key").alias(key), F.col("__path").alias(path), state.alias("state"))

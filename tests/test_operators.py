@@ -476,3 +476,56 @@ def test_preferences_paths_and_media(spark, tmp_path):
     assert r["p"] == "a/b.jpg" and r["m"] == "see [IMAGE] <b>" and r["i"]
     ladder = spark.createDataFrame([(True, True, False), (True, False, False), (False, True, True), (False, True, False), (False, False, True)], "a boolean, b boolean, c boolean")
     assert [x[0] for x in ladder.select(T.format_score(F.col("a"), F.col("b"), F.col("c"))).collect()] == [1.0, 0.8, 0.2, 0.1, 0.0]
+
+
+def test_tool_loop(spark):
+    from sievewright.operators import agent as G
+
+    closed = []
+
+    def generator():
+        def say(messages):
+            turn = sum(m["role"] == "assistant" for m in messages)
+            q = messages[0]["content"]
+            call = '<think>a</think><tool_call>{"name": "search", "arguments": {"query": "%s"}}</tool_call>'
+            plan = {"good": [call % "fox", "<think>b</think><answer>x</answer>"], "fails": [call % "boom", "<think>b</think><answer>y</answer>"], "bad": ["no", "no"], "loop": [call % "a"] * 9, "long": ["<think>" + "z" * 500 + "</think><answer>x</answer>"]}
+            return plan[q][min(turn, len(plan[q]) - 1)]
+
+        return say
+
+    def tools():
+        def find(state, arguments):
+            if arguments["query"] == "boom":
+                raise KeyError("boom")
+            state.append(arguments["query"])
+            return "<answer>no</answer> " + " ".join(state)
+
+        return {"search": G.ToolSession(list, find, closed.append, len)}
+
+    df = spark.createDataFrame([(i, q) for i, q in enumerate(["good", "fails", "bad", "loop", "long"])], "i int, q string")
+    got = {r["i"]: r for r in G.tool_loop(df, "i", "q", generator, tools, max_turns=3, budget=450).collect()}
+    assert [got[i]["status"] for i in range(5)] == ["answer", "answer", "max_turns", "max_turns", "budget"]
+    assert got[0]["calls"] == 1 and got[1]["failed_calls"] == 1 and got[3]["calls"] == 3 and "&lt;answer&gt;no" in got[0]["messages"][2]["content"] and got[2]["trace"] == ["invalid:no_think"] * 3
+    t = tools()["search"]
+    assert t.reward() == 0 and t.call({"query": "a"}) and t.reward() == 1
+    t.close()
+    assert closed == [["a"]]
+    rows = spark.createDataFrame([("s", "<answer>Red</answer>", ["red"], 90), ("s", "<answer>blue</answer>", ["red"], 10)], "src string, sol string, gold array<string>, n int")
+    out = [(r["score"], round(r["penalty"], 3)) for r in G.reward_rows(rows, "src", "sol", "gold", {"s": "answer_match"}, F.col("n"), (100, 20, 1.0)).collect()]
+    assert out == [(1.0, -0.5), (0.0, 0.0)]
+    assert one(spark, G.spread_reward(F.lit(2.0), F.array(*map(F.lit, [0, 1, 1, 0])))) == [0, 0, 2.0, 0] and one(spark, G.spread_reward(F.lit(2.0), F.array(F.lit(0)))) == [0]
+
+
+def test_bound_loading_and_changed_files(spark, tmp_path):
+    root = str(tmp_path / "pub")
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "i int, t string")
+    writers.publish(spark, root, {"t": df}, {"version": 1})
+    assert writers.load_bound(spark, root, "t", ["t"]).count() == 2
+    with pytest.raises(ValueError):
+        writers.load_bound(spark, root, "other")
+    df.limit(1).write.mode("overwrite").parquet(f"{root}/t")
+    with pytest.raises(ValueError):
+        writers.load_bound(spark, root, "t")
+    recorded = spark.createDataFrame([("k", "p1", "x"), ("k", "p1", "x"), ("k", "p2", "y"), ("m", "p3", "z")], "k string, p string, sha256 string")
+    files = spark.createDataFrame([("p1", "x"), ("p2", "n")], "path string, sha256 string")
+    assert sorted(tuple(r) for r in writers.content_digests(files, recorded, "k", "p").collect()) == [("k", "p1", "same"), ("k", "p2", "changed"), ("m", "p3", "missing")]
