@@ -18,7 +18,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator, Sequence
 from itertools import accumulate, pairwise
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,15 +54,16 @@ def cut_points(text: str, limit: int, overlap: int, sizes: Callable[[str], int]
     if not text:
         return []
     offsets, parts = [0], []
+    step = max(1, limit // 2)
     for m in TOKEN.finditer(text):
         word = m.group()
-        step = max(1, limit // 2)
-        if parts and _joins(word[0]) and parts[-1] + sizes(word) <= step:  # marks stay with what they stand on
-            parts[-1] += sizes(word)
+        n = sizes(word)
+        if word[0] > "\u02ff" and parts and parts[-1] + n <= step and _joins(word[0]):  # marks stay with what they stand on
+            parts[-1] += n
             offsets[-1] = m.end()
             continue
-        if sizes(word) <= step:
-            parts.append(sizes(word))
+        if n <= step:
+            parts.append(n)
             offsets.append(m.end())
             continue
         # a token that can't fit well is offered in graphemes, one that is a huge grapheme in characters
@@ -77,7 +78,8 @@ def cut_points(text: str, limit: int, overlap: int, sizes: Callable[[str], int]
     total = list(accumulate(parts, initial=0))
     if total[-1] <= limit:
         return [(0, len(text))]
-    kinds = [sorted({k for m in p.finditer(text) if offsets[k := bisect_left(offsets, m.end())] == m.end()}) for p in BOUNDARIES]
+    place = dict(zip(offsets, range(len(offsets)), strict=True))
+    kinds = [sorted({place[m.end()] for m in p.finditer(text) if m.end() in place}) for p in BOUNDARIES]
     pieces: list[tuple[int, int]] = []
     start = covered = 0
     while True:
@@ -127,17 +129,22 @@ def split_oversized(df: DataFrame, keys: Sequence[str], text: str, limit: int =
     """
     piece = "struct<a:int,b:int,repeated:int,piece:string>"
 
-    @F.pandas_udf(f"array<{piece}>")
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(f"array<{piece}>")
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            out = []
-            for t in texts:
-                found, last = ([] if t is not None else None), 0
+            lists, none, starts, ends, repeats, pieces = [0], [], [], [], [], []
+            for t in texts.to_pylist():
+                last = 0
                 for a, b in cut_points(t, limit, overlap) if t else []:
-                    found.append({"a": a, "b": b, "repeated": max(0, last - a), "piece": t[a:b]})
+                    starts.append(a)
+                    ends.append(b)
+                    repeats.append(max(0, last - a))
+                    pieces.append(t[a:b])
                     last = b
-                out.append(found)
-            yield pd.Series(out, dtype=object)
+                lists.append(len(starts))
+                none.append(t is None)
+            items = pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in (starts, ends, repeats)] + [pa.array(pieces, pa.string())], ["a", "b", "repeated", "piece"])
+            yield pa.ListArray.from_arrays(pa.array(lists, pa.int32()), items, mask=pa.array(none, pa.bool_()))
 
     rows = df.select(*keys, F.col(text).cast("string").alias("__text")).where("__text <> ''")
     rows = rows.withColumn("__pieces", cut(F.when(F.char_length("__text") > limit, F.col("__text"))))
