@@ -78,10 +78,9 @@ def balance(df: DataFrame, batch: str, item: str, length: str, parts: int, metho
         keys = frame["together"].fillna("").astype(str)
         units = list(dict.fromkeys(keys))
         sums = loads.groupby(keys).sum()
-        out = []
+        out, rows_of = [], keys.groupby(keys).indices
         for p, own in enumerate(cut([float(sums[u]) for u in units], parts)):
-            mine = {units[i] for i in own}
-            rows = [i for i in range(len(frame)) if keys[i] in mine]
+            rows = [int(i) for u in own for i in rows_of[units[u]]]
             rows.sort(key=lambda i: (loads[i], i))
             out += [(frame["batch"][i], frame["item"][i], p, place) for place, i in enumerate(zigzag(rows))]
         return pd.DataFrame(out, columns=["batch", "item", "part", "place"])

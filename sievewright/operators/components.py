@@ -35,10 +35,11 @@ def propagate_labels(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = links.select(F.col("a").alias("node"), F.col("b").alias("near")).union(links.select("b", "a"))
         label = cut_lineage(both.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("label")))
         for _ in range(max_rounds):
-            # follow each label one pointer further; labels are nodes of the same table
+            # follow each label two pointers further; labels are nodes of the same table
             ends = label.select(F.col("node").alias("label"), F.col("label").alias("next"))
-            ahead = label.join(ends, "label").select("node", "label", "next")
-            moved = cut_lineage(ahead.select("node", F.col("next").alias("label"), (F.col("next") != F.col("label")).alias("moved")))
+            further = label.select(F.col("node").alias("next"), F.col("label").alias("last"))
+            ahead = label.join(ends, "label").join(further, "next").select("node", "label", "last")
+            moved = cut_lineage(ahead.select("node", F.col("last").alias("label"), (F.col("last") != F.col("label")).alias("moved")))
             label = moved.select("node", "label")
             if moved.where("moved").isEmpty():
                 break

@@ -95,6 +95,30 @@ def imbalance(df: DataFrame, part: str, size: str) -> DataFrame:
     return loads.agg(F.min("load").alias("min_load"), F.max("load").alias("max_load"), F.avg("load").alias("mean_load"), (F.max("load") - F.min("load")).alias("spread"))
 
 
+def percentiles(df: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """(group, one column per share): exact percentiles with linear interpolation, NULLs left out.
+
+    Values are ranked in buckets, and only the rows at the wanted places are gathered: a group may hold any share of all rows.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(F.col(group).alias("__g"), F.col(value).cast("double").alias("__v"))
+    sizes = rows.groupBy("__g").agg(F.count("*").alias("__n")).withColumnRenamed("__g", "__s")
+    ranked = ranged_row_number(rows, ["__g"], "__v", [], "__i").join(sizes, F.col("__g").eqNullSafe(F.col("__s")))
+    place = {name: (F.col("__n") - 1) * p for name, p in shares.items()}
+    wanted = [(F.col("__i") - 1).isin(F.floor(x), F.ceil(x)) for x in place.values()]
+    near = ranked
+    hit = wanted[0]
+    for w in wanted[1:]:
+        hit = hit | w
+    near = near.where(hit)
+
+    def at(x: Column) -> Column:
+        low = F.max(F.when(F.col("__i") - 1 == F.floor(x), F.col("__v")))
+        high = F.max(F.when(F.col("__i") - 1 == F.ceil(x), F.col("__v")))
+        return low + (high - low) * F.max(x - F.floor(x))
+
+    return near.groupBy(F.col("__g").alias(group)).agg(*[at(x).alias(name) for name, x in place.items()])
+
+
 def timing_metrics(seconds: dict[str, float], prompt_tokens: int, response_tokens: int, devices: int) -> dict[str, float]:
     """Seconds of each stage, milliseconds per token of those that work on tokens, and the throughput of the step per device."""
     every = prompt_tokens + response_tokens

@@ -324,7 +324,8 @@ def metric_aggregate_by_rule(spark, sf):
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 5) AS p50, round(quantile_cont(value, 0.95), 5) AS p95, round(quantile_cont(value, 0.99), 5) AS p99 FROM events GROUP BY 1")
 def metric_percentiles(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(*[F.round(F.percentile("value", p), 5).alias(f"p{int(p * 100)}") for p in (0.5, 0.95, 0.99)])
+    out = M.percentiles(table(spark, sf, "events"), "event_type", "value", {f"p{int(p * 100)}": p for p in (0.5, 0.95, 0.99)})
+    return out.select("event_type", *[F.round(c, 5).alias(c) for c in ("p50", "p95", "p99")])
 
 
 @query("""WITH i AS (SELECT coarse_taxon, parent_id, avg(CASE WHEN evidence_ok = 1 THEN 1.0 ELSE 0.0 END) AS m, bool_or(coalesce(evidence_ok, 0) = 1) AS f FROM qa_candidates GROUP BY 1, 2)

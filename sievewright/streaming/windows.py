@@ -66,9 +66,9 @@ def bounded_queue(stream: DataFrame, key: str, item: str, order: str, capacity:
         for frame in frames:
             held += list(zip(frame["at"].tolist(), frame["item"].tolist(), strict=True))
             produced += len(frame)
-        held.sort()
-        dropped += max(0, len(held) - capacity)
-        held = held[-capacity:]
+            held.sort()  # cut frame by frame, so a key's batch is never held whole
+            dropped += max(0, len(held) - capacity)
+            held = held[-capacity:]
         state.update(([i for _, i in held], [o for o, _ in held], produced, dropped))
         yield pd.DataFrame([(k[0], len(held), produced, dropped)], columns=["key", "held", "produced", "dropped"])
 

@@ -310,11 +310,20 @@ def test_publish_cache_and_checks(spark, tmp_path):
     assert writers.fingerprint(spark.range(9)) == writers.fingerprint(spark.range(9).repartition(3))
 
 
-def test_entry_without_llm():
+def test_entry_without_llm(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+
     import __spark_entry__ as e
 
     names, sql = e.queries(), e.oracle_sql()
     assert set(sql) <= set(names) and "hybrid_rrf_top3" in names and "p2_found" in names
+    root = Path(e.__file__).parent
+    shutil.copytree(root / "sievewright", tmp_path / "sievewright", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'p1_found' not in q and 'p2_found' in q and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, timeout=120)
 
 
 @pytest.mark.parametrize("kind", ["string", "long", "ties"])
