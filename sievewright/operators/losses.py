@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sievewright.functions.arrays import EPSILON, array_sum, clamp, let, log_sum_exp, masked_mean, masked_sum
 from sievewright.functions.registry import LOSSES
 from sievewright.operators.ranks import bucket_count, distributed_row_number, ranged_row_number
+from sievewright.session import cut_lineage
 
 
 def per_token(f: Callable[[Column], Column], **arrays: Column) -> Column:
@@ -139,12 +140,13 @@ def top_by(df: DataFrame, column: str, ties: list[str], share: float, least: int
 
     A quantile of bounded error leaves little more than the wanted rows; only these are ranked.
     """
+    df = cut_lineage(df)  # counted, cut and ranked: read three times
     n = df.count()
     wanted = max(least, int(n * share))
     if wanted >= n:
         return df
     edge = df.agg(F.percentile_approx(column, max(0.0, 1 - wanted / n - 2 * error), int(1 / error))).first()[0]
-    near = df.where(F.col(column) >= edge).withColumn("__down", -F.col(column))
+    near = cut_lineage(df.where(F.col(column) >= edge).withColumn("__down", -F.col(column)))
     return ranged_row_number(near, [], "__down", ties, "__rank").where(F.col("__rank") <= wanted).drop("__down", "__rank")
 
 
@@ -152,6 +154,7 @@ def random_rows(df: DataFrame, ties: list[str], wanted: int) -> DataFrame:
     """`wanted` rows by the smallest digests of their keys, ranked in buckets."""
     draw = F.conv(F.substring(F.md5(F.concat_ws("/", *ties)), 1, 15), 16, 10).cast("bigint")
     spread = (draw - F.lit(2**59)) * 16
+    df = cut_lineage(df)
     ranked = distributed_row_number(df.withColumn("__draw", spread), [], "__draw", ties, "__rank", bucket_count(df.count()))
     return ranked.where(F.col("__rank") <= wanted).drop("__draw", "__rank")
 
@@ -163,9 +166,9 @@ def clip_cov(tokens: DataFrame, low: float, high: float, share: float, cov_low:
     """
     ratio = F.exp(F.col("new") - F.col("old"))
     one, two = -F.col("adv") * ratio, -F.col("adv") * clamp(ratio, 1 - low, 1 + high)
-    rows = with_covariance(tokens).withColumn("loss", F.greatest(one, two)).withColumn("clipped", two > one)
+    rows = cut_lineage(with_covariance(tokens).withColumn("loss", F.greatest(one, two)).withColumn("clipped", two > one))
     fit = rows.where(~F.col("clipped") & (F.col("cov") > cov_low) & (F.col("cov") < cov_high)).select("seq", "t")
-    drawn = random_rows(fit, ["seq", "t"], max(1, int(tokens.count() * share))).withColumn("__hit", F.lit(True))
+    drawn = random_rows(fit, ["seq", "t"], max(1, int(rows.count() * share))).withColumn("__hit", F.lit(True))
     return rows.join(drawn, ["seq", "t"], "left").select("seq", "t", F.when(F.col("__hit"), 0.0).otherwise(F.col("loss")).alias("loss"), F.coalesce("__hit", F.lit(False)).alias("dropped"))
 
 

@@ -78,8 +78,10 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, query_id: str, doc_id: str
                     part = frame.iloc[at : at + SCORE_ROWS]
                     ids = part["doc_id"].to_numpy()
                     s = np.stack(part["v"].to_list()).astype(np.float64) @ q.T
-                    for i, keep in _best(s, ids, k, None):
-                        yield pd.DataFrame({"query_id": names[i], "doc_id": ids[keep], "score": s[keep, i]})
+                    kept = [(i, keep) for i, keep in _best(s, ids, k, None)]
+                    which = np.concatenate([np.full(len(keep), i) for i, keep in kept])
+                    rows = np.concatenate([keep for _, keep in kept])
+                    yield pd.DataFrame({"query_id": [names[i] for i in which], "doc_id": ids[rows], "score": s[rows, which]})
 
         found = rows.mapInPandas(score, schema)
         out = found if out is None else out.unionByName(found)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sievewright.operators import balance as BAL
 from sievewright.operators import retrieval as R
 from sievewright.operators.ranks import ranged_row_number
-from sievewright.session import cut_lineage, ensure_checkpoint_dir, table
+from sievewright.session import cut_lineage, ensure_checkpoint_dir, spread, table
 from sievewright.streaming import windows as W
 
 QUERIES: dict = {}
@@ -38,7 +38,7 @@ _BM25 = f"""d AS (SELECT doc_id, {_TOK.format('text')} AS toks FROM documents WH
 
 
 def _bm25(spark, sf, k=50):
-    return R.lexical_scores(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "question", k)
+    return R.lexical_scores(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "question", k)
 
 
 @query(rf"SELECT doc_id, len({_TOK.format('text')}) AS n_tokens FROM documents WHERE text IS NOT NULL")
@@ -125,7 +125,7 @@ def hybrid_rrf_top3(spark, sf):
     Encoder and reranker are injected; here they are deterministic expressions.
     """
     shared = lambda q, t: F.round(F.size(F.array_intersect(R.tokens(q), R.tokens(t))) / (F.char_length(t) + 100), 9)
-    return R.hybrid(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "question", 3, R.letter_encoder, shared)
+    return R.hybrid(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "question", 3, R.letter_encoder, shared)
 
 
 @query(f"""WITH {_BM25}, o AS (SELECT qt.item_id AS query_id, doc_id, round(count(*)::DOUBLE / min(length(text)), 9) AS score FROM qt JOIN tf USING (term) JOIN documents USING (doc_id) GROUP BY 1, 2),
@@ -135,7 +135,7 @@ def hybrid_rrf_top3(spark, sf):
     SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first.l, first.r) AS INTEGER) AS rank FROM f QUALIFY rank <= 3""")
 def hybrid_rrf_two_searches(spark, sf):
     """Two searches of all documents for every held-out question, BM25 and length-normalised overlap, fused, best three."""
-    overlap = R.overlap_scores(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "question", 50)
+    overlap = R.overlap_scores(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "question", 50)
     return R.fuse([_bm25(spark, sf), overlap], 3)
 
 

@@ -13,7 +13,7 @@ from sievewright.operators import correction as C
 from sievewright.operators import losses as L
 from sievewright.operators import metrics as M
 from sievewright.plans.analytics import _T, _tokens, rounded
-from sievewright.session import table
+from sievewright.session import cut_lineage, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -77,7 +77,7 @@ def adv_remax(spark, sf):
     SELECT round(sum(CASE WHEN d.seq IS NULL THEN greatest(one, two) ELSE 0 END) / (count(*) + 1e-8), 6) AS loss, count(d.seq) AS dropped FROM l LEFT JOIN d ON l.seq = d.seq AND l.t = d.t""")
 def loss_clip_cov(spark, sf):
     """A random share of the tokens of middling covariance gets no gradient."""
-    tokens = L.token_rows(_tokens(spark, sf), "seq", new="new", old="old", adv="adv", mask="mask")
+    tokens = cut_lineage(L.token_rows(_tokens(spark, sf), "seq", new="new", old="old", adv="adv", mask="mask"))
     rows = L.clip_cov(tokens, 0.02, 0.02, 0.01, 0.001, 0.02)
     return rows.agg(F.round(F.sum("loss") / (F.count("*") + 1e-8), 6).alias("loss"), F.count_if("dropped").alias("dropped"))
 
@@ -87,7 +87,7 @@ def loss_clip_cov(spark, sf):
     SELECT seq, t, round(-adv * exp(new - old) + abs(new - old), 6) AS loss FROM k, n WHERE rk <= k""")
 def loss_kl_cov(spark, sf):
     """Tokens of the highest covariance, which get the divergence term."""
-    tokens = L.token_rows(_tokens(spark, sf), "seq", new="new", old="old", adv="adv", mask="mask")
+    tokens = cut_lineage(L.token_rows(_tokens(spark, sf), "seq", new="new", old="old", adv="adv", mask="mask"))
     top = L.top_by(L.with_covariance(tokens), "cov", ["seq", "t"], 0.002)
     return top.select("seq", "t", F.round(-F.col("adv") * F.exp(F.col("new") - F.col("old")) + F.abs(F.col("new") - F.col("old")), 6).alias("loss"))
 
