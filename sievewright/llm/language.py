@@ -28,6 +28,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -69,6 +70,8 @@ UNKNOWN, SHINGLES, STRANGE, MARGIN, LEAST_SURE = "und", 1 << 18, 0.05, 0.6, 0.6
 #: Words (Latin or Cyrillic script) or characters (scripts without spaces) of a whole sentence, the posterior its words must
 #: have on average, and the words in a row that make one where punctuation is missing.
 SENTENCE_WORDS, SENTENCE_CHARS, SENTENCE_SURE, RUN_WORDS = 4, 8, 0.85, 9
+#: Raised whenever the fit changes, so that no field of an earlier one is loaded.
+FIELD_VERSION = 1
 #: Words whose scores a worker keeps, and words, padding included, per pass of the forward-backward algorithm.
 CACHE_WORDS, PASS_WORDS = 200_000, 60_000
 
@@ -131,6 +134,7 @@ def _script(ch: str) -> str:
     return "latin" if ch < "\u0250" else "other"
 
 
+@lru_cache(maxsize=100_000)
 def features(word: str) -> np.ndarray:
     """Hashed features of a word: itself, affixes, character n-grams, scripts."""
     low = unicodedata.normalize("NFC", word.lower())
@@ -484,7 +488,7 @@ def fitted_once(df: DataFrame, text: str, label: str, doc_id: str, seed: int = 0
     spark = df.sparkSession
     sample = draw_sample(df, text, label, doc_id, seed=seed)
     digest = xxhash.xxh3_128()
-    bounds = (FEATURES, FIRST_ROUNDS, ROUNDS, SEQUENCE, SEQUENCES, STEP, SURE, SHINGLES, STRANGE, MARGIN, SENTENCE_WORDS, seed)
+    bounds = (FIELD_VERSION, FEATURES, FIRST_ROUNDS, ROUNDS, SEQUENCE, SEQUENCES, STEP, SURE, SHINGLES, STRANGE, MARGIN, SENTENCE_WORDS, seed)
     for part in (repr(bounds), *(x for pair in sample for x in pair)):
         digest.update(part.encode("utf-8", "replace") + b"\0")
     path = f"{shared_folder(spark)}/language-field-{digest.hexdigest()}"
