@@ -43,7 +43,7 @@ def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _p3(spark, sf_dir)[1]
+    return _p3(spark, sf_dir)[1].withColumn("target_rows", F.round("target_rows", 6)).withColumn("sampled_share", F.round("sampled_share", 9))
 
 
 def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,7 +200,7 @@ SQL = {
     "p5_untouched": r"""SELECT DISTINCT id, md5(contents) AS digest FROM text_corpus WHERE id IS NOT NULL AND NOT regexp_matches(contents, '[<&*_`#|\[\]{}\\$~''=>+-]|[0-9][.)]')""",
     "p6_verbatim": "SELECT d.doc_id, i.item_id FROM documents d, eval_items i WHERE length(i.passage) >= 120 AND contains(d.text, i.passage)",
     "p3_counts": f"""WITH {_CELLS} SELECT g.coarse_taxon, g.question_type, sampled AS n, sampled AS distinct_keys, sampled AS last_rank FROM got JOIN goal g ON g.cell = got.cell""",
-    "p3_report": f"""WITH {_CELLS} SELECT g.coarse_taxon, g.question_type, target_share, min_rows, target_share * n AS target_rows, available, coalesce(sampled, 0) AS sampled, coalesce(sampled, 0) / n AS sampled_share,
+    "p3_report": f"""WITH {_CELLS} SELECT g.coarse_taxon, g.question_type, target_share, CAST(min_rows AS BIGINT) AS min_rows, round(target_share * n, 6) AS target_rows, available, coalesce(sampled, 0) AS sampled, round(coalesce(sampled, 0) / n, 9) AS sampled_share,
             available < min_rows OR available < CAST(target_share AS DECIMAL(18, 9)) * CAST(n AS DECIMAL(18, 0)) AS short
         FROM goal g CROSS JOIN n JOIN have ON have.cell = g.cell LEFT JOIN got ON got.cell = g.cell""",
     "p4_groups": """WITH RECURSIVE e AS (SELECT DISTINCT lower(trim(parent_sample_id)) AS p, lower(trim(category_key)) AS c FROM sft_rows
