@@ -52,9 +52,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder, so that a lost executor costs a read, not a recomputation."""
+    """Materialise df in the shared checkpoint folder, so that a lost executor costs a read, not a recomputation.
+
+    A checkpoint keeps its plan's size estimate, and a join's estimate is the product of its sides'. In a loop of self-joins
+    its digits grow threefold a step, until the driver does nothing but multiply; an estimate past a long becomes Spark's
+    default for an unknown size.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cut = df.checkpoint(eager=True)
+    plan = cut._jdf.queryExecution()
+    if int(str(plan.optimizedPlan().stats().sizeInBytes())) < 1 << 63:
+        return cut
+    return DataFrame(cut.sparkSession._jsparkSession.internalCreateDataFrame(plan.toRdd(), cut._jdf.schema(), False), cut.sparkSession)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

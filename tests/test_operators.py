@@ -20,6 +20,7 @@ from sievewright.operators import selection as S
 from sievewright.operators.components import entity_links, propagate_labels
 from sievewright.operators.correction import parse_thresholds
 from sievewright.operators.ranks import distributed_row_number, hash_order, running_sum
+from sievewright.session import cut_lineage
 from sievewright.sources import readers, writers
 from sievewright.streaming import windows as W
 
@@ -75,6 +76,22 @@ def test_components_equal_union_find(spark, kind):
     assert found == expected
 
 
+def test_lineage_cuts_bound_the_size_estimate(spark):
+    df = spark.range(20)
+    for _ in range(4):  # three self-joins a step: the estimate's digits grow threefold, to over 100 here
+        df = cut_lineage(df.join(df.select("id"), "id").join(df.select("id"), "id"))
+        assert int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1 << 63
+    assert sorted(r["id"] for r in df.collect()) == list(range(20)) and df.schema == spark.range(20).schema
+
+
+def test_components_of_many_rounds(spark):
+    names = [f"e{i:03}" for i in range(600)]
+    random.Random(2).shuffle(names)
+    path = spark.createDataFrame([(i, e) for i in range(599) for e in names[i : i + 2]], "r int, e string")
+    found = propagate_labels(entity_links(path, "r", "e"))
+    assert sorted((r["node"], r["label"]) for r in found.collect()) == [(e, "e000") for e in sorted(names)]
+
+
 @given(st.integers(0, 500), st.lists(st.integers(1, 50), min_size=1, max_size=8))
 @settings(max_examples=60, deadline=None)
 def test_apportionment(total, weights):
